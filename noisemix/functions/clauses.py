@@ -61,47 +61,96 @@ def runon_line(
 ) -> Column:
     """Turn detached periods inside a line into conjunctions: ``struct(tokens, runons)``.
 
-    ``proper_at`` holds the 0-based positions of proper nouns, which keep their capital.
+    Clause ``j`` follows the ``j``-th detached period.  ``proper_at`` holds the numbers of
+    the clauses that open with a proper noun, which keeps its capital.
     """
 
-    def step(acc: Column, item: Column) -> Column:
-        t, i = item["t"], item["i"]
+    def digest(j: Column) -> Column:
+        return draw_hash(seed, "runon", row_key, j)
+
+    def result(t: Column, runons: Column) -> Column:
+        return F.struct(t.alias("tokens"), runons.cast("int").alias("runons"))
+
+    def by_clause(line: Column) -> Column:
+        """No two periods in a row: every clause is on its own."""
+
+        def join(clause: Column, j: Column) -> Column:
+            def glued(d: Column) -> Column:
+                first = F.substring_index(clause, " ", 1)
+                opened = F.concat(
+                    open_clause(first, F.array_contains(proper_at, j)),
+                    F.substr(clause, F.length(first) + 1),
+                )
+                return F.when(
+                    lane(d, 0) < p,
+                    F.struct(
+                        F.concat(pick_conjunction(lane(d, 1)), F.lit(" "), opened).alias("text"),
+                        F.lit(1).alias("made"),
+                    ),
+                ).otherwise(plain(F.concat(F.lit(". "), clause)))
+
+            return F.when(j == 0, plain(clause)).otherwise(let(digest(j), glued))
+
+        def plain(t: Column) -> Column:
+            return F.struct(t.alias("text"), F.lit(0).alias("made"))
+
+        return let(
+            F.transform(F.split(line, r" \. "), join),
+            lambda parts: result(
+                text.tokens(F.array_join(F.transform(parts, lambda x: x["text"]), "")),
+                F.size(F.filter(parts, lambda x: x["made"] == 1)),
+            ),
+        )
 
-        def piece(out: Column, skip: Column, more) -> Column:
-            return F.struct(
-                out.alias("out"),
-                skip.alias("skip"),
-                (acc["runons"] + F.lit(more)).cast("int").alias("runons"),
+    def by_token() -> Column:
+        """General walk: a period turned into a conjunction swallows whatever follows it."""
+
+        def step(acc: Column, item: Column) -> Column:
+            t = item["t"]
+            inner = (t == ".") & (item["i"] < F.size(toks) - 1)
+
+            def to(out: Column, skip: bool, more: int) -> Column:
+                return F.struct(
+                    out.alias("out"),
+                    F.lit(skip).alias("skip"),
+                    (acc["seen"] + inner.cast("int")).alias("seen"),
+                    (acc["runons"] + F.lit(more)).alias("runons"),
+                )
+
+            opened = open_clause(t, F.array_contains(proper_at, acc["seen"]))
+            joined = let(
+                digest(acc["seen"] + 1),
+                lambda d: F.when(
+                    lane(d, 0) < p,
+                    to(F.concat(acc["out"], pick_conjunction(lane(d, 1))), True, 1),
+                ).otherwise(to(F.concat(acc["out"], F.lit(".")), False, 0)),
+            )
+            return (
+                F.when(acc["skip"], to(F.concat(acc["out"], F.lit(" "), opened), False, 0))
+                .when(inner, joined)
+                .otherwise(to(F.concat(acc["out"], F.lit(" "), t), False, 0))
             )
 
-        opened = open_clause(t, F.array_contains(proper_at, i))
-        joined = let(
-            draw_hash(seed, "runon", row_key, i),
-            lambda digest: F.when(
-                lane(digest, 0) < p,
-                piece(
-                    F.concat(acc["out"], pick_conjunction(lane(digest, 1))), F.lit(True), 1
-                ),
-            ).otherwise(piece(F.concat(acc["out"], F.lit(".")), F.lit(False), 0)),
+        return F.aggregate(
+            F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
+            F.struct(
+                F.lit("").alias("out"),
+                F.lit(False).alias("skip"),
+                F.lit(0).alias("seen"),
+                F.lit(0).alias("runons"),
+            ),
+            step,
+            lambda acc: result(text.tokens(acc["out"]), acc["runons"]),
         )
+
+    def choose(line: Column) -> Column:
         return (
-            F.when(acc["skip"], piece(F.concat(acc["out"], F.lit(" "), opened), F.lit(False), 0))
-            .when((t == ".") & (i < F.size(toks) - 1), joined)
-            .otherwise(piece(F.concat(acc["out"], F.lit(" "), t), F.lit(False), 0))
+            F.when(F.startswith(line, F.lit(". ")) | F.contains(line, F.lit(" . . ")), by_token())
+            .when(F.contains(line, F.lit(" . ")), by_clause(line))
+            .otherwise(result(toks, F.lit(0)))
         )
 
-    folded = F.aggregate(
-        F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
-        F.struct(
-            F.lit("").alias("out"), F.lit(False).alias("skip"), F.lit(0).cast("int").alias("runons")
-        ),
-        step,
-        lambda acc: F.struct(text.tokens(acc["out"]).alias("tokens"), acc["runons"].alias("runons")),
-    )
-    position = F.array_position(toks, ".")
-    return F.when((position > 0) & (position < F.size(toks)), folded).otherwise(
-        F.struct(toks.alias("tokens"), F.lit(0).cast("int").alias("runons"))
-    )
+    return let(text.untokens(toks), choose)
 
 
 def join_clauses(clauses: Column, row_key: Column, seed: int) -> Column:

@@ -55,4 +55,8 @@ def running_weights(weights: Column) -> Column:
 
 def weighted_index(cumulative: Column, u: Column) -> Column:
     """0-based index of the first running weight above ``u * total``."""
-    return F.size(F.filter(cumulative, lambda c: c <= u * F.element_at(cumulative, -1)))
+    # bound once: inside the filter the draw would be hashed again for every weight
+    return let(
+        u * F.element_at(cumulative, -1),
+        lambda x: F.size(F.filter(cumulative, lambda c: c <= x)),
+    )

@@ -51,15 +51,19 @@ def _ints(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _by_code(letter: Column, values: list[int]) -> Column:
+    """Look up an ASCII letter of either case; 0 for anything else."""
+    table = _ints([*values, *[0] * 6, *values])  # code points 65 (A) to 122 (z)
+    return F.coalesce(F.get(table, F.ascii(letter) - 65), F.lit(0))
+
+
 def letter_number(letter: Column) -> Column:
     """1..26 for an ASCII letter of either case, 0 for anything else."""
-    return F.when(letter.rlike("^[A-Za-z]$"), F.ascii(F.lower(letter)) - 96).otherwise(F.lit(0))
+    return _by_code(letter, list(range(1, 27)))
 
 
 def letter_weight(letter: Column) -> Column:
-    number = letter_number(letter)
-    table = _ints(LETTER_WEIGHT[a] for a in ALPHABET)
-    return F.when(number > 0, F.element_at(table, number)).otherwise(F.lit(0))
+    return _by_code(letter, [LETTER_WEIGHT[a] for a in ALPHABET])
 
 
 def transition_running(number: Column) -> Column:

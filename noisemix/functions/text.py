@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE = r"[ \t\n\x0B\f\r]+"
+# any whitespace that is not one plain space
+_ODD_SPACE = r"[\t\n\x0B\f\r][ \t\n\x0B\f\r]*| [ \t\n\x0B\f\r]+"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 # Word endings whose final period does not end a sentence.
@@ -16,7 +17,7 @@ ABBREVIATIONS = [
 
 # A word with any capital is never split, so only all-lower endings need a pattern.
 _KEPT = [a[:-1].replace(".", r"\.") for a in ABBREVIATIONS if a == a.lower()]
-_DETACH = r"(?<![^ ])([^ A-Z]*)(?<!" + "|".join(_KEPT) + r")\.(?= )"
+_DETACH = r"(?<![^ ])([^ A-Z]+)(?<!" + "|".join(_KEPT) + r")\.(?= )"
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -26,12 +27,12 @@ def collapse_spaces(c: Column) -> Column:
 
 def normalise_space(c: Column) -> Column:
     """Any whitespace run becomes one space; outer whitespace goes."""
-    return F.trim(F.regexp_replace(c, WHITESPACE, " "))
+    return F.trim(F.regexp_replace(c, _ODD_SPACE, " "))
 
 
 def tokens(c: Column) -> Column:
     """Whitespace tokens of a string; an empty array for a blank one."""
-    return F.filter(F.split(c, WHITESPACE), lambda t: t != "")
+    return F.array_remove(F.split(normalise_space(c), " "), "")
 
 
 def untokens(c: Column) -> Column:
@@ -66,7 +67,8 @@ def ends_sentence(token: Column) -> Column:
 
 def detach_periods(line: Column) -> Column:
     """Tokens with every sentence-final period but the last one on its own."""
-    return tokens(F.regexp_replace(normalise_space(line), _DETACH, "$1 ."))
+    spaced = F.regexp_replace(normalise_space(line), _DETACH, "$1 .")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def reattach_periods(toks: Column) -> Column:

@@ -21,27 +21,26 @@ def _edit(word: Column, sub, swap) -> Column:
     )
 
 
-def _put(word: Column, replacement: Column, at: Column) -> Column:
-    """``word`` with ``replacement`` written over it from 0-based position ``at``."""
-    return F.concat(
-        F.substr(word, F.lit(1), at),
-        replacement,
-        F.substr(word, at + F.length(replacement) + 1),
-    )
+def _put(word: Column, replacement: Column, at: Column, size: int = 1) -> Column:
+    """``word`` with ``size`` characters from 0-based position ``at`` replaced."""
+    return F.concat(F.substr(word, F.lit(1), at), replacement, F.substr(word, at + (size + 1)))
 
 
 def substitute_letter(word: Column, u_slot: Column, u_letter: Column) -> Column:
     """Hit a neighbouring key instead of one letter, keeping its case."""
 
     def hit(slot: Column) -> Column:
-        old = F.substr(word, slot + 1, F.lit(1))
-
-        def typed(number: Column) -> Column:
-            pick = weighted_index(letters.transition_running(number), u_letter)
+        def typed(old: Column) -> Column:
+            number = letters.letter_number(old)
+            pick = let(
+                letters.transition_running(number),
+                lambda running: weighted_index(running, u_letter),
+            )
             new = F.substr(letters.transition_letters(number), pick + 1, F.lit(1))
-            return F.when(F.lower(old) != old, F.upper(new)).otherwise(new)
+            return let(new, lambda n: F.when(old >= "a", n).otherwise(F.upper(n)))
 
-        return _edit(_put(word, let(letters.letter_number(old), typed), slot), 1, 0)
+        old = F.substr(word, slot + 1, F.lit(1))
+        return _edit(_put(word, let(old, typed), slot), 1, 0)
 
     weights = F.transform(
         F.sequence(F.lit(1), F.length(word)),
@@ -61,7 +60,7 @@ def swap_letters(word: Column, u_slot: Column) -> Column:
             F.substr(word, at + 2, F.lit(1)),
             F.substr(word, at + 1, F.lit(1)),
         )
-        return _edit(_put(word, pair, at), 0, 1)
+        return _edit(_put(word, pair, at, 2), 0, 1)
 
     return F.when(
         word.rlike(r"\p{L}.*\p{L}"),

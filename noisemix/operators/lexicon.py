@@ -49,36 +49,45 @@ def mine_proper_nouns(df: DataFrame, line: str = "src") -> DataFrame:
 def mark_proper_nouns(
     df: DataFrame, lexicon: DataFrame, keys: list[str], inline_words: int = INLINE_WORDS
 ) -> DataFrame:
-    """Add ``proper_at``: 0-based positions of proper nouns that open a clause.
+    """Add ``proper_at``: the numbers of the clauses that open with a proper noun.
 
+    Clause 0 is the start of the line, clause ``j`` follows its ``j``-th detached period.
     A lexicon of at most ``inline_words`` words becomes a hash-set predicate in the plan
     (no shuffle).  A larger one is joined on the word; lines then meet their matches on
     ``keys``.  Both ways give the same column.
     """
     words = [r[0] for r in lexicon.select("word").limit(inline_words + 1).collect()]
     toks = F.col("tokens")
-    opens = F.filter(
-        F.transform(
-            toks,
-            lambda t, i: F.when(
-                (i == 0) | (F.element_at(toks, F.greatest(i, F.lit(1))) == "."),
-                F.struct(i.alias("at"), _word(t).alias("word")),
+
+    def openings(opens: Column) -> Column:
+        return F.transform(opens, lambda t, j: F.struct(j.alias("clause"), _word(t).alias("word")))
+
+    # a period that is not last opens a clause with the token after it
+    opens = F.concat(
+        F.slice(toks, 1, 1),
+        F.filter(
+            F.transform(
+                toks,
+                lambda t, i: F.when(
+                    (t == ".") & (i < F.size(toks) - 1), F.try_element_at(toks, i + 2)
+                ),
             ),
+            lambda t: t.isNotNull(),
         ),
-        lambda o: o.isNotNull(),
     )
     if len(words) <= inline_words:
         known = (lambda w: w.isin(words)) if words else (lambda w: F.lit(False))
         return df.withColumn(
             "proper_at",
-            F.transform(F.filter(opens, lambda o: known(o["word"])), lambda o: o["at"]),
+            F.transform(
+                F.filter(openings(opens), lambda o: known(o["word"])), lambda o: o["clause"]
+            ),
         )
     found = (
-        df.select(*keys, F.explode(opens).alias("o"))
-        .select(*keys, "o.at", "o.word")
+        df.select(*keys, F.inline(openings(opens)))
         .join(lexicon.select("word"), "word")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("at")).alias("proper_at"))
+        .agg(F.array_sort(F.collect_list("clause")).alias("proper_at"))
     )
     return df.join(found, keys, "left").withColumn(
         "proper_at", F.coalesce("proper_at", F.array().cast("array<int>"))

@@ -1,9 +1,240 @@
-from pyspark.sql import Column
+"""Joint subword vocabulary: character coverage, merge training, encoding, decoding."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from noisemix.functions import text
+from noisemix.functions.draws import let
+from noisemix.sources.checkpoints import cut
+
+MARK = chr(0x2581)  # stands for the space before a word
+COVERAGE = 0.9995  # fixed values: share of characters kept, longest piece, symbols, sentence cap
+MAX_PIECE = 4
+VOCABULARY = 50_000
+MAX_PIECES = 512
+
+_OPEN, _CLOSE, _GAP = "\x02", "\x03", "\x01"
+
+
+def pool_text(pairs: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """Source and target sentences as one training column."""
+    return pairs.select(F.lit("src").alias("side"), text.normalise_space(F.col(src)).alias("line")).unionAll(
+        pairs.select(F.lit("tgt").alias("side"), text.normalise_space(F.col(tgt)).alias("line"))
+    )
+
+
+def word_counts(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Distinct words with counts: the one pass over the whole text that training needs."""
+    return (
+        lines.select(F.explode(text.tokens(F.col(line))).alias("word"))
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    )
+
+
+def character_coverage(words: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """``char, cnt, covered``: the most frequent characters up to the given share.
+
+    Counted over distinct words, not over the text.  The final window holds one row per
+    character, which Unicode bounds.
+    """
+    chars = (
+        words.select("cnt", F.explode(text.characters(F.col("word"))).alias("char"))
+        .groupBy("char")
+        .agg(F.sum("cnt").alias("cnt"))
+    )
+    ranked = Window.orderBy(F.desc("cnt"), "char")
+    before = F.sum("cnt").over(ranked.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cnt")
+    total = F.sum("cnt").over(Window.partitionBy())
+    return chars.select(
+        "char", "cnt", (before < total * F.lit(float(coverage))).alias("covered")
+    )
+
+
+def word_symbols(words: DataFrame, covered: list[str]) -> DataFrame:
+    """Words as wrapped symbols, broken at characters outside the alphabet: ``seg, cnt``."""
+    wrapped = F.transform(
+        text.characters(F.concat(F.lit(MARK), F.col("word"))),
+        lambda c: F.when(
+            c.isin(*covered, MARK), F.concat(F.lit(_OPEN), c, F.lit(_CLOSE))
+        ).otherwise(F.lit(_GAP)),
+    )
+    return (
+        words.select("cnt", F.explode(F.split(F.array_join(wrapped, ""), _GAP)).alias("seg"))
+        .filter(F.col("seg") != "")
+        .groupBy("seg")
+        .agg(F.sum("cnt").alias("cnt"))
+    )
+
+
+def pair_counts(segments: DataFrame, max_piece: int = MAX_PIECE) -> DataFrame:
+    """Adjacent symbol pairs that may still become one piece: ``l, r, cnt``."""
+    symbols = F.split(F.substr("seg", F.lit(2), F.length("seg") - 2), _CLOSE + _OPEN)
+    adjacent = let(
+        symbols,
+        lambda s: F.transform(
+            F.slice(s, 2, F.size(s)),
+            lambda right, i: F.struct(F.get(s, i).alias("l"), right.alias("r")),
+        ),
+    )
+    return (
+        segments.select("cnt", F.inline(adjacent))
+        .filter(F.length("l") + F.length("r") <= max_piece)
+        .groupBy("l", "r")
+        .agg(F.sum("cnt").alias("cnt"))
+    )
+
+
+def _overlaps(pair, symbols: set[str]) -> bool:
+    return pair.l in symbols or pair.r in symbols
+
 
-MARK = chr(0x2581)
+def independent_prefix(top: list, complete: bool) -> list:
+    """How far down a sorted pair list merging all at once equals merging one by one.
+
+    Merging (a, b) can only create pairs out of pairs that contain a or b, and none of them
+    gets more frequent than the pair it came from.  So while the next pair shares no symbol
+    with the ones before it, and every pair that does is strictly rarer, its turn comes next.
+    A pair of equal symbols overlaps itself and ends the run.
+    """
+    batch, used = [top[0]], {top[0].l, top[0].r}
+    for i in range(1, len(top)):
+        pair = top[i]
+        last = batch[-1]
+        tied = [q for q in top[i:] if q.cnt == pair.cnt]
+        cut_tie = not complete and top[-1].cnt == pair.cnt
+        if last.l == last.r or cut_tie or any(_overlaps(q, used) for q in tied):
+            break
+        batch.append(pair)
+        used |= {pair.l, pair.r}
+    return batch
+
+
+def disjoint_prefix(top: list) -> list:
+    """All pairs of the list that share no symbol with a better one (approximate training)."""
+    batch, used = [], set()
+    for pair in top:
+        if not _overlaps(pair, used):
+            batch.append(pair)
+            used |= {pair.l, pair.r}
+    return batch
+
+
+def train_merges(
+    words: DataFrame,
+    covered: list[str],
+    merges: int,
+    max_piece: int = MAX_PIECE,
+    exact: bool = True,
+    look: int = 256,
+    rewrite_every: int = 64,
+) -> DataFrame:
+    """Learn ``merges`` merges: ``rank, l, r, cnt``.
+
+    Each round counts pairs over distinct words, looks at the best ``look`` of them on the
+    driver and merges as many as keep the result that of one-by-one training.  ``exact=False``
+    merges every symbol-disjoint pair of the list per round: far fewer rounds for large
+    vocabularies, slightly different ranks.  Merges are string replacements on the words,
+    which are rewritten to reliable storage every ``rewrite_every`` merges, so the plan stays
+    short and a lost executor costs one rewrite.
+    """
+    spark = words.sparkSession
+    base = cut(word_symbols(words, covered))
+    learned: list[tuple[int, str, str, int]] = []
+    pending: list = []
+
+    def current() -> DataFrame:
+        seg = F.col("seg")
+        for p in pending:
+            seg = F.replace(
+                seg,
+                F.lit(f"{_OPEN}{p.l}{_CLOSE}{_OPEN}{p.r}{_CLOSE}"),
+                F.lit(f"{_OPEN}{p.l}{p.r}{_CLOSE}"),
+            )
+        return base.select(seg.alias("seg"), "cnt")
+
+    while len(learned) < merges:
+        order = [F.desc("cnt"), "l", "r"]
+        top = pair_counts(current(), max_piece).orderBy(*order).limit(look).collect()
+        if not top:
+            break
+        complete = len(top) < look
+        batch = independent_prefix(top, complete) if exact else disjoint_prefix(top)
+        for pair in batch[: merges - len(learned)]:
+            learned.append((len(learned), pair.l, pair.r, pair.cnt))
+            pending.append(pair)
+        if len(pending) >= rewrite_every:
+            base, pending = cut(current()), []
+    return spark.createDataFrame(learned, "rank int, l string, r string, cnt long")
+
+
+def _merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Pieces of one word: the best-ranked adjacent pair is merged until none is left."""
+    pieces = list(word)
+    while len(pieces) > 1:
+        best = min(
+            range(len(pieces) - 1),
+            key=lambda i: ranks.get((pieces[i], pieces[i + 1]), len(ranks)),
+        )
+        pair = (pieces[best], pieces[best + 1])
+        if pair not in ranks:
+            break
+        out, i = [], 0
+        while i < len(pieces):
+            if tuple(pieces[i : i + 2]) == pair:
+                out.append(pair[0] + pair[1])
+                i += 2
+            else:
+                out.append(pieces[i])
+                i += 1
+        pieces = out
+    return pieces
+
+
+def encode(df: DataFrame, merges: DataFrame, line: str, out: str = "pieces") -> DataFrame:
+    """Add the subword pieces of a text column; narrow, no shuffle.
+
+    The merge table is bounded by the vocabulary size and goes to every task; each task
+    remembers the words it has met, so frequent words are worked out once per task.
+    """
+    table = {(m.l, m.r): m.rank for m in merges.select("rank", "l", "r").collect()}
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ranks, known = shared.value, {}
+
+        def one(line: str | None) -> list[str] | None:
+            if line is None:
+                return None
+            out: list[str] = []
+            for word in line.split(" "):
+                if word not in known:
+                    if len(known) > 500_000:
+                        known.clear()
+                    known[word] = _merge_word(MARK + word, ranks) if word else []
+                out += known[word]
+            return out
+
+        for batch in batches:
+            yield batch.map(one)
+
+    return df.withColumn(out, pieces(text.normalise_space(F.col(line))))
 
 
 def pieces_to_text(pieces: Column) -> Column:
     """Subword pieces back to text."""
     return F.trim(F.replace(F.array_join(pieces, ""), F.lit(MARK), F.lit(" ")))
+
+
+def within_limits(
+    src_pieces: Column, tgt_pieces: Column, longest: int = MAX_PIECES
+) -> Column:
+    """Neither side has more than ``longest`` pieces."""
+    return (F.size(src_pieces) <= longest) & (F.size(tgt_pieces) <= longest)

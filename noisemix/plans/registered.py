@@ -1,6 +1,11 @@
 """Importing this module registers every query."""
 
-from noisemix.plans import noise_queries, text_queries  # noqa: F401
+from noisemix.plans import (  # noqa: F401
+    metric_queries,
+    mixing_queries,
+    noise_queries,
+    text_queries,
+)
 from noisemix.plans.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -122,12 +122,12 @@ lexicon AS (
   GROUP BY 1 HAVING count(*) FILTER (substr(w, 1, 1) <> lower(substr(w, 1, 1))) * 2 > count(*)),
 detached AS (SELECT *, {detached("src")} AS tokens, {norm("src")} AS tgt FROM lines),
 opening AS (
-  SELECT row_key, i, t FROM (
+  SELECT row_key, row_number() OVER (PARTITION BY row_key ORDER BY i) - 1 AS clause, t FROM (
     SELECT row_key, i, t, lag(t) OVER (PARTITION BY row_key ORDER BY i) AS before
     FROM (SELECT row_key, unnest(tokens) AS t, unnest(range(len(tokens))) AS i FROM detached))
   WHERE i = 0 OR before = '.'),
 proper AS (
-  SELECT row_key, list(i ORDER BY i) AS proper_at FROM opening
+  SELECT row_key, list(clause ORDER BY clause) AS proper_at FROM opening
   WHERE {strip("lower(t)")} IN (SELECT word FROM lexicon) GROUP BY row_key),
 base AS (
   SELECT detached.*, coalesce(proper_at, []::bigint[]) AS proper_at
@@ -221,11 +221,13 @@ def typo(src: str, out: str, p: float) -> str:
 def runon(src: str, out: str, p: float, proper: str = "proper_at") -> str:
     """Relation ``out(row_key, tokens, runons)`` from ``src(row_key, tokens, proper_at)``."""
     return f"""{out}_tok AS (
-  SELECT row_key, t, i, n, proper_at, h, (t = '.' AND i < n - 1) AS inner_stop,
-    (t = '.' AND i < n - 1 AND {lane("h", 0)} < {p}::double) AS chosen
-  FROM (SELECT row_key, t, i, n, proper_at, {digest("runon", "row_key", "i")} AS h
-        FROM (SELECT row_key, unnest(tokens) AS t, unnest(range(len(tokens))) AS i,
-                len(tokens) AS n, {proper} AS proper_at FROM {src}))),
+  SELECT row_key, t, i, proper_at, h, clause, inner_stop,
+    (inner_stop AND {lane("h", 0)} < {p}::double) AS chosen
+  FROM (SELECT *, {digest("runon", "row_key", "clause")} AS h FROM (
+    SELECT row_key, t, i, proper_at, (t = '.' AND i < n - 1) AS inner_stop,
+      count(*) FILTER (t = '.' AND i < n - 1) OVER (PARTITION BY row_key ORDER BY i) AS clause
+    FROM (SELECT row_key, unnest(tokens) AS t, unnest(range(len(tokens))) AS i,
+            len(tokens) AS n, {proper} AS proper_at FROM {src})))),
 {out}_run AS (
   -- a chosen period swallows the next token, so of several chosen in a row every second counts
   SELECT *, (i - 1 - coalesce(max(CASE WHEN NOT chosen THEN i END) OVER (
@@ -236,7 +238,7 @@ def runon(src: str, out: str, p: float, proper: str = "proper_at") -> str:
   SELECT row_key, {tokens("s")} AS tokens, runons FROM (
     SELECT row_key, count(*) FILTER (chosen AND NOT swallowed) AS runons,
       string_agg(CASE
-        WHEN swallowed THEN ' ' || {open_token("t", "list_contains(proper_at, i)")}
+        WHEN swallowed THEN ' ' || {open_token("t", "list_contains(proper_at, clause - inner_stop::int)")}
         WHEN chosen THEN {conjunction(lane("h", 1))}
         WHEN inner_stop THEN '.'
         ELSE ' ' || t END, '' ORDER BY i) AS s

@@ -17,7 +17,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(4 * cores, *keys)
 
 
 def split_of(doc_id) -> F.Column:
