@@ -12,92 +12,143 @@ MAX_MOVE = 50
 MAX_TRIED = 1000
 
 
-def _table(hyp: np.ndarray, ref: np.ndarray, band: int) -> np.ndarray:
-    """Edit distance table, computed within ``band`` of the diagonal."""
-    n, m = len(hyp), len(ref)
-    far = n + m + 1
-    table = np.full((n + 1, m + 1), far, dtype=np.int32)
-    table[0, : min(m, band) + 1] = np.arange(min(m, band) + 1)
-    steps = np.arange(m + 1, dtype=np.int32)
+_DIAGONAL, _DELETE, _INSERT = 0, 1, 2
+
+
+def _banded(hyp: np.ndarray, ref: np.ndarray, band: int, keep_steps: bool):
+    """Edit distance within ``band`` of the diagonal, and the step taken into every cell.
+
+    Rows are kept relative to the diagonal, so memory is (words x band), a byte per cell.
+    """
+    n, m, width = len(hyp), len(ref), 2 * band + 1
+    far = np.int32(2 * (n + m) + 2)
+    padded = np.full(m + 2 * band + n + 1, -1, dtype=np.int64)
+    padded[band : band + m] = ref
+    slope = np.arange(width, dtype=np.int32)
+    row = np.full(width + 1, far, dtype=np.int32)  # one cell more: what lies past the band
+    row[band : band + min(m, band) + 1] = slope[: min(m, band) + 1]
+    steps = np.full((n + 1, width), _INSERT, dtype=np.uint8) if keep_steps else None
     for i in range(1, n + 1):
-        lo, hi = max(0, i - band), min(m, i + band)
-        above = table[i - 1]
-        row = above[lo : hi + 1] + 1
-        start = max(lo, 1)
-        diagonal = above[start - 1 : hi] + (ref[start - 1 : hi] != hyp[i - 1])
-        row[start - lo :] = np.minimum(row[start - lo :], diagonal)
-        # an insertion chain is a running minimum once the slope is taken out
-        row = np.minimum.accumulate(row - steps[lo : hi + 1]) + steps[lo : hi + 1]
-        table[i, lo : hi + 1] = row
-    return table
-
-
-def _distance_table(hyp: np.ndarray, ref: np.ndarray) -> np.ndarray:
-    """Exact table around every cheapest path: the band widens until it cannot bind."""
+        diagonal = row[:width] + (padded[i - 1 : i - 1 + width] != hyp[i - 1])
+        up = row[1:] + 1
+        best = np.minimum(diagonal, up)
+        # a chain of insertions is a running minimum once the slope is taken out
+        row[:width] = np.minimum.accumulate(best - slope) + slope
+        beyond, before = m - i + band + 1, band - i
+        if beyond < width:
+            row[max(beyond, 0) : width] = far
+        if before > 0:
+            row[:before] = far
+        if keep_steps:
+            steps[i][row[:width] == up] = _DELETE
+            steps[i][row[:width] == diagonal] = _DIAGONAL
+    end = m - n + band
+    return (int(row[end]) if 0 <= end < width else int(far)), steps
+
+
+def _trim(hyp: np.ndarray, ref: np.ndarray) -> tuple[int, int]:
+    """Lengths of the common head and of the common tail after it."""
+    k = min(len(hyp), len(ref))
+    same = hyp[:k] == ref[:k]
+    head = k if same.all() else int(np.argmin(same))
+    k -= head
+    if not k:
+        return head, 0
+    same = hyp[::-1][:k] == ref[::-1][:k]
+    return head, k if same.all() else int(np.argmin(same))
+
+
+def _exact(hyp: np.ndarray, ref: np.ndarray, keep_steps: bool):
+    """Widen the band until it no longer binds, then the distance is exact."""
     widest = max(len(hyp), len(ref))
-    band = min(widest, abs(len(hyp) - len(ref)) + 8)
+    band = min(widest, abs(len(hyp) - len(ref)) + 4)
     while True:
-        table = _table(hyp, ref, band)
-        if band >= widest or table[-1, -1] <= band:
-            return table
+        found, steps = _banded(hyp, ref, band, keep_steps)
+        if band >= widest or found <= band:
+            return found, steps, band
         band = min(widest, band * 2)
 
 
 def distance(hyp: np.ndarray, ref: np.ndarray) -> int:
-    n, m = len(hyp), len(ref)
-    k = min(n, m)
-    same = hyp[:k] == ref[:k]
-    head = k if same.all() else int(np.argmin(same))
-    hyp, ref = hyp[head:], ref[head:]
-    k = min(len(hyp), len(ref))
-    if k:
-        same = hyp[::-1][:k] == ref[::-1][:k]
-        tail = k if same.all() else int(np.argmin(same))
-        hyp, ref = hyp[: len(hyp) - tail], ref[: len(ref) - tail]
+    head, tail = _trim(hyp, ref)
+    hyp, ref = hyp[head : len(hyp) - tail], ref[head : len(ref) - tail]
     if not len(hyp) or not len(ref):
         return len(hyp) + len(ref)
-    return int(_distance_table(hyp, ref)[-1, -1])
+    return _exact(hyp, ref, False)[0]
 
 
 def _alignment(hyp: np.ndarray, ref: np.ndarray):
     """Distance, wrong hyp words, wrong ref words, and the hyp position of every ref word."""
-    table = _distance_table(hyp, ref)
-    i, j = len(hyp), len(ref)
-    hyp_wrong, ref_wrong = np.ones(i, dtype=bool), np.ones(j, dtype=bool)
-    place = np.zeros(j, dtype=np.int64)
+    hyp_wrong, ref_wrong = np.zeros(len(hyp), dtype=bool), np.zeros(len(ref), dtype=bool)
+    head, tail = _trim(hyp, ref)
+    place = np.arange(len(ref), dtype=np.int64)
+    place[len(ref) - tail :] += len(hyp) - len(ref)
+    inner_hyp, inner_ref = hyp[head : len(hyp) - tail], ref[head : len(ref) - tail]
+    i, j = len(inner_hyp), len(inner_ref)
+    if not i or not j:
+        hyp_wrong[head : head + i] = True
+        ref_wrong[head : head + j] = True
+        place[head : head + j] = head - 1
+        return i + j, hyp_wrong, ref_wrong, place
+    found, steps, band = _exact(inner_hyp, inner_ref, True)
     while i or j:
-        here = table[i, j]
-        differ = int(i and j and hyp[i - 1] != ref[j - 1])
-        if i and j and here == table[i - 1, j - 1] + differ:
+        step = steps[i, j - i + band] if i else _INSERT
+        if step == _DIAGONAL and j:
             i, j = i - 1, j - 1
-            hyp_wrong[i] = ref_wrong[j] = bool(differ)
-            place[j] = i
-        elif i and here == table[i - 1, j] + 1:
+            differ = inner_hyp[i] != inner_ref[j]
+            hyp_wrong[head + i] = ref_wrong[head + j] = differ
+            place[head + j] = head + i
+        elif step == _DELETE or not j:
             i -= 1
+            hyp_wrong[head + i] = True
         else:
             j -= 1
-            place[j] = i - 1
-    return int(table[-1, -1]), hyp_wrong, ref_wrong, place
+            ref_wrong[head + j] = True
+            place[head + j] = head + i - 1
+    return found, hyp_wrong, ref_wrong, place
+
 
+def _spans(hyp, ref, hyp_wrong, ref_wrong, place) -> list[tuple[int, int, int]]:
+    """Phrases present in both sentences that are wrong where they stand.
 
-def _spans(hyp, ref, hyp_wrong, ref_wrong, place):
-    """Phrases present in both sentences that are wrong where they stand."""
+    Such a phrase holds a wrong hypothesis word, so the search starts from those.
+    """
+    words, other = hyp.tolist(), ref.tolist()
     where: dict[int, list[int]] = {}
-    for j, word in enumerate(ref):
-        where.setdefault(int(word), []).append(j)
-    for start, word in enumerate(hyp):
-        for to in where.get(int(word), ()):
-            if abs(to - start) > MAX_MOVE:
+    for j, word in enumerate(other):
+        where.setdefault(word, []).append(j)
+    wrong_before = np.concatenate([[0], np.cumsum(ref_wrong)]).tolist()
+    found = set()
+    for p in np.flatnonzero(hyp_wrong).tolist():
+        for q in where.get(words[p], ()):
+            if abs(q - p) > MAX_MOVE:
                 continue
-            for size in range(1, MAX_SPAN + 1):
-                end = start + size
-                if end > len(hyp) or to + size > len(ref) or hyp[end - 1] != ref[to + size - 1]:
-                    break
-                if not hyp_wrong[start:end].any() or not ref_wrong[to : to + size].any():
-                    continue
-                if start <= place[to] < end:
+            left = 0
+            while (
+                left < MAX_SPAN - 1
+                and p > left
+                and q > left
+                and words[p - left - 1] == other[q - left - 1]
+            ):
+                left += 1
+            right = 1
+            while (
+                right < MAX_SPAN
+                and p + right < len(words)
+                and q + right < len(other)
+                and words[p + right] == other[q + right]
+            ):
+                right += 1
+            for back in range(left + 1):
+                start, to = p - back, q - back
+                if wrong_before[min(to + MAX_SPAN, q + right)] == wrong_before[to]:
                     continue
-                yield start, to, size
+                for size in range(back + 1, min(MAX_SPAN, back + right) + 1):
+                    if wrong_before[to + size] > wrong_before[to] and not (
+                        start <= place[to] < start + size
+                    ):
+                        found.add((start, to, size))
+    return sorted(found)
 
 
 def _moved(hyp: np.ndarray, start: int, size: int, to: int) -> np.ndarray:

@@ -29,19 +29,29 @@ def _thirteen(x: str) -> str:
     return S.tokens(s)
 
 
-def _bleu(units: str, name: str, smooth: bool) -> str:
+def bleu_sql(units: str, name: str, smooth: bool) -> str:
     """Relation ``name`` of scores from ``units(system, eval_set, rid, h, r)``."""
     def side(c: str) -> str:
-        return f"""SELECT system, eval_set, rid, n, unnest(list_transform(
-    range(1, greatest(len({c}) - n + 1, 0) + 1), lambda ig: array_to_string({c}[ig:ig + n - 1], chr(31)))) AS g
-  FROM {units}, (VALUES (1), (2), (3), (4)) o(n)"""
+        return " UNION ALL ".join(
+            f"SELECT system, eval_set, rid, {n} AS n, g{n} AS g FROM {name}_{c} WHERE g{n} IS NOT NULL"
+            for n in range(1, 5)
+        )
+
+    def grams(c: str) -> str:
+        made = ["t"]
+        for n in range(1, 4):
+            made.append(f"{made[-1]} || chr(31) || lead(t, {n}) OVER w")
+        return f"""{name}_{c} AS (SELECT system, eval_set, rid, {", ".join(f"{g} AS g{n + 1}" for n, g in enumerate(made))}
+  FROM (SELECT system, eval_set, rid, unnest({c}) AS t, unnest(range(len({c}))) AS i FROM {units})
+  WINDOW w AS (PARTITION BY system, eval_set, rid ORDER BY i)),
+"""
 
     share = "match::double"
     if smooth:
         share = "CASE WHEN match > 0 THEN match::double ELSE pow(0.5::double, zeros) END"
     else:
         share = "CASE WHEN match > 0 THEN match::double END"
-    return f"""{name}_match AS (
+    return grams("h") + grams("r") + f"""{name}_match AS (
   SELECT system, eval_set, n, sum(least(ch, cr))::bigint AS match FROM (
     SELECT system, eval_set, rid, n, g, count(*) AS ch FROM ({side("h")}) GROUP BY ALL)
   JOIN (SELECT system, eval_set, rid, n, g, count(*) AS cr FROM ({side("r")}) GROUP BY ALL)
@@ -77,12 +87,12 @@ def _units(fn) -> str:
 
 @query(
     "e4_word_bleu",
-    S.with_(S.LINES, S.pairs(), _units(_thirteen), _bleu("units", "b", True), select="SELECT * FROM b"),
+    S.with_(S.LINES, S.pairs(), _units(_thirteen), bleu_sql("units", "b", True), select="SELECT * FROM b"),
 )
 def e4(spark, sf_dir):
     pairs = hypothesis_pairs(document_lines(spark, sf_dir))
     unit = metrics.UNITS["word"]
-    return metrics.corpus_bleu(pairs, BY, unit(F.col("hyp")), unit(F.col("ref")), smooth=True)
+    return metrics.corpusbleu_sql(pairs, BY, unit(F.col("hyp")), unit(F.col("ref")), smooth=True)
 
 
 _CHAR = HYPOTHESIS_SQL[("robust", "l2")]
@@ -94,14 +104,14 @@ _CHAR = HYPOTHESIS_SQL[("robust", "l2")]
         S.LINES,
         f"""units AS (SELECT lang AS system, split AS eval_set, row_key AS rid,
   regexp_extract_all({_CHAR}, '.') AS h, regexp_extract_all(src, '.') AS r FROM lines)""",
-        _bleu("units", "b", False),
+        bleu_sql("units", "b", False),
         select="SELECT system AS lang, eval_set AS split, * EXCLUDE (system, eval_set) FROM b",
     ),
 )
 def e5(spark, sf_dir):
     lines = document_lines(spark, sf_dir).withColumn("hyp", F.expr(_CHAR))
     unit = metrics.UNITS["char"]
-    return metrics.corpus_bleu(lines, ["lang", "split"], unit(F.col("hyp")), unit(F.col("src")))
+    return metrics.corpusbleu_sql(lines, ["lang", "split"], unit(F.col("hyp")), unit(F.col("src")))
 
 
 @query("e7_translation_edit_rate")
@@ -183,7 +193,7 @@ def e9(spark, sf_dir):
         _units(_lower_tokens).replace("units AS", "lower_units AS"),
         METEOR.replace("FROM units", "FROM lower_units"),
         _units(S.tokens),
-        _bleu("units", "b", False),
+        bleu_sql("units", "b", False),
         "s AS (SELECT system, eval_set, bleu, meteor FROM b JOIN m USING (system, eval_set))",
         select="SELECT system, "
         + ", ".join(
@@ -203,7 +213,7 @@ def e9(spark, sf_dir):
 def e10(spark, sf_dir):
     pairs = hypothesis_pairs(document_lines(spark, sf_dir))
     hyp, ref = text.tokens(F.col("hyp")), text.tokens(F.col("ref"))
-    scores = metrics.corpus_bleu(pairs, BY, hyp, ref).join(
+    scores = metrics.corpusbleu_sql(pairs, BY, hyp, ref).join(
         metrics.corpus_meteor(pairs, BY, hyp, ref), BY
     )
     return metrics.score_matrix(scores, ["bleu", "meteor"])

@@ -58,9 +58,9 @@ def read_bitext(spark: SparkSession, src_path: str, tgt_path: str) -> DataFrame:
 def read_shards(spark: SparkSession, pattern: str) -> DataFrame:
     """All shards of a corpus in one read: ``shard, line``.
 
-    The shard number is the last dotted part of the file or directory name.
+    The shard number ends the file or directory name: ``train.clean.7`` or ``shard=7``.
     """
-    number = F.regexp_extract(F.col("_metadata.file_path"), r"\.(\d+)(?:/[^/]*)?$", 1)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"[.=](\d+)(?:/[^/]*)?$", 1)
     return spark.read.text(pattern).select(
         number.cast("int").alias("shard"), F.col("value").alias("line")
     )
