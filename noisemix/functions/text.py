@@ -16,8 +16,8 @@ ABBREVIATIONS = [
 ]
 
 # A word with any capital is never split, so only all-lower endings need a pattern.
-_KEPT = [a[:-1].replace(".", r"\.") for a in ABBREVIATIONS if a == a.lower()]
-_DETACH = r"(?<![^ ])([^ A-Z]+)(?<!" + "|".join(_KEPT) + r")\.(?= )"
+_KEPT = [a.replace(".", r"\.") for a in ABBREVIATIONS if a == a.lower()]
+_DETACH = r"(?<![^ ])([^ A-Z]+)\.(?= )(?<!" + "|".join(_KEPT) + ")"
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -48,6 +48,11 @@ def strip_punctuation(c: Column) -> Column:
     return F.regexp_replace(c, PUNCTUATION, "")
 
 
+def strip_tokens(toks: Column) -> Column:
+    """Every token without punctuation, in one pass over the line; marks become ``''``."""
+    return F.split(strip_punctuation(untokens(toks)), " ")
+
+
 def is_letters(c: Column) -> Column:
     return c.rlike(r"^\p{L}+$")
 

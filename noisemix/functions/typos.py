@@ -75,10 +75,10 @@ def edit_word(word: Column, digest: Column) -> Column:
     ).otherwise(swap_letters(word, lane(digest, 2)))
 
 
-def word_weight(token: Column) -> Column:
-    """Length without punctuation for a word long enough to mistype, else 0."""
-    return let(
-        text.strip_punctuation(token),
+def word_weights(toks: Column) -> Column:
+    """Length without punctuation of every word long enough to mistype, 0 for the others."""
+    return F.transform(
+        text.strip_tokens(toks),
         lambda s: F.when((F.length(s) >= MIN_WORD) & text.is_letters(s), F.length(s)).otherwise(
             F.lit(0)
         ),
@@ -161,7 +161,7 @@ def typo_sentence(toks: Column, row_key: Column, p: float, seed: int) -> Column:
         )
 
     return F.when(
-        F.size(toks) >= MIN_SENTENCE, let(F.transform(toks, word_weight), with_weights)
+        F.size(toks) >= MIN_SENTENCE, let(word_weights(toks), with_weights)
     ).otherwise(untouched())
 
 

@@ -76,7 +76,7 @@ def _joined_ids(df: DataFrame, dictionary: DataFrame, keys: list[str], tokens: s
     )
     ids = found.groupBy(*keys).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("_at", F.col("_id").cast("long").alias("_id")))),
+            F.sort_array(F.collect_list(F.struct("_at", F.col("_id").cast("long").alias("_id")))),
             lambda x: x["_id"],
         ).alias("ids")
     )

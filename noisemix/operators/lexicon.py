@@ -87,7 +87,7 @@ def mark_proper_nouns(
         df.select(*keys, F.inline(openings(opens)))
         .join(lexicon.select("word"), "word")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("clause")).alias("proper_at"))
+        .agg(F.sort_array(F.collect_list("clause")).alias("proper_at"))
     )
     return df.join(found, keys, "left").withColumn(
         "proper_at", F.coalesce("proper_at", F.array().cast("array<int>"))

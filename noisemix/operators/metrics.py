@@ -209,7 +209,7 @@ def embedding_score(vectors: DataFrame, keys: list[str]) -> DataFrame:
         return (
             vectors.filter(F.col("side") == side)
             .groupBy(*keys, F.floor(F.col("pos") / _BLOCK).alias(f"{side}_block"))
-            .agg(F.array_sort(F.collect_list(token)).alias("t"))
+            .agg(F.sort_array(F.collect_list(token)).alias("t"))
             .select(
                 *keys,
                 f"{side}_block",

@@ -73,7 +73,7 @@ def attach_candidates(candidates: DataFrame, keys: list[str]) -> Step:
     def step(df: DataFrame) -> DataFrame:
         ranked = candidates.groupBy(*keys).agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda c: c["phrase"]
+                F.sort_array(F.collect_list(F.struct("rank", "phrase"))), lambda c: c["phrase"]
             ).alias("candidates")
         )
         return df.join(ranked, keys, "left")
@@ -178,18 +178,17 @@ def compound_noise(recipe: Recipe, seed: int) -> Step:
         clean = F.col("tokens")
         candidates = F.col("candidates") if "candidates" in df.columns else None
         noised = noise_line(clean, F.col("proper_at"), candidates, F.col("row_key"), recipe, seed)
-        return df.withColumn("_e", noised).select(
-            "*",
-            F.col("_e.tokens").alias("noised"),
-            *[
-                F.col(f"_e.{c}").alias(f"n_{c}")
-                for c in ("sub", "swap", "runon", "para")
-            ],
-            F.size(F.filter(clean, lambda t: ~text.is_punctuation_only(t))).alias("tokens_before"),
-            F.size(
-                F.filter(clean, lambda t: ~text.is_letters(text.strip_punctuation(t)))
-            ).alias("non_alpha"),
-        ).drop("_e")
+        return (
+            df.withColumn("_e", noised)
+            .withColumn("_bare", text.strip_tokens(clean))
+            .select(
+                *df.columns,
+                F.col("_e.tokens").alias("noised"),
+                *[F.col(f"_e.{c}").alias(f"n_{c}") for c in ("sub", "swap", "runon", "para")],
+                F.size(F.array_remove("_bare", "")).alias("tokens_before"),
+                F.size(F.filter("_bare", lambda t: ~text.is_letters(t))).alias("non_alpha"),
+            )
+        )
 
     return step
 
@@ -250,7 +249,7 @@ def combine_batches(
             return let(
                 at,
                 lambda i: F.struct(
-                    F.array_sort(F.concat(acc["taken"], F.array(i))).alias("taken"),
+                    F.sort_array(F.concat(acc["taken"], F.array(i))).alias("taken"),
                     F.concat(acc["chosen"], F.array(i)).alias("chosen"),
                 ),
             )
@@ -298,7 +297,7 @@ def combine_batches(
         has_candidates = "candidates" in df.columns
         carried = [c for c in df.columns if c not in batch and c not in order]
         rows = df.groupBy(*batch).agg(
-            F.array_sort(F.collect_list(F.struct(*order, *carried))).alias("_rows")
+            F.sort_array(F.collect_list(F.struct(*order, *carried))).alias("_rows")
         )
 
         def combined(row: Column, me: Column) -> Column:
@@ -417,7 +416,7 @@ def chain_runons(
         return (
             started.groupBy(*doc, "start")
             .agg(
-                F.array_sort(
+                F.sort_array(
                     F.collect_list(
                         F.struct(
                             pos.alias("pos"),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from noisemix.functions import text
 from noisemix.functions.draws import let
 from noisemix.sources.checkpoints import cut
+from noisemix.sources.partitions import spread
 
 MARK = chr(0x2581)  # stands for the space before a word
 COVERAGE = 0.9995  # fixed values: share of characters kept, longest piece, symbols, sentence cap
@@ -145,7 +146,7 @@ def train_merges(
     short and a lost executor costs one rewrite.
     """
     spark = words.sparkSession
-    base = cut(word_symbols(words, covered))
+    base = cut(spread(word_symbols(words, covered)))
     learned: list[tuple[int, str, str, int]] = []
     pending: list = []
 

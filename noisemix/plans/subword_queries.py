@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from noisemix.functions import text
@@ -12,13 +14,14 @@ from noisemix.plans import sql as S
 from noisemix.plans.catalog import query
 from noisemix.plans.metric_queries import bleu_sql
 from noisemix.plans.text_queries import KEYS
-from noisemix.sources.checkpoints import cut
+from noisemix.sources.checkpoints import cut, shared_folder
 from noisemix.sources.corpora import (
     conversation_pairs,
     document_lines,
     hypothesis_pairs,
     table,
 )
+from noisemix.sources.sinks import reuse
 
 MERGES = 24
 _WORDS = (
@@ -73,12 +76,19 @@ def corpus_words(spark, sf_dir):
     return W.word_counts(document_lines(spark, sf_dir), "src")
 
 
-def trained(spark, sf_dir):
+def train(spark, sf_dir):
     words = cut(corpus_words(spark, sf_dir))
     chars = W.character_coverage(words).filter("covered").select("char").collect()
     return W.train_merges(words, [r[0] for r in chars], MERGES)
 
 
+def trained(spark, sf_dir):
+    """Training is skipped when this application has trained on the same table before."""
+    name = hashlib.md5(f"{sf_dir}|{MERGES}|{W.COVERAGE}|{W.MAX_PIECE}".encode()).hexdigest()
+    path = f"{shared_folder(spark)}/merges-{name}"
+    return reuse(spark, path, lambda: train(spark, sf_dir))
+
+
 @query(
     "a9_pooled_text",
     f"""SELECT side, line, count(*) AS n FROM (
@@ -126,7 +136,7 @@ def h1_pairs(spark, sf_dir):
     ),
 )
 def h1(spark, sf_dir):
-    return trained(spark, sf_dir)
+    return train(spark, sf_dir)
 
 
 _PIECES = f"""encoded AS (

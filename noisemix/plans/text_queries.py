@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from noisemix.functions import clauses, text
 from noisemix.functions.draws import uniform
-from noisemix.functions.typos import word_weight
+from noisemix.functions.typos import word_weights
 from noisemix.operators.lexicon import mark_proper_nouns, mine_proper_nouns
 from noisemix.operators.noise import prepare
 from noisemix.plans import sql as S
 from noisemix.plans.catalog import SEED, query
+from noisemix.sources.checkpoints import shared_folder
 from noisemix.sources.corpora import (
     conversation_pairs,
     denoising_pairs,
     document_lines,
     rotated_candidates,
 )
+from noisemix.sources.sinks import reuse
 
 KEYS = ["doc_id", "pos"]
 
@@ -224,7 +228,7 @@ def b12(spark, sf_dir):
     df = document_lines(spark, sf_dir).withColumn("tk", text.detach_periods(F.col("src")))
     return df.select(
         *KEYS,
-        F.size(F.filter("tk", lambda t: word_weight(t) > 0)).cast("long").alias("n_words"),
+        F.size(F.filter(word_weights(F.col("tk")), lambda w: w > 0)).cast("long").alias("n_words"),
         (
             (F.size("tk") >= 4)
             & F.exists("tk", lambda t: text.is_letters(text.strip_punctuation(t)))
@@ -240,10 +244,20 @@ def k2(spark, sf_dir):
     return mine_proper_nouns(document_lines(spark, sf_dir))
 
 
+def lexicon(spark, sf_dir):
+    """Mined once per application and table."""
+    name = hashlib.md5(f"lexicon|{sf_dir}".encode()).hexdigest()
+    return reuse(
+        spark,
+        f"{shared_folder(spark)}/lexicon-{name}",
+        lambda: mine_proper_nouns(document_lines(spark, sf_dir)),
+    )
+
+
 def marked_lines(spark, sf_dir):
     """Prepared document lines with proper nouns marked."""
-    lines = denoising_pairs(spark, sf_dir)
-    return mark_proper_nouns(lines.transform(prepare(KEYS)), mine_proper_nouns(lines), KEYS)
+    lines = denoising_pairs(spark, sf_dir).transform(prepare(KEYS))
+    return mark_proper_nouns(lines, lexicon(spark, sf_dir), KEYS)
 
 
 @query(

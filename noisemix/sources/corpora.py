@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 
 from noisemix.functions import text
 
+from .partitions import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on a small input; an input with enough splits keeps them, unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(4 * cores, *keys)
-
-
 def split_of(doc_id) -> F.Column:
     rest = doc_id % 10
     return F.when(rest < 8, "train").when(rest == 8, "dev").otherwise("test")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,15 @@ def write_once(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reuse(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; made and written first where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.mode("ignore").parquet(path)
+        return spark.read.parquet(path)
+
+
 def write_aligned_text(df: DataFrame, order: list[str], columns: dict[str, str]) -> None:
     """One text file set per column, all in the same line order: ``{column: path}``."""
     ordered = df.orderBy(*order)
