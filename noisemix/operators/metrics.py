@@ -250,14 +250,19 @@ def embedding_score(vectors: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def score_matrix(scores: DataFrame, metrics: list[str], sets: tuple[str, str] = ("ref", "l2")) -> DataFrame:
+def score_matrix(
+    scores: DataFrame, metrics: list[str], sets: tuple[str, str] = ("ref", "l2")
+) -> DataFrame:
     """Systems by evaluation sets, and how much each metric drops from the first set to the second."""
-    wide = scores.groupBy("system").pivot("eval_set", list(sets)).agg(
-        *[F.first(m).alias(m) for m in metrics]
+    wide = scores.groupBy("system").agg(
+        *[
+            F.max(F.when(F.col("eval_set") == s, F.col(m))).alias(f"{s}_{m}")
+            for s in sets
+            for m in metrics
+        ]
     )
     clean, noisy = sets
-    return wide.select(
-        "system",
-        *[F.col(f"{s}_{m}") for s in sets for m in metrics],
-        *[F.round(F.col(f"{clean}_{m}") - F.col(f"{noisy}_{m}"), 6).alias(f"gap_{m}") for m in metrics],
-    )
+    gaps = [
+        F.round(F.col(f"{clean}_{m}") - F.col(f"{noisy}_{m}"), 6).alias(f"gap_{m}") for m in metrics
+    ]
+    return wide.select("*", *gaps)
