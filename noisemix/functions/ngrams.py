@@ -14,15 +14,18 @@ from .draws import let
 _JOIN = "\x1f"
 
 
-def grams(units: Column, n: int) -> Column:
-    if n == 1:
-        return units
+def longer_grams(grams: Column, units: Column, n: int) -> Column:
+    """n-grams from the (n-1)-grams of the same units."""
     return F.transform(
-        F.slice(units, 1, F.greatest(F.size(units) - (n - 1), F.lit(0))),
-        lambda _, i: F.array_join(F.slice(units, i + 1, n), _JOIN),
+        F.slice(grams, 1, F.greatest(F.size(units) - (n - 1), F.lit(0))),
+        lambda g, i: F.concat(g, F.lit(_JOIN), F.get(units, i + (n - 1))),
     )
 
 
+def _has_repeats(g: Column) -> Column:
+    return F.size(F.array_distinct(g)) < F.size(g)
+
+
 def _repeated(g: Column) -> Column:
     """Distinct values that occur more than once."""
     return let(
@@ -38,11 +41,14 @@ def clipped_matches(hyp: Column, ref: Column) -> Column:
         return F.size(g) - F.size(F.array_remove(g, value))
 
     # every shared value once, plus what values repeated on both sides add
-    extra = F.aggregate(
-        F.array_intersect(_repeated(hyp), _repeated(ref)),
-        F.lit(0),
-        lambda acc, v: acc + F.least(count(hyp, v), count(ref, v)) - 1,
-    )
+    extra = F.when(
+        _has_repeats(hyp) & _has_repeats(ref),
+        F.aggregate(
+            F.array_intersect(_repeated(hyp), _repeated(ref)),
+            F.lit(0),
+            lambda acc, v: acc + F.least(count(hyp, v), count(ref, v)) - 1,
+        ),
+    ).otherwise(F.lit(0))
     return F.size(F.array_intersect(hyp, ref)) + extra
 
 
@@ -52,15 +58,21 @@ def bleu_counts(hyp: Column, ref: Column, max_n: int = 4) -> Column:
     def total(n: int) -> Column:
         return F.greatest(F.size(hyp) - (n - 1), F.lit(0))
 
-    def match(n: int) -> Column:
+    def matches(h: Column, r: Column, n: int, found: list[Column]) -> Column:
+        """Matches of all orders, each order's grams built from the one before."""
+        found = [*found, clipped_matches(h, r)]
+        if n == max_n:
+            return F.array(*found)
         return let(
-            grams(hyp, n), lambda h: let(grams(ref, n), lambda r: clipped_matches(h, r))
+            longer_grams(h, hyp, n + 1),
+            lambda h2: let(
+                longer_grams(r, ref, n + 1), lambda r2: matches(h2, r2, n + 1, found)
+            ),
         )
 
-    orders = range(1, max_n + 1)
-    totals = F.array(*[total(n) for n in orders])
+    totals = F.array(*[total(n) for n in range(1, max_n + 1)])
     return F.struct(
-        F.when(hyp == ref, totals).otherwise(F.array(*[match(n) for n in orders])).alias("match"),
+        F.when(hyp == ref, totals).otherwise(matches(hyp, ref, 1, [])).alias("match"),
         totals.alias("total"),
         F.size(hyp).alias("hyp_len"),
         F.size(ref).alias("ref_len"),

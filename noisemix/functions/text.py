@@ -108,6 +108,9 @@ def tokenise_13a(c: Column) -> Column:
     s = F.replace(c, F.lit("<skipped>"), F.lit(""))
     for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         s = F.replace(s, F.lit(entity), F.lit(char))
+    # most lines hold no markup and skip the five passes
+    marked = F.contains(c, F.lit("&")) | F.contains(c, F.lit("<skipped>"))
+    s = F.when(marked, s).otherwise(c)
     s = F.concat(F.lit(" "), s, F.lit(" "))
     s = F.regexp_replace(s, r"([\{-~\[-` -&\(-\+:-@/])", " $1 ")
     s = F.regexp_replace(s, r"([^0-9])([\.,])", "$1 $2 ")

@@ -15,6 +15,7 @@ from noisemix.functions.draws import let
 
 # Above this many words the lexicon is joined instead of shipped inside the plan.
 INLINE_WORDS = 20_000
+_SALTS = 16
 
 
 def _word(token: Column) -> Column:
@@ -83,9 +84,12 @@ def mark_proper_nouns(
                 F.filter(openings(opens), lambda o: known(o["word"])), lambda o: o["clause"]
             ),
         )
+    # a frequent opening word is spread over several tasks, each with its share of the lexicon
+    salts = F.array(*[F.lit(i) for i in range(_SALTS)])
     found = (
         df.select(*keys, F.inline(openings(opens)))
-        .join(lexicon.select("word"), "word")
+        .withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(_SALTS)).cast("int"))
+        .join(lexicon.select("word", F.explode(salts).alias("_salt")), ["word", "_salt"])
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("clause")).alias("proper_at"))
     )

@@ -386,6 +386,8 @@ def chain_runons(
     of positions and carried across blocks, so a document holding a third of the corpus is
     still spread over many tasks; a group itself is short, its length being geometric.
     """
+    if not 0.0 <= prob < 1.0:
+        raise ValueError("with a chance of 1 the whole document would be one line")
 
     def step(df: DataFrame) -> DataFrame:
         pos = F.col(position)

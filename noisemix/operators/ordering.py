@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from noisemix.sources.checkpoints import cut
 
+BROADCAST_GROUPS = 100_000
 _PARTITION_BITS = 33  # layout of monotonically_increasing_id
 
 
 def dense_row_number(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
-    """0-based position of every row in the global order ``order``."""
+    """0-based position of every row in the global order ``order``.
+
+    End the order with a key: rows that tie on all of it cannot be spread.
+    """
     spread = cut(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright("_mid", _PARTITION_BITS)
     local = F.col("_mid").bitwiseAND((1 << _PARTITION_BITS) - 1)
@@ -39,13 +43,15 @@ def group_row_number(
 ) -> DataFrame:
     """0-based position inside each group, where one group may hold most of the rows.
 
-    The group columns must have few distinct values (splits, length buckets): their
-    start positions are broadcast.
+    Meant for groups like splits and length buckets: the start positions of up to
+    ``BROADCAST_GROUPS`` groups are broadcast, more are joined.
     """
     numbered = dense_row_number(df, [*group, *order], "_pos")
-    sizes = numbered.groupBy(*group).agg(F.min("_pos").alias("_first"))
+    starts = cut(numbered.groupBy(*group).agg(F.min("_pos").alias("_first")))
+    if starts.count() <= BROADCAST_GROUPS:
+        starts = F.broadcast(starts)
     return (
-        numbered.join(F.broadcast(sizes), group)
+        numbered.join(starts, group)
         .withColumn(name, F.col("_pos") - F.col("_first"))
         .drop("_pos", "_first")
     )

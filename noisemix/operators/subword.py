@@ -146,7 +146,7 @@ def train_merges(
     short and a lost executor costs one rewrite.
     """
     spark = words.sparkSession
-    base = cut(spread(word_symbols(words, covered)))
+    base = spread(cut(word_symbols(words, covered)))
     learned: list[tuple[int, str, str, int]] = []
     pending: list = []
 

@@ -209,6 +209,19 @@ def test_tail_batch_and_single_line_batch(spark):
     assert [r.n_append for r in out.filter("pos = 8").collect()] == [0, 0]
 
 
+def test_large_batches(spark):
+    plain = recipe("x", ["typo", "runon_comb"], [0.15, 0.5])
+    df = prepared(spark, docs=2, lines=1500).withColumn("batch", F.floor(F.col("pos") / 1000))
+    out = df.transform(noise.apply_recipe(plain, ["doc", "batch"], ["pos"], 1000, 2))
+    assert out.count() == 3000
+    assert abs(out.agg(F.avg("n_append")).first()[0] - 1.0) < 0.1
+
+
+def test_a_chain_needs_an_end(spark):
+    with pytest.raises(ValueError):
+        noise.chain_runons(["doc"], "pos", 1.0, 1)
+
+
 def test_batch_sizes(spark):
     df = spark.range(19).withColumnRenamed("id", "sent_id").transform(noise.assign_batches(8))
     assert sorted(r["count"] for r in df.groupBy("batch_id").count().collect()) == [3, 8, 8]
