@@ -26,28 +26,46 @@ def _has_repeats(g: Column) -> Column:
     return F.size(F.array_distinct(g)) < F.size(g)
 
 
-def _repeated(g: Column) -> Column:
-    """Distinct values that occur more than once."""
-    return let(
-        F.sort_array(g),
-        lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))),
-    )
+def _further_copies(g: Column) -> Column:
+    """Second, third, ... copies of the values of an array, each with its number.
 
+    Works on the runs of the sorted array, so the cost is that of the sort.
+    """
 
-def clipped_matches(hyp: Column, ref: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
+    def copies(s: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(s)))
+        runs = F.filter(
+            F.arrays_zip(starts.alias("start"), ends.alias("end")),
+            lambda run: run["end"] - run["start"] > 1,
+        )
+        return F.flatten(
+            F.transform(
+                runs,
+                lambda run: F.transform(
+                    F.sequence(F.lit(2), run["end"] - run["start"]),
+                    lambda k: F.concat(
+                        F.get(s, run["start"]), F.lit(_JOIN), k.cast("string")
+                    ),
+                ),
+            )
+        )
+
+    def runs_of(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1),
+            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
+        )
+        return let(starts, lambda at: copies(s, at))
+
+    return let(F.sort_array(g), runs_of)
 
-    def count(g: Column, value: Column) -> Column:
-        return F.size(g) - F.size(F.array_remove(g, value))
 
-    # every shared value once, plus what values repeated on both sides add
+def clipped_matches(hyp: Column, ref: Column) -> Column:
+    """Size of the multiset intersection of two arrays."""
+    # every shared value once, plus the further copies both sides have
     extra = F.when(
         _has_repeats(hyp) & _has_repeats(ref),
-        F.aggregate(
-            F.array_intersect(_repeated(hyp), _repeated(ref)),
-            F.lit(0),
-            lambda acc, v: acc + F.least(count(hyp, v), count(ref, v)) - 1,
-        ),
+        F.size(F.array_intersect(_further_copies(hyp), _further_copies(ref))),
     ).otherwise(F.lit(0))
     return F.size(F.array_intersect(hyp, ref)) + extra
 
