@@ -318,7 +318,7 @@ def c8(spark, sf_dir):
     )
 
 
-def _counts_sql(name: str, r) -> str:
+def _counts_sql(name: str) -> str:
     changed = "sum((coalesce(sub, 0) + coalesce(swap, 0) + coalesce(runon, 0) > 0)::int)::bigint"
     return f"""SELECT '{name}' AS recipe, split, count(*) AS n_lines, {changed} AS n_changed
 FROM own_{name} JOIN lines USING (row_key) GROUP BY split"""
@@ -331,7 +331,7 @@ FROM own_{name} JOIN lines USING (row_key) GROUP BY split"""
         S.BASE,
         *_CHOSEN[2:],
         *[S.noise("base", f"own_{n}", RECIPES[n]) for n in ("typo", "runon", "both")],
-        select=" UNION ALL ".join(_counts_sql(n, RECIPES[n]) for n in ("typo", "runon", "both"))
+        select=" UNION ALL ".join(_counts_sql(n) for n in ("typo", "runon", "both"))
         + """ UNION ALL SELECT 'para', split, count(*),
   sum((phrase IS NOT NULL AND phrase <> original)::int)::bigint
 FROM plain LEFT JOIN fixed USING (doc_id, pos) GROUP BY split""",

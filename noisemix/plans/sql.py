@@ -344,8 +344,8 @@ def combine(own: str, out: str, recipe: Recipe, size: int) -> str:
 
 
 def variants() -> str:
-    """Relations ``variants`` and ``pairs`` from ``lines``."""
-    from noisemix.sources.corpora import HYPOTHESIS_SQL, VARIANT_SQL
+    """Relation ``variants`` from ``lines``."""
+    from noisemix.sources.corpora import VARIANT_SQL
 
     kinds = " UNION ALL ".join(
         f"SELECT doc_id, pos, split, '{k}' AS kind, {sql} AS src FROM lines"
@@ -357,6 +357,7 @@ def variants() -> str:
 
 
 def pairs() -> str:
+    """Relation ``pairs`` from ``lines``."""
     from noisemix.sources.corpora import HYPOTHESIS_SQL
 
     cells = " UNION ALL ".join(
