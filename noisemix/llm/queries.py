@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noisemix.llm import bpe, langid, secrets, sharding
+from noisemix.llm import bpe, jaccard, langid, secrets, sharding
 from noisemix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op4_bpe": _documents(lambda docs: bpe.encode_digests(docs, bpe.default_file())),
     "op7_language_id": _documents(langid.identify),
     "op8_secret_scan": _documents(secrets.scan_documents),
+    "op9_ngram_jaccard": _documents(jaccard.join_documents),
     "op10_sharding": _documents(sharding.shard_documents),
 }
 
