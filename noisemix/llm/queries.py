@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noisemix.llm import bpe, jaccard, langid, secrets, sharding
+from noisemix.llm import bpe, decontamination, jaccard, langid, secrets, sharding, sql
 from noisemix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,12 @@ def _documents(apply: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: apply(table(spark, sf_dir, "documents"))
 
 
+def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_decontamination": decontaminated,
     "op4_bpe": _documents(lambda docs: bpe.encode_digests(docs, bpe.default_file())),
     "op7_language_id": _documents(langid.identify),
     "op8_secret_scan": _documents(secrets.scan_documents),
@@ -24,4 +29,7 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": _documents(sharding.shard_documents),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_decontamination": sql.DECONTAMINATION,
+    "op9_ngram_jaccard": sql.JACCARD,
+}
