@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noisemix.llm import bpe, decontamination, jaccard, langid, secrets, sharding, sql
+from noisemix.llm import bpe, decontamination, jaccard, langid, secrets, sharding, sql, topk
 from noisemix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +21,12 @@ def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_top_k": nearest,
     "op3_decontamination": decontaminated,
     "op4_bpe": _documents(lambda docs: bpe.encode_digests(docs, bpe.default_file())),
     "op7_language_id": _documents(langid.identify),
@@ -30,6 +36,7 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_top_k": sql.TOP_K,
     "op3_decontamination": sql.DECONTAMINATION,
     "op9_ngram_jaccard": sql.JACCARD,
 }

@@ -55,3 +55,17 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
   CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id
 FROM fold LEFT JOIN sizes USING (rid) LEFT JOIN least_id USING (rid)
 """
+
+TOP_K = r"""
+WITH parts AS (
+  SELECT vec_id, pos, floor(256 * embedding[pos]::DOUBLE)::BIGINT AS x
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)
+), bad AS (SELECT DISTINCT vec_id FROM (SELECT vec_id, unnest(embedding) AS e FROM embeddings) WHERE e IS NULL OR NOT isfinite(e)),
+good AS (SELECT * FROM parts WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM good q JOIN good c ON q.pos = c.pos AND q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+"""
