@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisemix.llm import bpe, decontamination, jaccard, langid, secrets, sharding, sql, topk
+from noisemix.llm import bpe, decontamination, jaccard, langid, secrets, sharding, sql, tokenfiles, toolcalls, topk
 from noisemix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,10 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_top_k": nearest,
+    "op2_token_counts": _documents(tokenfiles.count_documents),
     "op3_decontamination": decontaminated,
     "op4_bpe": _documents(lambda docs: bpe.encode_digests(docs, bpe.default_file())),
+    "op6_chat_formatting": lambda spark, sf_dir: toolcalls.format_conversations(table(spark, sf_dir, "conversations")),
     "op7_language_id": _documents(langid.identify),
     "op8_secret_scan": _documents(secrets.scan_documents),
     "op9_ngram_jaccard": _documents(jaccard.join_documents),
@@ -37,6 +39,8 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op1_top_k": sql.TOP_K,
+    "op2_token_counts": sql.TOKEN_COUNTS,
     "op3_decontamination": sql.DECONTAMINATION,
+    "op6_chat_formatting": sql.TOOL_CALLS,
     "op9_ngram_jaccard": sql.JACCARD,
 }

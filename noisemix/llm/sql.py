@@ -69,3 +69,26 @@ scores AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
 """
+
+TOKEN_COUNTS = r"""
+SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
+"""
+
+TOOL_CALLS = r"""
+WITH asked AS (
+  SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations
+  WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+), calls AS (
+  SELECT *, conv_id || ':' || turn AS call_id, row_number() OVER w - 1 AS level, lag(conv_id || ':' || turn) OVER w AS after
+  FROM asked WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), results AS (
+  SELECT conv_id, turn - 1 AS turn, min(coalesce(text, '')) AS content FROM conversations
+  WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+)
+SELECT conv_id, turn, call_id, level::INTEGER AS level,
+  CASE WHEN length(text) < 1 THEN '$.n_chars: below minimum' WHEN length(text) > 400 THEN '$.text: too long'
+    WHEN content IS NULL THEN 'no result' ELSE 'ok' END AS status,
+  '{"after":' || coalesce(to_json(after)::VARCHAR, 'null') || ',"arguments":{"n_chars":' || length(text) || ',"text":' || to_json(text)
+    || '},"id":"' || call_id || '","name":"answer","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS line
+FROM calls LEFT JOIN results USING (conv_id, turn)
+"""
