@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisemix.llm import bpe, decontamination, jaccard, langid, secrets, sharding, sql, tokenfiles, toolcalls, topk
+from noisemix.llm import bpe, contextmixing, decontamination, jaccard, langid, secrets, sharding, sql, tokenfiles, toolcalls, topk
 from noisemix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": _documents(tokenfiles.count_documents),
     "op3_decontamination": decontaminated,
     "op4_bpe": _documents(lambda docs: bpe.encode_digests(docs, bpe.default_file())),
+    "op5_lm_score": _documents(contextmixing.score_documents),
     "op6_chat_formatting": lambda spark, sf_dir: toolcalls.format_conversations(table(spark, sf_dir, "conversations")),
     "op7_language_id": _documents(langid.identify),
     "op8_secret_scan": _documents(secrets.scan_documents),
