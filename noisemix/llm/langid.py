@@ -10,13 +10,13 @@ keeps them, in a table of bounded size, and evaluates all new runs of a batch si
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ HIDDEN = 16
 STEPS = 300
 BATCH = 384
 KEPT_RUNS = 500_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def runs_of(text: str) -> list[bytes]:

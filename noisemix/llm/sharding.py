@@ -41,11 +41,11 @@ def even_map(virtual_slots: int, shards: int) -> list[int]:
     return [slot * shards // virtual_slots for slot in range(virtual_slots)]
 
 
-def edited_map(shard_of: list[int], weight: list[int], shards: int) -> list[int]:
+def edited_map(shard_of: list[int], weight: list[int], shards: int, taker: int | None = None) -> list[int]:
     """Moves slots from the heaviest shard to the lightest until no move narrows the gap.
 
-    The slot that comes closest to half the gap moves; ties go to the smaller slot.  A map with
-    fewer shards than asked for grows this way, and the new shard only takes.
+    The slot that comes closest to half the gap moves; ties go to the smaller slot.  With a
+    ``taker`` (a shard that is added, say) slots only move to that one.
     """
     out = list(shard_of)
     load = [0] * shards
@@ -56,7 +56,7 @@ def edited_map(shard_of: list[int], weight: list[int], shards: int) -> list[int]
             held[shard].add(slot)
     while True:
         high = max(range(shards), key=lambda s: (load[s], -s))
-        low = min(range(shards), key=lambda s: (load[s], s))
+        low = min(range(shards), key=lambda s: (load[s], s)) if taker is None else taker
         gap = load[high] - load[low]
         fits = [s for s in held[high] if weight[s] < gap]
         if not fits:

@@ -48,9 +48,10 @@ def header(doc_id: int | None) -> list[int]:
 
 
 def header_id(tokens: list[int]) -> int | None:
-    if tokens[0] & _NULL:
+    low, middle, high = map(int, tokens)
+    if low & _NULL:
         return None
-    bits = tokens[0] | tokens[1] << 22 | tokens[2] << 44
+    bits = low | middle << 22 | high << 44
     return bits - (1 << 64) if bits >> 63 else bits
 
 
