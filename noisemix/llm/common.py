@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def folded_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8; none for null.
 
@@ -23,7 +29,3 @@ def folded_words(text: str | None) -> list[bytes]:
 def remainder(doc_id: str, modulus: int) -> Column:
     """``crc32(doc_id as text) mod modulus``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
-
-
-def crc_remainder(value: str, modulus: int) -> int:
-    return zlib.crc32(value.encode()) % modulus

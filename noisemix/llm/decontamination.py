@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noisemix.llm.common import free_name
 from noisemix.sources.checkpoints import cut, scratch
 
 WINDOW = 13
@@ -216,5 +217,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text isn't contaminated, as they are."""
-    bad = cut(decontaminate(docs, benchmark).where("contaminated").select("_key").distinct())
-    return _keyed(docs).join(_bounded(bad), "_key", "left_anti").drop("_key")
+    key = free_name(docs, "_text_key")
+    bad = cut(decontaminate(docs, benchmark).where("contaminated").select(F.col("_key").alias(key)).distinct())
+    keyed = docs.withColumn(key, F.md5(F.col("text").cast("binary")))
+    return keyed.join(_bounded(bad), key, "left_anti").select(docs.columns)

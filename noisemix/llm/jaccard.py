@@ -5,9 +5,9 @@ threshold have similar sizes and a small symmetric difference, so the sizes are
 and each band has a bound ``k`` on that difference.  The hash domain is cut into ``k + 1`` ranges;
 two sets that differ in at most ``k`` elements agree on one range at least, and the contents of
 each range (the subsets of size 1 of the ranges) are a signature.  A set signs for its own band
-and the next larger one, which covers every pair.  A range with fewer than two elements says
-little; there the set signs all ranges of another cut of the domain as well, under that range's
-signature, so that no link is lost and unrelated sets don't meet in an empty range.
+and the next larger one, which covers every pair.  Unrelated sets would meet in an empty range, so
+that one isn't signed; a set that has one signs all ranges of another cut of the domain as well.
+Two sets that agree on an empty range both do so, and no link is lost.
 
 Equal sets are one class and sign once for each task.  The classes that share a signature aren't
 expanded into pairs: in the order of the classes, each is checked against the one before and the
@@ -25,15 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noisemix.llm.common import folded_words
+from noisemix.llm.common import folded_words, free_name
 from noisemix.llm.components import components
 from noisemix.sources.checkpoints import cut, scratch
 
 SHINGLE = 3
 #: Two sets link at ``100 * |intersection| >= PERCENT * |union|``.
 PERCENT = 90
-#: A range with fewer elements than this is refined by another cut, this many times at most.
-LEAST_IN_RANGE = 2
+#: Cuts of the domain at most; the last one signs its empty ranges too.
 CUTS = 4
 _SEEN = 500_000
 _U = np.uint64
@@ -102,23 +101,24 @@ class _Cuts:
         self.s, self.ranges, self.made = s, ranges, []
 
     def at(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sums that stand for the contents, and which ranges are thin."""
+        """Sums that stand for the contents, and which ranges are empty."""
         while len(self.made) <= depth:
             domain = self.s if not self.made else np.sort(_mixed(self.s, 100 + len(self.made)))
             cuts = np.concatenate(([0], np.searchsorted(domain, _borders(self.ranges)), [len(domain)]))
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(domain, 7))))
             place = np.arange(self.ranges, dtype=np.uint64) * _M2
-            self.made.append((total[cuts[1:]] - total[cuts[:-1]] + place, np.diff(cuts) < LEAST_IN_RANGE))
+            self.made.append((total[cuts[1:]] - total[cuts[:-1]] + place, np.diff(cuts) == 0))
         return self.made[depth]
 
-    def sign(self, prefix: np.ndarray, depth: int, out: list[np.ndarray]) -> None:
-        """Signatures under each prefix; a thin range passes its own on to the next cut."""
-        content, thin = self.at(depth)
-        found = _mixed(content[None, :] + prefix[:, None], 11 + depth)
-        if depth + 1 < CUTS and self.ranges > 1 and thin.any():
-            self.sign(found[:, thin].ravel(), depth + 1, out)
-            found = found[:, ~thin]
-        out.append(found.ravel())
+    def sign(self, prefix: np.ndarray) -> Iterator[np.ndarray]:
+        """Signatures of one cut, and of the next one as long as a cut leaves a range empty."""
+        for depth in range(CUTS):
+            content, empty = self.at(depth)
+            found = _mixed(content + prefix, 11 + depth)
+            if depth + 1 == CUTS or self.ranges == 1 or not empty.any():
+                yield found
+                return
+            yield found[~empty]
 
 
 def signatures(s: np.ndarray, bands: Bands = _BANDS) -> np.ndarray:
@@ -128,7 +128,7 @@ def signatures(s: np.ndarray, bands: Bands = _BANDS) -> np.ndarray:
         own = bands.of(len(s))
         for band in (own, own + 1):
             prefix = _mixed(np.array([band], np.uint64), 3)
-            _Cuts(s, bands.bound(band) + 1).sign(prefix, 0, out)
+            out += _Cuts(s, bands.bound(band) + 1).sign(prefix)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -211,7 +211,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     path = scratch(spark, "jaccard")
     _signed_rows(docs).write.parquet(f"{path}/slim")
     slim = spark.read.parquet(f"{path}/slim")
-    by = Window.partitionBy("signature").orderBy("node")  # its rows stream by; nothing of a group is held
+    by = Window.partitionBy("signature").orderBy("node")  # its rows stream by; noemptyg of a group is held
     signed = slim.select("node", F.explode("signatures").alias("signature"))
     chained = signed.select(
         "signature", "node", F.lag("node").over(by).alias("before"), F.first("node").over(by).alias("first")
@@ -271,11 +271,11 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     per = rows.groupBy("doc_id", "text_key", "root").agg(F.count("*").alias("n")).join(best, "root")
     stays = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.key"))
     fate = F.when(~stays, "goes").when(F.col("n") > 1, "once")
-    marks = cut(
-        per.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), fate.alias("_fate")).where("_fate is not null")
-    )
-    keyed = docs.withColumn("_key_here", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key_here") == F.col("_key"))
-    clear = keyed.join(marks, same, "left_anti").drop("_key_here")
-    once = keyed.join(marks.where("_fate = 'once'"), same, "left_semi").dropDuplicates(["doc_id", "_key_here"])
-    return clear.unionByName(once.drop("_key_here"))
+    key, id_, its_key, marked = (free_name(docs, c) for c in ("_text_key", "_id", "_its_key", "_fate"))
+    marks = per.select(F.col("doc_id").alias(id_), F.col("text_key").alias(its_key), fate.alias(marked))
+    marks = cut(marks.where(F.col(marked).isNotNull()))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(its_key))
+    clear = keyed.join(marks, same, "left_anti").drop(key)
+    once = keyed.join(marks.where(F.col(marked) == "once"), same, "left_semi").dropDuplicates(["doc_id", key])
+    return clear.unionByName(once.drop(key))

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noisemix.llm.common import remainder
+from noisemix.llm.common import free_name, remainder
 
 RESULT = "lang_pred string, score double"
 UNDETERMINED = "und"
@@ -280,5 +280,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """Rows whose language the model can tell: not ``und``, and a score of at least ``least``."""
-    found = docs.withColumn("_p", predict(train(docs)))
-    return found.where((F.col("_p.lang_pred") != UNDETERMINED) & (F.col("_p.score") >= least)).drop("_p")
+    name = free_name(docs, "predicted")
+    found = docs.withColumn(name, predict(train(docs)))
+    told = (F.col(name)["lang_pred"] != UNDETERMINED) & (F.col(name)["score"] >= least)
+    return found.where(told).drop(name)

@@ -128,8 +128,8 @@ def _build(vectors: DataFrame, pivots: int) -> tuple[Index, DataFrame] | None:
     path = scratch(vectors.sparkSession, "pivot-index")
     vectors.mapInPandas(keyed, "vec_id long, v array<long>, pivot int, step int").write.parquet(path)
     stored = vectors.sparkSession.read.parquet(path)
-    histogram = np.zeros((pivots, STEPS), np.int64)
-    for r in stored.groupBy("pivot", "step").count().collect():  # pivots x STEPS at most
+    histogram = np.zeros((len(rows), STEPS), np.int64)
+    for r in stored.groupBy("pivot", "step").count().collect():  # a row for each step of each pivot at most
         histogram[r["pivot"], r["step"]] = r["count"]
     index.close(histogram)
 
