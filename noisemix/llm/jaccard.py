@@ -11,7 +11,11 @@ Two sets that agree on an empty range both do so, and no link is lost.
 
 Equal sets are one class and sign once for each task.  The classes that share a signature aren't
 expanded into pairs: in the order of the classes, each is checked against the one before and the
-first.  Only classes that remain in different components are then checked with each other.
+first.  Only classes that remain in different components can need more.  For those, each set is
+compared with one set of its family (the classes that signatures connect).  An element in which a
+set differs from that one, and no other set of the family does, is a difference to every other set
+as well.  That bounds the differences of two sets from below by three numbers of each, and only
+the pairs that the bound leaves open are checked.
 """
 
 from __future__ import annotations
@@ -202,6 +206,61 @@ def _near(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return pairs.distinct().join(a, "a").join(b, "b").where(close).select("a", "b")
 
 
+def _open_pairs(
+    members: DataFrame, pairs: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, path: str
+) -> DataFrame:
+    """Pairs ``a, b`` that share a signature, lie in different components and may yet link.
+
+    With ``c`` the number of elements in which a set differs from its family's centre, and ``r`` those
+    of them in which some other set of the family does too, two sets differ in at least
+    ``c + c' - 2 min(r, r')`` elements.
+    """
+    spark = members.sparkSession
+    families = components(pairs).withColumnRenamed("root", "family")
+    placed = sizes.join(families, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
+    centre = split.groupBy("family").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("centre"))
+    placed = cut(placed.join(centre.where("parts > 1").select("family", "centre"), "family"))
+
+    def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)
+                for x, y in zip(batch["elements"], batch["middle"], strict=True)
+            ]
+            yield pd.DataFrame({"family": batch["family"], "node": batch["node"], "differ": found})
+
+    middle = sets.select(F.col("node").alias("centre"), F.col("elements").alias("middle"))
+    both = placed.select("family", "node", "centre").join(sets, "node").join(middle, "centre")
+    both.select("family", "node", "elements", "middle").mapInPandas(
+        differences, "family long, node long, differ array<long>"
+    ).write.parquet(f"{path}/differences")
+    differ = spark.read.parquet(f"{path}/differences")
+    each = differ.select("family", "node", F.explode("differ").alias("element"))
+    own = each.groupBy("family", "element").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = own.groupBy("node").agg(F.count("*").alias("own"))
+    bounds = (
+        differ.select("node", F.size("differ").alias("c"))
+        .join(own, "node", "left")
+        .select("node", "c", (F.col("c") - F.coalesce("own", F.lit(0))).alias("r"))
+    )
+    facts = cut(placed.select("node", "root", "n").join(bounds, "node"))
+    rows = members.join(facts, "node")
+    mixed = rows.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    rows = rows.join(mixed.select("signature"), "signature")
+    left = rows.select("signature", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "c", "r")))
+    right = rows.select("signature", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "c", "r")))
+    least = F.col("c_a") + F.col("c_b") - 2 * F.least("r_a", "r_b")
+    may = (
+        (F.col("node_a") < F.col("node_b"))
+        & (F.col("root_a") != F.col("root_b"))
+        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        & (least * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    )
+    found = left.join(right, (left["signature"] == right["signature"]) & may)
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, text_key, n_shingles, node, root`` of every row; rows with one root are linked.
 
@@ -232,13 +291,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     members = chained.select("signature", "node").union(chained.select("signature", F.col("first").alias("node")))
     members = members.union(chained.select("signature", F.col("before").alias("node"))).distinct()
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    open_ = cut(placed.join(mixed.select("signature"), "signature"))
-    left = open_.select("signature", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    right = open_.select("signature", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    across = left.join(right, "signature").where("a < b and root_a != root_b").select("a", "b")
-    rest = _near(across, sizes, percent).join(checked, ["a", "b"], "left_anti")
+    rest = _open_pairs(members, pairs, roots, sizes, sets, percent, path).join(checked, ["a", "b"], "left_anti")
     more = cut(_linked(rest, sets, percent))
     if not more.isEmpty():
         roots = components(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
