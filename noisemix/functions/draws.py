@@ -60,3 +60,41 @@ def weighted_index(cumulative: Column, u: Column) -> Column:
         u * F.element_at(cumulative, -1),
         lambda x: F.size(F.filter(cumulative, lambda c: c <= x)),
     )
+
+
+def block_numbers(size: Column, block: int) -> Column:
+    """0-based numbers of the blocks of ``block`` elements of a non-empty array."""
+    return F.sequence(F.lit(0), F.floor((size - 1) / block).cast("int"))
+
+
+def block_weights(weights: Column, block: int) -> Column:
+    """Running sums over the blocks of a weight array."""
+    return running_weights(
+        F.transform(
+            block_numbers(F.size(weights), block),
+            lambda b: F.aggregate(
+                F.slice(weights, b * block + 1, block), F.lit(0), lambda acc, w: acc + w
+            ),
+        )
+    )
+
+
+def weighted_index_in_blocks(weights: Column, blocks: Column, block: int, u: Column) -> Column:
+    """:func:`weighted_index` over the running sums of ``weights``, without making them all."""
+
+    def within(x: Column, b: Column) -> Column:
+        before = F.coalesce(F.get(blocks, b - 1), F.lit(0)).cast("int")
+        found = F.aggregate(
+            F.slice(weights, b * block + 1, block),
+            F.struct(before.alias("sum"), F.lit(0).alias("n")),
+            lambda acc, w: F.struct(
+                (acc["sum"] + w).cast("int").alias("sum"),
+                (acc["n"] + F.when(acc["sum"] + w <= x, 1).otherwise(0)).alias("n"),
+            ),
+        )
+        return (b * block + found["n"]).cast("int")
+
+    return let(
+        u * F.element_at(blocks, -1),
+        lambda x: let(F.size(F.filter(blocks, lambda c: c <= x)), lambda b: within(x, b)),
+    )

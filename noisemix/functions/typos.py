@@ -6,10 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import letters, text
-from .draws import draw_hash, lane, let, running_weights, weighted_index
+from .draws import (
+    block_numbers,
+    block_weights,
+    draw_hash,
+    lane,
+    let,
+    running_weights,
+    weighted_index,
+    weighted_index_in_blocks,
+)
 
 MIN_WORD = 6
 MIN_SENTENCE = 4
+BLOCK = 64
 EDIT = "struct<word:string,sub:int,swap:int>"
 
 
@@ -90,7 +100,8 @@ def typo_sentence(toks: Column, row_key: Column, p: float, seed: int) -> Column:
 
     The number of typos is ``p`` times the token count, at least one and at most the
     number of long-enough words; words are drawn with replacement, weighted by length.
-    Typos on different words never meet, so each word folds only over its own draws.
+    Typos on different words never meet, so each word folds only over its own draws.  Words
+    are worked off in blocks, so that no step looks at all words for each of them.
     """
 
     def untouched() -> Column:
@@ -101,43 +112,46 @@ def typo_sentence(toks: Column, row_key: Column, p: float, seed: int) -> Column:
         )
 
     def with_weights(weights: Column) -> Column:
-        # (position, weight) of the words that may be hit
-        eligible = F.filter(
-            F.transform(weights, lambda w, i: F.struct(i.alias("at"), w.alias("w"))),
-            lambda e: e["w"] > 0,
-        )
-        return let(eligible, lambda e: F.when(F.size(e) > 0, hit(weights, e)).otherwise(untouched()))
+        eligible = F.size(F.filter(weights, lambda w: w > 0))
+        return let(eligible, lambda n: F.when(n > 0, hit(weights, n)).otherwise(untouched()))
 
     def hit(weights: Column, eligible: Column) -> Column:
         count = F.least(
-            F.greatest(F.floor(F.size(toks) * F.lit(float(p))).cast("int"), F.lit(1)),
-            F.size(eligible),
+            F.greatest(F.floor(F.size(toks) * F.lit(float(p))).cast("int"), F.lit(1)), eligible
         )
         return let(
-            running_weights(F.transform(eligible, lambda e: e["w"])),
-            lambda cum: let(
+            block_weights(weights, BLOCK),
+            lambda blocks: let(
                 F.transform(
                     F.transform(
                         F.sequence(F.lit(1), count),
                         lambda d: draw_hash(seed, "typo", row_key, d),
                     ),
                     lambda digest: F.struct(
-                        F.element_at(eligible, weighted_index(cum, lane(digest, 0)) + 1)["at"].alias(
-                            "at"
-                        ),
+                        weighted_index_in_blocks(weights, blocks, BLOCK, lane(digest, 0)).alias("at"),
                         digest.alias("digest"),
                     ),
                 ),
-                lambda picks: apply(weights, picks),
+                lambda picks: let(by_block(picks), lambda buckets: apply(weights, buckets)),
+            ),
+        )
+
+    def by_block(picks: Column) -> Column:
+        return F.transform(
+            block_numbers(F.size(toks), BLOCK),
+            lambda b: F.filter(
+                picks, lambda pick: (pick["at"] >= b * BLOCK) & (pick["at"] < (b + 1) * BLOCK)
             ),
         )
 
-    def apply(weights: Column, picks: Column) -> Column:
+    def apply(weights: Column, buckets: Column) -> Column:
         def word(t: Column, i: Column) -> Column:
             return F.when(
-                F.element_at(weights, i + 1) > 0,
+                F.get(weights, i) > 0,
                 F.aggregate(
-                    F.filter(picks, lambda pick: pick["at"] == i),
+                    F.filter(
+                        F.get(buckets, F.floor(i / BLOCK).cast("int")), lambda pick: pick["at"] == i
+                    ),
                     _edit(t, 0, 0),
                     lambda acc, pick: let(
                         edit_word(acc["word"], pick["digest"]),

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noisemix.sources.checkpoints import cut
+
 from .ordering import dense_row_number, group_row_number
 
 UNKNOWN = -1
@@ -58,13 +60,19 @@ def _lookup(dictionary: DataFrame):
 
 
 def _joined_ids(df: DataFrame, dictionary: DataFrame, keys: list[str], tokens: str) -> DataFrame:
-    total = dictionary.agg(F.sum("cnt")).first()[0] or 0
-    is_hot = F.col("cnt") >= F.lit(total * HOT_SHARE)
-    hot = dictionary.filter(is_hot).select("token", F.col("id").alias("_hot_id"))
-    rare = dictionary.filter(~is_hot).select("token", F.col("id").alias("_rare_id"))
-    each = df.select(*keys, F.posexplode(tokens).alias("_at", "token")).join(
-        F.broadcast(hot), "token", "left"
+    each = df.select(*keys, F.posexplode(tokens).alias("_at", "token"))
+    # what is frequent in the data counts, whether the dictionary has it or not
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    looked_up = cut(
+        counts.join(dictionary.select("token", "id"), "token", "left").select(
+            "token", "_n", F.coalesce("id", F.lit(UNKNOWN)).alias("_id")
+        )
     )
+    total = looked_up.agg(F.sum("_n")).first()[0] or 0
+    is_hot = F.col("_n") >= F.lit(total * HOT_SHARE)
+    hot = looked_up.filter(is_hot).select("token", F.col("_id").alias("_hot_id"))
+    rare = looked_up.filter(~is_hot).select("token", F.col("_id").alias("_rare_id"))
+    each = each.join(F.broadcast(hot), "token", "left")
     found = (
         each.filter("_hot_id IS NOT NULL")
         .select(*keys, "_at", F.col("_hot_id").alias("_id"))
@@ -103,10 +111,11 @@ def token_batches(
     """Batches of at most ``budget`` tokens after padding.
 
     Lines are bucketed by length in steps of ``width`` and padded to the top of their bucket,
-    so a batch takes ``budget / padded length`` of them (one at least).  Needs ``split``.
+    so a batch takes ``budget / padded length`` of them.  A line longer than the budget is a
+    batch of its own; a line without tokens (or NULL) counts as one token.  Needs ``split``.
     """
-    sized = df.withColumn("n_tokens", length).withColumn(
-        "padded", (F.ceil(F.col("n_tokens") / width) * width).cast("long")
+    sized = df.withColumn("n_tokens", F.coalesce(length, F.lit(0))).withColumn(
+        "padded", (F.ceil(F.greatest("n_tokens", F.lit(1)) / width) * width).cast("long")
     )
     numbered = group_row_number(sized, ["split", "padded"], ["n_tokens", *keys], "_at")
     capacity = F.greatest(F.floor(F.lit(budget) / F.col("padded")), F.lit(1))

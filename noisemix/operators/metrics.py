@@ -12,6 +12,12 @@ from noisemix.functions import edits, text
 from noisemix.functions.draws import let
 from noisemix.functions.ngrams import bleu_counts
 
+def _sides(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) -> DataFrame:
+    """``_h`` and ``_r`` of every pair; a NULL side has no words, and the pair stays."""
+    nothing = F.array().cast("array<string>")
+    return pairs.select(*by, F.coalesce(hyp, nothing).alias("_h"), F.coalesce(ref, nothing).alias("_r"))
+
+
 UNITS = {
     "word": text.tokenise_13a,
     "token": text.tokens,
@@ -40,7 +46,7 @@ def corpus_bleu(
     """
     orders = range(max_n)
     sums = (
-        pairs.select(*by, hyp.alias("_h"), ref.alias("_r"))
+        _sides(pairs, by, hyp, ref)
         .select(*by, bleu_counts(F.col("_h"), F.col("_r"), max_n).alias("s"))
         .groupBy(*by)
         .agg(
@@ -98,7 +104,7 @@ def word_errors(hyp: Column, ref: Column) -> Column:
 
 def corpus_wer(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) -> DataFrame:
     return (
-        pairs.select(*by, hyp.alias("_h"), ref.alias("_r"))
+        _sides(pairs, by, hyp, ref)
         .groupBy(*by)
         .agg(
             F.sum(word_errors(F.col("_h"), F.col("_r"))).cast("long").alias("edits"),
@@ -117,16 +123,12 @@ def _shift_edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
 
 def corpus_ter(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) -> DataFrame:
     """Translation edit rate: edits and phrase moves per reference word."""
-    # equal pairs need no edits and never leave the JVM
-    units = pairs.select(*by, hyp.alias("_h"), ref.alias("_r"))
-    equal = units.filter(F.col("_h") == F.col("_r")).select(
-        *by, F.lit(0).alias("_e"), F.size("_r").alias("_n")
-    )
-    other = units.filter(F.col("_h") != F.col("_r")).select(
-        *by, _shift_edits("_h", "_r").alias("_e"), F.size("_r").alias("_n")
-    )
+    units = _sides(pairs, by, hyp, ref)
+    # equal pairs need no edits: they cross to Python as empty lists
+    differ = F.col("_h") != F.col("_r")
+    shown = [F.when(differ, F.col(c)).otherwise(F.array().cast("array<string>")) for c in ("_h", "_r")]
     return (
-        equal.unionByName(other)
+        units.select(*by, _shift_edits(*shown).alias("_e"), F.size("_r").alias("_n"))
         .groupBy(*by)
         .agg(F.sum("_e").alias("edits"), F.sum("_n").alias("ref_words"))
         .withColumn("ter", F.round(F.try_divide(F.col("edits") * 100.0, F.col("ref_words")), 6))
@@ -150,13 +152,11 @@ def corpus_meteor(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) ->
     def lower(units: Column) -> Column:
         return F.transform(units, F.lower)
 
-    aligned = pairs.select(*by, lower(hyp).alias("_h"), lower(ref).alias("_r")).withColumn(
-        "a", _exact_alignment("_h", "_r")
-    )
+    aligned = _sides(pairs, by, lower(hyp), lower(ref)).withColumn("a", _exact_alignment("_h", "_r"))
     m = F.col("a.matches").cast("double")
-    precision, recall = m / F.size("_h"), m / F.size("_r")
-    fmean = precision * recall / (0.9 * precision + 0.1 * recall)
-    penalty = 0.5 * F.pow(F.col("a.chunks") / m, F.lit(3.0))
+    precision, recall = F.try_divide(m, F.size("_h")), F.try_divide(m, F.size("_r"))
+    fmean = F.try_divide(precision * recall, 0.9 * precision + 0.1 * recall)
+    penalty = 0.5 * F.pow(F.try_divide(F.col("a.chunks"), m), F.lit(3.0))
     score = F.when(m > 0, fmean * (1 - penalty)).otherwise(0.0)
     return aligned.groupBy(*by).agg(
         F.sum("a.matches").alias("matches"),
@@ -193,14 +193,15 @@ def embedding_score(vectors: DataFrame, keys: list[str]) -> DataFrame:
 
     ``vectors(keys, side, pos, vec)`` with side ``hyp`` or ``ref``.  Sentences are cut into
     blocks of 64 tokens, blocks meet block by block and the maxima of all blocks are
-    combined, so no task ever holds more than two blocks of one sentence.
+    combined, so no task ever holds more than two blocks of one sentence.  A vector of
+    length 0 is like no other: its cosines are 0.
     """
     doubles = F.transform("vec", lambda x: x.cast("double"))
     unit = let(
         doubles,
         lambda v: let(
             F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)),
-            lambda norm: F.transform(v, lambda x: x / norm),
+            lambda norm: F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0))),
         ),
     )
 

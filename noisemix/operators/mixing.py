@@ -27,8 +27,11 @@ def align(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def align_kinds(
     clean: DataFrame, variants: DataFrame, keys: list[str], kinds: list[str]
 ) -> DataFrame:
-    """One row per clean line with one column per kind; NULL where a kind is missing."""
-    wide = variants.groupBy(*keys).pivot("kind", kinds).agg(F.first("src", ignorenulls=True))
+    """One row per clean line with one column per kind; NULL where a kind is missing.
+
+    Of several rows of one key and kind the largest counts.
+    """
+    wide = variants.groupBy(*keys).pivot("kind", kinds).agg(F.max("src"))
     return clean.join(wide, keys, "left")
 
 

@@ -211,7 +211,8 @@ def combine_batches(
     """Append other lines of the same batch to each line; needs :func:`compound_noise` first.
 
     One shuffle on the batch.  Partners are drawn as indexes into the batch array, so a
-    batch of B lines never expands to B * B pairs.
+    batch of B lines never expands to B * B pairs.  A batch with more than ``size`` lines
+    stops the job: its lines would draw from too few chances.
     """
     p = recipe.p("runon_comb") or 0.0
     powers = append_powers(p, size - 1)
@@ -266,85 +267,77 @@ def combine_batches(
             ),
         ).otherwise(F.array().cast("array<int>"))
 
-    def clause(partner: Column, key: Column, has_candidates: bool) -> Column:
-        proper = F.array_contains(partner["proper_at"], 0)
-        if not recipe.compound:
-            return F.struct(
-                clauses.opened_line(partner["tokens"], proper).alias("text"),
-                *_counts(sub=0, swap=0, runon=0, para=0),
-            )
-        noised = noise_line(
-            partner["tokens"],
-            partner["proper_at"],
-            partner["candidates"] if has_candidates else None,
-            F.concat_ws(">", key, partner["row_key"]),
-            recipe,
-            seed,
-        )
-        return let(
-            noised,
-            lambda e: F.struct(
-                clauses.opened_line(e["tokens"], proper).alias("text"),
-                *[e[c].alias(c) for c in ("sub", "swap", "runon", "para")],
-            ),
-        )
-
-    def total(row: Column, added: Column, count: str) -> Column:
-        extra = F.aggregate(added, F.lit(0), lambda acc, a: acc + a[count])
-        return (row[f"n_{count}"] + extra).alias(f"n_{count}")
-
     def step(df: DataFrame) -> DataFrame:
-        has_candidates = "candidates" in df.columns
+        fields = ["row_key", "tokens", "tgt", "proper_at"]
+        fields += ["candidates"] if "candidates" in df.columns else []
         carried = [c for c in df.columns if c not in batch and c not in order]
         rows = df.groupBy(*batch).agg(
             F.sort_array(F.collect_list(F.struct(*order, *carried))).alias("_rows")
         )
+        fits = F.size("_rows") <= size
+        rows = rows.withColumn(
+            "_rows", F.when(fits, F.col("_rows")).otherwise(F.raise_error(f"a batch holds more than {size} lines"))
+        )
 
-        def combined(row: Column, me: Column) -> Column:
-            key = row["row_key"]
-            n = F.size("_rows")
+        def with_partners(row: Column, me: Column) -> Column:
+            n, key = F.size("_rows"), row["row_key"]
 
-            def finish(extra: Column, added: Column) -> Column:
-                own = F.array(text.untokens(row["noised"]))
-                source = clauses.join_clauses(
-                    F.concat(own, F.transform(added, lambda a: a["text"])), key, seed
-                )
-                target = F.concat_ws(
-                    " ",
-                    row["tgt"],
-                    F.transform(extra, lambda i: F.element_at(F.col("_rows"), i + 1)["tgt"]),
-                )
-                counts = [total(row, added, c) for c in ("sub", "swap", "runon", "para")]
+            def drawn(extra: Column) -> Column:
+                chosen = F.transform(extra, lambda i: F.element_at(F.col("_rows"), i + 1))
                 return F.struct(
-                    *[
-                        row[c].alias(c)
-                        for c in df.columns
-                        if c not in batch and c != "tgt" and c not in _REPLACED
-                    ],
-                    *counts,
-                    (row["n_sub"] + row["n_swap"] + row["n_runon"] + row["n_para"]).alias(
-                        "n_inline"
-                    ),
-                    F.size(extra).alias("n_append"),
-                    source.alias("noisy_src"),
-                    target.alias("noisy_tgt"),
+                    *[row[c].alias(c) for c in (*order, *carried)],
+                    me.alias("_me"),
+                    F.transform(
+                        chosen, lambda r: F.struct(*[r[c].alias(c) for c in fields])
+                    ).alias("_partners"),
                 )
 
-            return let(
-                appended(n, key),
-                lambda m: let(
-                    partners(n, me, key, m),
-                    lambda extra: let(
-                        F.transform(
-                            extra,
-                            lambda i: clause(F.element_at(F.col("_rows"), i + 1), key, has_candidates),
-                        ),
-                        lambda added: finish(extra, added),
-                    ),
-                ),
+            return let(appended(n, key), lambda m: let(partners(n, me, key, m), drawn))
+
+        lines = rows.select(*batch, F.inline(F.transform("_rows", with_partners)))
+        # a row for each appended line, so that it takes the same compiled path as any line
+        each = lines.select("*", F.posexplode_outer("_partners").alias("_j", "_p")).drop("_partners")
+        if recipe.compound:
+            edited = noise_line(
+                F.col("_p.tokens"),
+                F.col("_p.proper_at"),
+                F.col("_p.candidates") if "candidates" in fields else None,
+                F.concat_ws(">", "row_key", "_p.row_key"),
+                recipe,
+                seed,
             )
-
-        return rows.select(*batch, F.inline(F.transform("_rows", combined)))
+        else:
+            edited = F.struct(F.col("_p.tokens").alias("tokens"), *_counts(sub=0, swap=0, runon=0, para=0))
+        opened = clauses.opened_line(F.col("_e.tokens"), F.array_contains("_p.proper_at", 0))
+        kinds = ("sub", "swap", "runon", "para")
+        clause = F.struct(
+            "_j", opened.alias("text"), F.col("_p.tgt").alias("tgt"), *[F.col(f"_e.{k}").alias(k) for k in kinds]
+        )
+        kept = [c for c in lines.columns if c not in (*batch, "_me", "_partners")]
+        # the batch already decides the partition: no shuffle
+        joined = (
+            each.withColumn("_e", F.when(F.col("_p").isNotNull(), edited))
+            .groupBy(*batch, "_me")
+            .agg(
+                F.first(F.struct(*kept)).alias("_line"),
+                F.sort_array(F.collect_list(F.when(F.col("_p").isNotNull(), clause))).alias("_added"),
+            )
+            .select(*batch, "_line.*", "_added")
+        )
+        texts = F.concat(F.array(text.untokens(F.col("noised"))), F.transform("_added", lambda c: c["text"]))
+
+        def total(kind: str) -> Column:
+            return F.aggregate("_added", F.col(f"n_{kind}"), lambda acc, c: acc + c[kind]).alias(f"n_{kind}")
+
+        return joined.select(
+            *batch,
+            *[c for c in df.columns if c not in batch and c != "tgt" and c not in _REPLACED],
+            *[total(k) for k in kinds],
+            (F.col("n_sub") + F.col("n_swap") + F.col("n_runon") + F.col("n_para")).alias("n_inline"),
+            F.size("_added").alias("n_append"),
+            clauses.join_clauses(texts, F.col("row_key"), seed).alias("noisy_src"),
+            F.concat_ws(" ", "tgt", F.transform("_added", lambda c: c["tgt"])).alias("noisy_tgt"),
+        )
 
     return step
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noisemix.functions import text
@@ -10,7 +13,7 @@ from noisemix.operators import subword as W
 from noisemix.operators.paraphrase import candidates_from
 from noisemix.plans import sql as S
 from noisemix.plans.catalog import SEED, query
-from noisemix.plans.mixing_queries import SAMPLE, _ranked, mixed
+from noisemix.plans.mixing_queries import SAMPLE, TARGET_LANGS, ZIPPED, mixed
 from noisemix.plans.noise_queries import KEYS, marked_lines
 from noisemix.plans.recipes import RECIPES
 from noisemix.plans.subword_queries import _PIECES, TRAINED, _recursive, trained
@@ -32,17 +35,22 @@ from noisemix.streaming import incremental
     "a1_read_bitext",
     S.with_(
         S.LINES,
-        select=f"SELECT sent_id, e.src, s.src AS tgt FROM {_ranked('en')} e JOIN {_ranked('es')} s USING (sent_id)",
+        select=ZIPPED,
     ),
 )
 def a1(spark, sf_dir):
-    """English and Spanish lines written as text files and read back by line number."""
+    """Lines of each language written as text files and read back by line number, paired with the English ones."""
     lines = document_lines(spark, sf_dir)
     paths = {}
-    for lang in ("en", "es"):
+    for lang in ("en", *TARGET_LANGS):
         paths[lang] = scratch(spark, f"bitext-{lang}")
         sinks.write_aligned_text(lines.filter(F.col("lang") == lang), KEYS, {"src": paths[lang]})
-    return bitext.read_bitext(spark, paths["en"], paths["es"])
+    english = bitext.read_lines(spark, paths["en"], "src")
+    parts = [
+        english.join(bitext.read_lines(spark, paths[lang], "tgt").withColumn("lang", F.lit(lang)), "sent_id")
+        for lang in TARGET_LANGS
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -231,9 +239,7 @@ def _rotations(sentences: list[str]) -> list[list[str]]:
     out = []
     for sentence in sentences:
         parts = sentence.split(". ")
-        out.append(
-            [" ".join(parts[n:] + parts[:n]) for n in range(1, min(len(parts) - 1, 5) + 1)]
-        )
+        out.append([" ".join(parts[n:] + parts[:n]) for n in range(1, len(parts))])
     return out
 
 

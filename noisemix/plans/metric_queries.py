@@ -90,9 +90,11 @@ def _units(fn) -> str:
     S.with_(S.LINES, S.pairs(), _units(_thirteen), bleu_sql("units", "b", True), select="SELECT * FROM b"),
 )
 def e4(spark, sf_dir):
-    pairs = hypothesis_pairs(document_lines(spark, sf_dir))
     unit = metrics.UNITS["word"]
-    return metrics.corpus_bleu(pairs, BY, unit(F.col("hyp")), unit(F.col("ref")), smooth=True)
+    lines = document_lines(spark, sf_dir).withColumn("ref_units", unit(F.col("src")))
+    pairs = hypothesis_pairs(lines, "ref_units")  # a line is cut once for all its hypotheses
+    hyp = F.when(F.col("hyp") == F.col("ref"), F.col("ref_units")).otherwise(unit(F.col("hyp")))
+    return metrics.corpus_bleu(pairs, BY, hyp, F.col("ref_units"), smooth=True)
 
 
 _CHAR = HYPOTHESIS_SQL[("robust", "l2")]

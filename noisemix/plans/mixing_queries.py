@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noisemix.operators import mixing, noise, reports
@@ -88,18 +91,32 @@ def _ranked(lang: str) -> str:
     return f"(SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS sent_id, src FROM lines WHERE lang = '{lang}')"
 
 
+TARGET_LANGS = ("de", "es", "fr")
+ZIPPED = " UNION ALL ".join(
+    f"""SELECT sent_id, '{lang}' AS lang, e.src, s.src AS tgt FROM {_ranked("en")} e JOIN {_ranked(lang)} s USING (sent_id)"""
+    for lang in TARGET_LANGS
+)
+
+
 @query(
     "d1_positional_zip",
     S.with_(
         S.LINES,
-        select=f"""SELECT sent_id, e.src, s.src AS tgt FROM {_ranked("en")} e JOIN {_ranked("es")} s USING (sent_id)""",
+        select=ZIPPED,
     ),
 )
 def d1(spark, sf_dir):
-    """English and Spanish lines paired by position; the shorter side decides the length."""
+    """English lines paired by position with those of each other language; the shorter side decides the length."""
     english = ranked_lines(spark, sf_dir, "en").select("sent_id", "src")
-    spanish = ranked_lines(spark, sf_dir, "es").select("sent_id", F.col("src").alias("tgt"))
-    return mixing.align(english, spanish, ["sent_id"])
+    parts = [
+        mixing.align(
+            english,
+            ranked_lines(spark, sf_dir, lang).select("sent_id", F.lit(lang).alias("lang"), F.col("src").alias("tgt")),
+            ["sent_id"],
+        )
+        for lang in TARGET_LANGS
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -246,7 +263,7 @@ def f6(spark, sf_dir):
     out = df.transform(
         noise.apply_recipe(PLAIN_RUNON, ["doc_id", "batch_no"], ["pos"], 8, SEED)
     )
-    partners = F.array_join(F.slice(F.split("noisy_tgt", " "), 2, 1000), " ")
+    partners = F.array_join(F.slice(F.split("noisy_tgt", " "), F.lit(2), F.size(F.split("noisy_tgt", " "))), " ")
     return out.filter("n_append > 0").select(*KEYS, partners.alias("partners"))
 
 

@@ -12,7 +12,7 @@ from noisemix.plans import sql as S
 from noisemix.plans.catalog import SEED, query
 from noisemix.plans.recipes import RECIPES, recipe
 from noisemix.plans.text_queries import CANDIDATES, KEYS, marked_lines, repaired_sql
-from noisemix.sources.corpora import document_lines, rotated_candidates
+from noisemix.sources.corpora import document_lines, raw_lines, rotated_candidates
 
 BATCH = 8
 PLAIN_RUNON = recipe("runon", ["runon_line", "runon_comb"], [0.9, 0.5], compound=False)
@@ -418,7 +418,14 @@ def d5(spark, sf_dir):
     )
 
 
-_REPORT_SUMS = f"""count(*) AS lines_before, count(*) AS lines_after,
+SNAPSHOT = 500
+# every line of every document counts as read, blank or not
+_READ = """raw_numbered AS (
+  SELECT doc_id, pos, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'dev' ELSE 'test' END AS split,
+    row_number() OVER (ORDER BY doc_id, pos) - 1 AS line_no
+  FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents))"""
+
+_REPORT_SUMS = f"""count(*) AS lines_after,
   sum(len(list_filter(b.tokens, lambda x: {S.strip("x")} <> '')))::bigint AS tokens_before,
   sum(len({S.tokens("o.noisy_src")}))::bigint AS tokens_after,
   sum(len(list_filter(b.tokens, lambda y: NOT {S.letters_only(S.strip("y"))})))::bigint AS non_alpha,
@@ -436,7 +443,9 @@ _REPORT_FROM = """FROM out o JOIN base b USING (row_key) JOIN (SELECT row_key, c
     "e1_noise_report",
     S.with_(
         *_recipe_sql(RECIPES["both"]),
-        f"sums AS (SELECT b.split, {_REPORT_SUMS} {_REPORT_FROM} GROUP BY b.split)",
+        _READ,
+        f"""sums AS (SELECT * FROM (SELECT split, count(*) AS lines_before FROM raw_numbered GROUP BY split)
+  JOIN (SELECT b.split, {_REPORT_SUMS} {_REPORT_FROM} GROUP BY b.split) USING (split))""",
         select="""SELECT *, sub_typos + swap_typos AS typos,
   round(lines_changed * 100.0::double / lines_after, 6) AS pct_lines_changed,
   round(lines_joined * 100.0::double / lines_after, 6) AS pct_lines_joined,
@@ -451,14 +460,18 @@ _REPORT_FROM = """FROM out o JOIN base b USING (row_key) JOIN (SELECT row_key, c
     ),
 )
 def e1(spark, sf_dir):
-    return reports.noise_report(recipe_lines(spark, sf_dir, RECIPES["both"]), ["split"])
+    noisy = recipe_lines(spark, sf_dir, RECIPES["both"])
+    return reports.noise_report(noisy, ["split"], read=raw_lines(spark, sf_dir))
 
 
 @query(
     "e2_progress_snapshots",
     S.with_(
         *_recipe_sql(RECIPES["both"]),
-        f"sums AS (SELECT doc_id // 50 AS snapshot, {_REPORT_SUMS} {_REPORT_FROM} GROUP BY 1)",
+        _READ,
+        f"""sums AS (SELECT * FROM (SELECT line_no // {SNAPSHOT} AS snapshot, count(*) AS lines_before FROM raw_numbered GROUP BY 1)
+  JOIN (SELECT r.line_no // {SNAPSHOT} AS snapshot, {_REPORT_SUMS} {_REPORT_FROM}
+    JOIN raw_numbered r ON r.doc_id = b.doc_id AND r.pos = b.pos GROUP BY 1) USING (snapshot))""",
         select="SELECT snapshot, "
         + ", ".join(
             f"sum({c}) OVER (ORDER BY snapshot)::bigint AS {c}" for c in reports.COUNTERS
@@ -467,4 +480,7 @@ def e1(spark, sf_dir):
     ),
 )
 def e2(spark, sf_dir):
-    return reports.progress_snapshots(recipe_lines(spark, sf_dir, RECIPES["both"]), "doc_id", 50)
+    """Snapshots every ``SNAPSHOT`` lines of the global line number."""
+    read = dense_row_number(raw_lines(spark, sf_dir).select(*KEYS), KEYS, "line_no")
+    noisy = recipe_lines(spark, sf_dir, RECIPES["both"]).join(read, KEYS)
+    return reports.progress_snapshots(noisy, "line_no", SNAPSHOT, read=read)

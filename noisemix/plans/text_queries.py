@@ -307,7 +307,7 @@ def b14(spark, sf_dir):
 CANDIDATES = r"""candidates AS (
   SELECT doc_id, pos, "by" - 1 AS rank,
     array_to_string(list_concat(parts["by" + 1:], parts[1:"by"]), ' ') AS phrase
-  FROM (SELECT doc_id, pos, parts, unnest(range(1, least(len(parts) - 1, 5) + 1)) AS "by"
+  FROM (SELECT doc_id, pos, parts, unnest(range(1, len(parts))) AS "by"
         FROM (SELECT doc_id, pos, string_split(src, '. ') AS parts FROM lines)))"""
 
 

@@ -4,20 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from noisemix.functions import text
 
 from .checkpoints import cut
 
-BITEXT = T.StructType(
-    [
-        T.StructField("sent_id", T.LongType()),
-        T.StructField("src", T.StringType()),
-        T.StructField("tgt", T.StringType()),
-    ]
-)
-
 # Start positions of this many file splits are broadcast, more are joined.
 BROADCAST_SPLITS = 100_000
 
@@ -25,14 +16,18 @@ BROADCAST_SPLITS = 100_000
 def read_lines(spark: SparkSession, path: str, column: str = "line") -> DataFrame:
     """``sent_id, column``: the lines of one or many text files, numbered from 0.
 
-    Files count in path order.  The text is not shuffled: a first pass counts the rows of
-    every file split, and a line's number is the start of its split plus its place in it.
+    Files count in path order.  The lines are read once and kept with their split and their
+    place in it: how a file is split depends on the session at the time, so two reads need
+    not agree.  A line's number is the start of its split plus its place; the text is not
+    shuffled.
     """
-    raw = spark.read.text(path).select(
-        F.col("value").alias(column),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mid"),
+    raw = cut(
+        spark.read.text(path).select(
+            F.col("value").alias(column),
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_mid"),
+        )
     )
     counts = cut(
         raw.groupBy("_file", "_block").agg(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    Taken from the session (``spark.checkpoint.dir`` or an earlier
-    ``setCheckpointDir``).  Only a local-mode session may fall back to a temporary
-    folder, since every task then sees the same disk.
+    Taken from the session (``spark.checkpoint.dir`` or an earlier ``setCheckpointDir``);
+    without one there is no folder that every executor is known to reach.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -21,9 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="noisemix-")
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 

@@ -27,18 +27,26 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(docs)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Lines of a batch or streaming frame of documents."""
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents, blank ones too."""
+    return all_lines_of(table(spark, sf_dir, "documents"))
+
+
+def all_lines_of(docs: DataFrame) -> DataFrame:
     return (
         docs.select(
             "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "src")
         )
         .withColumn("pos", F.col("pos").cast("long"))
         .withColumn("split", split_of(F.col("doc_id")))
-        .filter(F.col("src").rlike(r"[^ \t\n\x0B\f\r]"))
     )
 
 
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Lines of a batch or streaming frame of documents that aren't blank."""
+    return all_lines_of(docs).filter(F.col("src").rlike(r"[^ \t\n\x0B\f\r]"))
+
+
 def denoising_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as a bitext whose target is the clean line itself."""
     return document_lines(spark, sf_dir).withColumn("tgt", F.col("src"))
@@ -95,7 +103,7 @@ def line_variants(lines: DataFrame) -> DataFrame:
     )
 
 
-def hypothesis_pairs(lines: DataFrame) -> DataFrame:
+def hypothesis_pairs(lines: DataFrame, *carried: str) -> DataFrame:
     """``doc_id, pos, system, eval_set, hyp, ref`` for four system / evaluation set cells."""
     cells = F.array(
         *[
@@ -105,12 +113,11 @@ def hypothesis_pairs(lines: DataFrame) -> DataFrame:
             for (s, e), sql in HYPOTHESIS_SQL.items()
         ]
     )
-    return lines.select("doc_id", "pos", F.col("src").alias("ref"), F.explode(cells).alias("c")).select(
-        "doc_id", "pos", "c.system", "c.eval_set", "c.hyp", "ref"
-    )
+    rows = lines.select("doc_id", "pos", F.col("src").alias("ref"), *carried, F.explode(cells).alias("c"))
+    return rows.select("doc_id", "pos", "c.system", "c.eval_set", "c.hyp", "ref", *carried)
 
 
-def rotated_candidates(lines: DataFrame, most: int = 5) -> DataFrame:
+def rotated_candidates(lines: DataFrame) -> DataFrame:
     """Stand-in for a paraphraser: the sentences of a line rotated by one, two, ... places.
 
     Gives ``doc_id, pos, rank, phrase``; a line of one sentence has no candidate.
@@ -123,7 +130,7 @@ def rotated_candidates(lines: DataFrame, most: int = 5) -> DataFrame:
             "doc_id",
             "pos",
             "parts",
-            F.explode(F.sequence(F.lit(1), F.least(F.size("parts") - 1, F.lit(most)))).alias("by"),
+            F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("by"),
         )
         .select(
             "doc_id",

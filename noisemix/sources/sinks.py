@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
+
 
 def write_pairs(df: DataFrame, path: str, by: tuple[str, ...] = ("split",)) -> None:
     """Write a table of pairs; only the partitions present in ``df`` are replaced."""
@@ -19,24 +20,35 @@ def write_pairs(df: DataFrame, path: str, by: tuple[str, ...] = ("split",)) -> N
     )
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a writer has ended there: it leaves ``_SUCCESS`` as its last act."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def write_once(df: DataFrame, path: str) -> DataFrame:
-    """Materialise a frame unless it is already there, and read it back."""
-    df.write.mode("ignore").parquet(path)
+    """Materialise a frame unless it is already there in full, and read it back."""
+    if not finished(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reuse(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``; made and written first where there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.mode("ignore").parquet(path)
-        return spark.read.parquet(path)
+    """The table at ``path``; made and written first where there is none, or half of one."""
+    if not finished(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_aligned_text(df: DataFrame, order: list[str], columns: dict[str, str]) -> None:
-    """One text file set per column, all in the same line order: ``{column: path}``."""
-    ordered = df.orderBy(*order)
+    """One text file set per column, all in the same line order: ``{column: path}``.
+
+    The rows are sorted once and kept; every column is written from those.  ``order`` must be a
+    key: rows that tie on it stop the writer.
+    """
+    ordered = cut(df.select(*order, *[c for c in columns if c not in order]).orderBy(*order))
+    if not ordered.groupBy(*order).count().where("count > 1").isEmpty():
+        raise ValueError(f"{order} is not a key")
     for column, path in columns.items():
         ordered.select(column).write.mode("overwrite").text(path)
 

@@ -86,10 +86,21 @@ def test_paraphraser_hook(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 0, "A B"), (1, 1, "a b!")]
 
 
-def test_cluster_needs_a_shared_folder(spark):
+def test_a_shared_folder_is_needed(spark):
     folder = checkpoints.shared_folder(spark)
     assert folder and checkpoints.shared_folder(spark) == folder
 
+    class Context:
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoints.shared_folder(Session())
+
 
 @pytest.mark.parametrize("files", [1, 3])
 def test_stream_equals_batch_and_restarts(spark, tmp_path, files):
