@@ -12,10 +12,10 @@ Two sets that agree on an empty range both do so, and no link is lost.
 Equal sets are one class and sign once for each task.  The classes that share a signature aren't
 expanded into pairs: in the order of the classes, each is checked against the one before and the
 first.  Only classes that remain in different components can need more.  For those, each set is
-compared with one set of its family (the classes that signatures connect).  An element in which a
-set differs from that one, and no other set of the family does, is a difference to every other set
-as well.  That bounds the differences of two sets from below by three numbers of each, and only
-the pairs that the bound leaves open are checked.
+compared with the centre of its family (the classes that signatures connect).  An element in which
+a set differs from the centre, and no other set of the family does, is a difference to every other
+set as well.  A set with many of them links with nothing; for two others, such counts bound their
+differences from below, and only the pairs that the bound leaves open are checked.
 """
 
 from __future__ import annotations
@@ -207,15 +207,15 @@ def _near(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(
-    members: DataFrame, pairs: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, path: str
-) -> DataFrame:
-    """Pairs ``a, b`` that share a signature, lie in different components and may yet link.
+    pairs: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, path: str
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` of one family in different components that may yet link; and links with centres.
 
     With ``c`` the number of elements in which a set differs from its family's centre, and ``r`` those
     of them in which some other set of the family does too, two sets differ in at least
-    ``c + c' - 2 min(r, r')`` elements.
+    ``c + c' - 2 min(r, r')`` elements, and one differs from any in ``c - r`` at least.
     """
-    spark = members.sparkSession
+    spark = pairs.sparkSession
     families = components(pairs).withColumnRenamed("root", "family")
     placed = sizes.join(families, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
@@ -244,21 +244,27 @@ def _open_pairs(
         .join(own, "node", "left")
         .select("node", "c", (F.col("c") - F.coalesce("own", F.lit(0))).alias("r"))
     )
-    facts = cut(placed.select("node", "root", "n").join(bounds, "node"))
-    rows = members.join(facts, "node")
-    mixed = rows.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    rows = rows.join(mixed.select("signature"), "signature")
-    left = rows.select("signature", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "c", "r")))
-    right = rows.select("signature", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "c", "r")))
+    n_centre = sizes.select(F.col("node").alias("centre"), F.col("n").alias("n_centre"))
+    facts = placed.join(bounds, "node").join(n_centre, "centre")
+    near = F.col("c") * (100 + percent) <= (F.col("n") + F.col("n_centre")) * (100 - percent)
+    # what links with the centre is in its component, whose root it is
+    facts = cut(facts.withColumn("near", near).withColumn("root", F.when(near, F.col("centre")).otherwise(F.col("root"))))
+    central = facts.where("near and node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    kept = facts.where((F.col("c") - F.col("r")) * percent <= F.col("n") * (100 - percent))
+    inner = F.col("root") == F.col("centre")
+    left = kept.where(~inner).select("family", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "c", "r")))
+    right = kept.select(
+        F.col("family").alias("family_b"), inner.alias("inner"), *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "c", "r"))
+    )
     least = F.col("c_a") + F.col("c_b") - 2 * F.least("r_a", "r_b")
     may = (
-        (F.col("node_a") < F.col("node_b"))
+        (F.col("inner") | (F.col("node_a") < F.col("node_b")))
         & (F.col("root_a") != F.col("root_b"))
         & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         & (least * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
     )
-    found = left.join(right, (left["signature"] == right["signature"]) & may)
-    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    found = left.join(right, (F.col("family") == F.col("family_b")) & may)
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), central
 
 
 def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -289,10 +295,8 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = cut(_linked(checked, sets, percent))
     roots = components(links)
 
-    members = chained.select("signature", "node").union(chained.select("signature", F.col("first").alias("node")))
-    members = members.union(chained.select("signature", F.col("before").alias("node"))).distinct()
-    rest = _open_pairs(members, pairs, roots, sizes, sets, percent, path).join(checked, ["a", "b"], "left_anti")
-    more = cut(_linked(rest, sets, percent))
+    rest, central = _open_pairs(pairs, roots, sizes, sets, percent, path)
+    more = cut(_linked(rest.join(checked, ["a", "b"], "left_anti"), sets, percent).union(central))
     if not more.isEmpty():
         roots = components(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     return slim.drop("signatures").join(cut(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))

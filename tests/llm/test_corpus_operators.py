@@ -79,6 +79,20 @@ def test_jaccard_of_chains(spark, seed):
     assert rows_of(jaccard.join_documents(docs)) == Counter(plain_groups(rows))
 
 
+def test_jaccard_of_a_family_around_one_text(spark):
+    """Copies with edits of their own, so that most don't link and many share a signature."""
+    rng = random.Random(7)
+    base = [str(rng.randrange(10_000)) for _ in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 9])):
+            words[rng.randrange(len(words))] = rng.choice(["x", "y", f"n{rng.randrange(900)}"])
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(jaccard.join_documents(docs)) == Counter(plain_groups(rows))
+
+
 def test_linked_sets_share_a_signature():
     rng = random.Random(9)
     for _ in range(400):
