@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from noisemix.functions import text
 from noisemix.functions.draws import let
+from noisemix.sources.checkpoints import cut
 
 # Above this many words the lexicon is joined instead of shipped inside the plan.
 INLINE_WORDS = 20_000
-_SALTS = 16
+# Opening words with at least this share of all openings don't travel.
+HOT_SHARE = 0.001
 
 
 def _word(token: Column) -> Column:
@@ -84,12 +86,19 @@ def mark_proper_nouns(
                 F.filter(openings(opens), lambda o: known(o["word"])), lambda o: o["clause"]
             ),
         )
-    # a frequent opening word is spread over several tasks, each with its share of the lexicon
-    salts = F.array(*[F.lit(i) for i in range(_SALTS)])
+    # frequent opening words, names or not, are settled by broadcast: 1 / share of them at most
+    each = df.select(*keys, F.inline(openings(opens)))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    names = lexicon.select("word", F.lit(True).alias("_name"))
+    looked_up = cut(counts.join(names, "word", "left").withColumn("_name", F.coalesce("_name", F.lit(False))))
+    total = looked_up.agg(F.sum("_n")).first()[0] or 0
+    is_hot = F.col("_n") >= F.lit(total * HOT_SHARE)
+    each = each.join(F.broadcast(looked_up.filter(is_hot).select("word", "_name")), "word", "left")
+    rare = looked_up.filter(~is_hot & F.col("_name")).select("word")
     found = (
-        df.select(*keys, F.inline(openings(opens)))
-        .withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(_SALTS)).cast("int"))
-        .join(lexicon.select("word", F.explode(salts).alias("_salt")), ["word", "_salt"])
+        each.filter("_name")
+        .select(*keys, "clause")
+        .unionByName(each.filter("_name IS NULL").join(rare, "word").select(*keys, "clause"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("clause")).alias("proper_at"))
     )
