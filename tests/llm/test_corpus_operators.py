@@ -354,6 +354,19 @@ def test_bits_are_a_probability():
     assert 10 ** mixer.scores(tables, [b"ab"], 0)[0] > 100 * 10 ** mixer.scores(tables, [b"zq"], 0)[0]
 
 
+def test_words_of_any_length_are_spelled_whole():
+    words = [b"x" * n for n in (0, 1, 62, 63, 64, 65, 127, 128, 129, 1000)] + [b"ab", b"y" * 500_000]
+    bits = Counter()
+    for lanes, _, bit, _, _ in contextmixing.spelled(words[:-1], np.zeros(len(words), int)):
+        for i in lanes:
+            bits[int(i)] += 1
+    assert all(bits[i] == 8 * (len(w) + 1) for i, w in enumerate(words[:-1]))
+    tables = contextmixing.Tables.filled(words, np.zeros(len(words), int), np.ones(len(words)))
+    tables.prepare()
+    p = contextmixing.Mixer().scores(tables, words, 0)
+    assert np.isfinite(p).all() and (p < 0).all() and p[-1] < p[0]
+
+
 def test_experts_make_a_probability():
     """Over all texts of three words from a closed list the scores add up to 1."""
     p = np.log10(np.array([[0.5, 0.2], [0.3, 0.1], [0.2, 0.7]]))
