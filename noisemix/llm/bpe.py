@@ -28,9 +28,11 @@ from tokenizers import Tokenizer
 
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: A worker that keeps more words than this starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 #: Words after which a run of texts ends.
-RUN_WORDS = 1_000_000
+RUN_WORDS = 300_000
+#: Encoded texts that leave a task together.
+TEXTS_OUT = 256
 #: Fixed value: the vocabulary's own pattern, with line ends as pieces between words.
 PIECE = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: White space as the vocabulary's normaliser sees it; ``str.split`` also cuts at \x1c-\x1f.
@@ -306,19 +308,16 @@ def encoder(file: str) -> Encoder:
     return Encoder(file)
 
 
-def _column(file: str, kind: str) -> Column:
-    @F.pandas_udf(kind)
+def _digests(file: str) -> Column:
+    @F.pandas_udf(RESULT)
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = encoder(file)
         for batch in texts:
-            rows = []
-            for raw, decoded in bpe.encode(batch):
-                if kind == RESULT:
-                    sums = hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()
-                    rows.append((len(raw) // 4, *sums))
-                else:
-                    rows.append((np.frombuffer(raw, "<u4").astype(np.int32), decoded.decode()))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in kind.split(", ")])
+            rows = [
+                (len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                for raw, decoded in bpe.encode(batch)
+            ]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     return encode.asNondeterministic()("text")
 
@@ -328,13 +327,24 @@ def encode_digests(docs: DataFrame, file: str) -> DataFrame:
 
     A null text is empty: no tokens, digests of nothing.  Repeated rows repeat.
     """
-    return docs.select("doc_id", _column(file, RESULT).alias("found")).select("doc_id", "found.*")
+    return docs.select("doc_id", _digests(file).alias("found")).select("doc_id", "found.*")
 
 
 def encode_documents(docs: DataFrame, file: str) -> DataFrame:
     """``doc_id, ids, decoded`` of every row."""
-    found = docs.select("doc_id", _column(file, "ids array<int>, decoded string").alias("found"))
-    return found.select("doc_id", "found.*")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = encoder(file)
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS_OUT):
+                some = batch.iloc[at : at + TEXTS_OUT]
+                found = [(np.frombuffer(raw, "<u4").astype(np.int32), text.decode()) for raw, text in bpe.encode(some["text"])]
+                made = pd.DataFrame(found, columns=["ids", "decoded"])
+                made.insert(0, "doc_id", some["doc_id"].to_numpy())
+                yield made
+
+    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def decode_ids(encoded: DataFrame, file: str) -> DataFrame:

@@ -34,7 +34,7 @@ MOST_LANGS = 64
 HIDDEN = 16
 STEPS = 300
 BATCH = 384
-KEPT_RUNS = 500_000
+KEPT_RUNS = 200_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -225,7 +225,7 @@ class Labeller:
         for text in texts:
             held.append(runs_of(text) if text is not None and _LETTER.search(text) else None)
             size += len(held[-1] or ())
-            if size > 1_000_000:
+            if size > 300_000:
                 yield from self._pool(held)
                 held, size = [], 0
         yield from self._pool(held)
