@@ -344,7 +344,9 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
                 made.insert(0, "doc_id", some["doc_id"].to_numpy())
                 yield made
 
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, ids array<int>, decoded string")
+    named = docs.select(F.col("doc_id").cast("string"), "text")  # pandas has no exact integers beside nulls
+    found = named.mapInPandas(rows, "doc_id string, ids array<int>, decoded string")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def decode_ids(encoded: DataFrame, file: str) -> DataFrame:

@@ -41,7 +41,7 @@ CUTS = 4
 _SEEN = 500_000
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
-SLIM = "doc_id, text_key long, n_shingles long, node long, signatures array<long>"
+SLIM = "doc_id string, text_key long, n_shingles long, node long, signatures array<long>"
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -157,8 +157,9 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
                 {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "n_shingles": sizes, "node": nodes, "signatures": signed}
             )
 
-    slim = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return slim.mapInPandas(rows, SLIM.replace("doc_id,", f"doc_id {kind},"))
+    # pandas has no exact integers beside nulls
+    slim = docs.select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("text_key"), "text")
+    return slim.mapInPandas(rows, SLIM).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _node(s: np.ndarray) -> int:
