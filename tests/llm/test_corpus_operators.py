@@ -303,6 +303,48 @@ def test_scores_beat_the_base_on_unseen_texts(spark, letters):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_follow_the_order_of_words(spark):
+    """The same words in the order of the training texts and turned round; letters alone can't tell them apart."""
+    rng = random.Random(3)
+    steps = {"ab": "cd", "cd": "ef", "ef": "gh", "gh": "ij", "ij": "ab"}
+    rows = []
+    for i in range(80):
+        word, text = rng.choice(list(steps)), []
+        for _ in range(40):
+            text.append(word)
+            word = steps[word]
+        rows.append((i, " ".join(text), "x"))
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], " ".join(text), "x"), (held[1], " ".join(reversed(text)), "x")]
+    got = {r["doc_id"]: r for r in contextmixing.score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    forth, back = (got[i] for i in held)
+    assert forth["held_out"] and back["held_out"] and forth["base_score"] == pytest.approx(back["base_score"])
+    assert forth["score"] > back["score"] + 5
+
+
+def test_bytes_before_cross_the_space():
+    places = {}
+    for word in (b"ab cd", b"xy cd", b"cd"):
+        places[word] = [[int(x[0]) for x in p] for _, _, _, p, _ in contextmixing.spelled([word], np.zeros(1, int))]
+    orders = [k for k, _, _ in contextmixing.CONTEXTS]
+    for k, first, other in zip(orders, places[b"ab cd"][0], places[b"xy cd"][0], strict=True):
+        assert (first == other) == (k < 2)
+    assert len({len(x) for x in places.values()}) == 1
+
+
+def test_pairs_make_a_probability():
+    """Over all texts of two words from a closed list, with what followed what, the scores add up to 1."""
+    p = np.log10(np.array([[0.5, 0.2], [0.3, 0.1], [0.2, 0.7]]))
+    follows = np.array([[4, 0, 2], [1, 1, 1], [0, 0, 9]])
+    total = 0.0
+    for a in range(3):
+        for b in range(3):
+            n = np.array([follows[0, a], follows[a, b]])
+            of = np.array([follows[0].sum(), follows[a].sum()])
+            total += 10 ** contextmixing.adaptive_score(np.array([a, b]), p[[a, b]], np.array([0.6, 0.4]), n, of)
+    assert total == pytest.approx(1)
+
+
 def plain_base(rows):
     def tokens(text):
         return [*(text or "").encode().lower().split(), b""]
