@@ -322,6 +322,32 @@ def test_scores_follow_the_order_of_words(spark):
     assert forth["score"] > back["score"] + 5
 
 
+def test_scores_do_not_depend_on_the_cores(spark, monkeypatch):
+    """The same table as one partition and as seven, the context saying it has as many cores."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 5))) for _ in range(500)]
+    rows = [(i, " ".join(rng.choices(words, k=90)), "x") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = []
+    for parts in (1, 7):
+        monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda self, n=parts: n))
+        out = contextmixing.score_documents(docs.repartition(parts)).collect()
+        got.append(sorted((r["doc_id"], round(r["score"], 6)) for r in out))
+    assert got[0] == got[1]
+
+
+def test_every_counted_row_is_learned_from():
+    """A row that stands for n occurrences moves weights and map as n rows do."""
+    words = [b"ab", b"ba ab", b"ab ba"]
+    tables = contextmixing.Tables.filled(words, np.zeros(3, int), np.array([2.0, 3, 40]))
+    one, many = contextmixing.Mixer(), contextmixing.Mixer()
+    one.learn(tables, words, np.zeros(3, int), np.array([2.0, 3, 40]))
+    all_ = [w for w, n in zip(words, (2, 3, 40), strict=True) for _ in range(n)]
+    many.learn(tables, all_, np.zeros(45, int))
+    assert one.used.sum() == many.used.sum() == 45 * 24
+    assert np.allclose(one.weights, many.weights) and np.allclose(one.refined, many.refined)
+
+
 def test_bytes_before_cross_the_space():
     places = {}
     for word in (b"ab cd", b"xy cd", b"cd"):
