@@ -6,6 +6,9 @@ one line of canonical JSON (sorted keys, no spaces, characters as they are).
 
 A call follows at most one other call, as in a tree of messages, so levels come from pointer
 doubling: as many rounds as the logarithm of the longest chain, and no conversation is collected.
+
+``format_conversations`` gives the calls alone: rows of other roles, results without a call and all
+but one of the rows that repeat a turn have no line there.  ``format_every_row`` leaves no row out.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from noisemix.sources.checkpoints import cut
 
@@ -168,6 +172,47 @@ def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFra
     return calls, said.select(before.alias("call_id"), "turn", text.alias("content"))
 
 
+@F.pandas_udf(StringType())
+def _plain_line(role: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([canonical({"role": r, "text": t}) for r, t in zip(role, text, strict=True)], dtype=object)
+
+
+def format_every_row(conversations: DataFrame) -> DataFrame:
+    """As ``format_conversations``, and no row of ``conversations`` is left out.
+
+    Each user's row is a call.  Of rows that repeat conversation, turn and role the k-th, by text, has
+    ``#k`` behind its id from the second on; the k-th assistant's row of the next turn is its result.
+    A result without a call is a line of its own with status ``no call``; so is, with status ``plain``,
+    a row of any other role or with a null conversation, turn or role.  Both have no id and no level.
+    """
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    linkable = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)) & F.expr("conv_id is not null and turn is not null")
+    text = F.coalesce("text", F.lit(""))
+    same = Window.partitionBy("conv_id", "turn", "role").orderBy(text, "text")
+    rows_of_calls = cut(rows.where(linkable).withColumn("k", F.row_number().over(same)))
+
+    def name(turn: Column) -> Column:
+        repeat = F.when(F.col("k") > 1, F.concat(F.lit("#"), F.col("k").cast("string"))).otherwise("")
+        return F.concat(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")), repeat)
+
+    by = Window.partitionBy("conv_id").orderBy("turn", "k")
+    asked = rows_of_calls.where("role = 'user'").withColumn("text", text).withColumn("call_id", name(F.col("turn")))
+    arguments = F.to_json(F.struct(F.col("text"), F.length("text").alias("n_chars")))
+    calls = asked.select(
+        "conv_id", "turn", "call_id", F.lag("call_id").over(by).alias("after"), F.lit("answer").alias("name"), arguments.alias("arguments")
+    )
+    said = rows_of_calls.where("role = 'assistant'").withColumn("call_id", name(F.col("turn") - 1))
+    linked = link(calls, said.select("call_id", "turn", text.alias("content")), {"answer": ANSWER})
+    alone = said.join(asked.select("call_id"), "call_id", "left_anti").select(*rows.columns, F.lit("no call").alias("status"))
+    others = alone.unionByName(rows.where(~linkable).withColumn("status", F.lit("plain")))
+    return linked.unionByName(
+        others.select(
+            "conv_id", "turn", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("int").alias("level"), "status",
+            _plain_line("role", "text").alias("line"),
+        )
+    )
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     calls, results = calls_of_conversations(conversations)
     return link(calls, results, {"answer": ANSWER})

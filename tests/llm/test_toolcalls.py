@@ -122,3 +122,50 @@ def test_conversations(spark):
     }
     assert json.loads(next(r["line"] for r in out if r["conv_id"] == 2))["arguments"]["text"] == "again"
     assert toolcalls.format_conversations(table.where("false")).count() == 0
+
+
+def test_no_row_of_a_conversation_is_lost(spark):
+    rows = [
+        (1, 0, "system", "be kind"),
+        (1, 1, "user", "b"),
+        (1, 1, "user", "a"),
+        (1, 2, "assistant", "y"),
+        (1, 2, "assistant", "x"),
+        (1, 2, "assistant", "z"),
+        (1, 3, "assistant", None),
+        (1, 6, "user", None),
+        (1, 8, "assistant", "after a gap"),
+        (2, 1, "assistant", "first"),
+        (2, 2, "tool", "é\n"),
+        (2**60 + 1, 1, "user", "solo"),
+        (None, 0, "user", "x"),
+        (3, None, "user", None),
+        (3, 1, None, "x"),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = toolcalls.format_every_row(table).collect()
+    calls = {r["call_id"]: (r["level"], r["status"], json.loads(r["line"])) for r in out if r["call_id"] is not None}
+    assert {k: (level, status, x["arguments"]["text"], x["result"], x["after"]) for k, (level, status, x) in calls.items()} == {
+        "1:1": (0, "ok", "a", "x", None),
+        "1:1#2": (1, "ok", "b", "y", "1:1"),
+        "1:6": (2, "$.n_chars: below minimum", "", None, "1:1#2"),
+        f"{2**60 + 1}:1": (0, "no result", "solo", None, None),
+    }
+    others = [(r["conv_id"], r["turn"], r["level"], r["status"], r["line"]) for r in out if r["call_id"] is None]
+    plain = lambda role, text: toolcalls.canonical({"role": role, "text": text})
+    assert sorted(others, key=str) == sorted(
+        [
+            (1, 0, None, "plain", plain("system", "be kind")),
+            (1, 2, None, "no call", plain("assistant", "z")),
+            (1, 3, None, "no call", plain("assistant", None)),
+            (1, 8, None, "no call", plain("assistant", "after a gap")),
+            (2, 1, None, "no call", plain("assistant", "first")),
+            (2, 2, None, "plain", plain("tool", "é\n")),
+            (None, 0, None, "plain", plain("user", "x")),
+            (3, None, None, "plain", plain("user", None)),
+            (3, 1, None, "plain", plain(None, "x")),
+        ],
+        key=str,
+    )
+    assert len(out) + sum(x["result"] is not None for *_, x in calls.values()) == len(rows)
+    assert toolcalls.format_every_row(table.where("false")).count() == 0
