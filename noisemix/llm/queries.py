@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisemix.llm import bpe, contextmixing, decontamination, jaccard, langid, secrets, sharding, sql, tokenfiles, toolcalls, topk
+from noisemix.llm import (
+    bpe,
+    contextmixing,
+    decontamination,
+    jaccard,
+    langid,
+    prefixtable,
+    secrets,
+    sharding,
+    sql,
+    tokenfiles,
+    toolcalls,
+    topk,
+)
 from noisemix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": _documents(secrets.scan_documents),
     "op9_ngram_jaccard": _documents(jaccard.join_documents),
     "op10_sharding": _documents(sharding.shard_documents),
+    "op11_sentencepiece": _documents(lambda docs: prefixtable.encode_digests(docs, prefixtable.default_file())),
 }
 
 SQL: dict[str, str] = {
