@@ -13,6 +13,7 @@ from noisemix.llm import (
     decontamination,
     jaccard,
     langid,
+    merkle,
     prefixtable,
     secrets,
     sharding,
@@ -51,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_jaccard": _documents(jaccard.join_documents),
     "op10_sharding": _documents(sharding.shard_documents),
     "op11_sentencepiece": _documents(lambda docs: prefixtable.encode_digests(docs, prefixtable.default_file())),
+    "op13_merkle_manifest": _documents(merkle.manifest_documents),
 }
 
 SQL: dict[str, str] = {
@@ -59,4 +61,5 @@ SQL: dict[str, str] = {
     "op3_decontamination": sql.DECONTAMINATION,
     "op6_chat_formatting": sql.TOOL_CALLS,
     "op9_ngram_jaccard": sql.JACCARD,
+    "op13_merkle_manifest": sql.MERKLE,
 }

@@ -92,3 +92,60 @@ SELECT conv_id, turn, call_id, level::INTEGER AS level,
     || '},"id":"' || call_id || '","name":"answer","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS line
 FROM calls LEFT JOIN results USING (conv_id, turn)
 """
+
+
+def crc32(text: str) -> str:
+    """Checksum of an ASCII text in SQL, bit by bit; null for null."""
+    bits = "list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: {bits}, 4294967295::BIGINT), 4294967295)"
+
+
+MERKLE = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, text, row_number() OVER () AS rid,
+    CASE WHEN CRC32 % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed,
+    list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR],
+      lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')) AS f
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, rid, sha256(array_to_string(f, '') || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+    sha256(array_to_string(f, '') || coalesce(strlen(changed)::VARCHAR || ':' || changed, '-')) AS claimed
+  FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves
+), low AS (
+  SELECT source, 0 AS level, place, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT source, level + 1, place // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY place))
+  FROM low WHERE n > 1 GROUP BY source, level, place // 3
+), subroots AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS level, place, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY place))
+  FROM high WHERE n > 1 GROUP BY level, place // 3
+), runs AS (
+  SELECT false AS top, source, level, place, h, n FROM low UNION ALL SELECT true, NULL, level, place, h, n FROM high
+), sides AS (
+  SELECT top, source, level, place,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post
+  FROM runs WHERE n > 1 WINDOW w AS (PARTITION BY top, source, level, place // 3 ORDER BY place)
+), fold AS (
+  SELECT rid, source, false AS top, 0 AS level, place, claimed AS h, '' AS proof, false AS over FROM placed
+  UNION ALL
+  SELECT f.rid, f.source, f.top OR s.h IS NULL AND NOT f.over, CASE WHEN s.h IS NULL THEN 0 ELSE f.level + 1 END,
+    CASE WHEN s.h IS NULL THEN (SELECT r.place FROM subroots r WHERE r.source IS NOT DISTINCT FROM f.source) ELSE f.place // 3 END,
+    CASE WHEN s.h IS NULL THEN f.h ELSE sha256(s.pre || f.h || s.post) END,
+    f.proof || coalesce(s.pre || s.post, ''), f.top AND s.h IS NULL
+  FROM fold f LEFT JOIN (SELECT *, true AS h FROM sides) s
+    ON s.top = f.top AND (f.top OR s.source IS NOT DISTINCT FROM f.source) AND s.level = f.level AND s.place = f.place
+  WHERE NOT f.over
+), root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, low.h AS subroot, root, sha256(proof) AS proof_sha256, fold.h AS folded_root, fold.h = root AS verified
+FROM placed JOIN fold ON fold.rid = placed.rid AND fold.over
+JOIN low ON low.source IS NOT DISTINCT FROM placed.source AND low.n = 1, root
+""".replace("CRC32", crc32("doc_id::VARCHAR"))
