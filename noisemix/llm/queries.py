@@ -15,6 +15,7 @@ from noisemix.llm import (
     langid,
     merkle,
     prefixtable,
+    prefixtrie,
     secrets,
     sharding,
     sql,
@@ -52,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_jaccard": _documents(jaccard.join_documents),
     "op10_sharding": _documents(sharding.shard_documents),
     "op11_sentencepiece": _documents(lambda docs: prefixtable.encode_digests(docs, prefixtable.default_file())),
+    "op12_prefix_trie": lambda spark, sf_dir: prefixtrie.conversation_trie(table(spark, sf_dir, "conversations")),
     "op13_merkle_manifest": _documents(merkle.manifest_documents),
 }
 
@@ -61,5 +63,6 @@ SQL: dict[str, str] = {
     "op3_decontamination": sql.DECONTAMINATION,
     "op6_chat_formatting": sql.TOOL_CALLS,
     "op9_ngram_jaccard": sql.JACCARD,
+    "op12_prefix_trie": sql.PREFIX_TRIE,
     "op13_merkle_manifest": sql.MERKLE,
 }

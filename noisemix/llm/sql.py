@@ -149,3 +149,36 @@ SELECT doc_id, leaf, low.h AS subroot, root, sha256(proof) AS proof_sha256, fold
 FROM placed JOIN fold ON fold.rid = placed.rid AND fold.over
 JOIN low ON low.source IS NOT DISTINCT FROM placed.source AND low.n = 1, root
 """.replace("CRC32", crc32("doc_id::VARCHAR"))
+
+PREFIX_TRIE = r"""
+WITH turns AS (
+  SELECT conv_id, r, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || t)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id, CRC32 % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT DISTINCT conv_id FROM turns)
+), openings AS (
+  SELECT c.conv_id, t.i, t.r, t.t FROM convs c JOIN turns t ON t.conv_id = c.base AND t.i <= c.h
+), rebuilt AS (
+  SELECT * FROM openings
+  UNION ALL
+  SELECT conv_id, 1000000 + i, r, t FROM turns JOIN convs USING (conv_id) WHERE i > h
+), paths AS (
+  SELECT conv_id, coalesce(p, []) AS p FROM convs LEFT JOIN
+    (SELECT conv_id, list(struct_pack(r := r, t := t) ORDER BY i) AS p FROM rebuilt GROUP BY conv_id) USING (conv_id)
+), prefixes AS (
+  SELECT conv_id, len(p) AS l, d, p[1:d] AS k FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE l = d), '')) AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(k[d].t) END AS own
+  FROM prefixes GROUP BY d, k
+), children AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (d, k)),
+subtrees AS (
+  SELECT a AS d, k[1:a] AS k, sum((n_children = 0)::INT) AS n_leaves, sum(own) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM counted) GROUP BY 1, 2
+)
+SELECT c.conv_id, c.d::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n::BIGINT AS n_convs, c.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, c.ends AS ends_sha256
+FROM counted c JOIN subtrees USING (d, k) LEFT JOIN nodes p ON p.d = c.d - 1 AND p.k = c.k[1:c.d - 1]
+""".replace("CRC32", crc32("conv_id::VARCHAR"))
