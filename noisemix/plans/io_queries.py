@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from noisemix.functions import text
 from noisemix.operators import noise
-from noisemix.operators import subword as W
 from noisemix.operators.paraphrase import candidates_from
 from noisemix.plans import sql as S
 from noisemix.plans.catalog import SEED, query
 from noisemix.plans.mixing_queries import SAMPLE, TARGET_LANGS, ZIPPED, mixed
 from noisemix.plans.noise_queries import KEYS, marked_lines
 from noisemix.plans.recipes import RECIPES
-from noisemix.plans.subword_queries import _PIECES, TRAINED, _recursive, trained
+from noisemix.plans.subword_queries import ENCODED, PIECES, TRAINED, encoded_sides, recursive
 from noisemix.plans.text_queries import CANDIDATES
 from noisemix.sources import bitext, sinks
 from noisemix.sources.checkpoints import scratch
@@ -219,18 +218,14 @@ def a10(spark, sf_dir):
 
 @query(
     "a11_encode_many",
-    _recursive(
-        *TRAINED,
-        _PIECES,
-        select="SELECT split, lang, doc_id, pos, pieces FROM pieces",
-    ),
+    recursive(*TRAINED, ENCODED, PIECES, select="SELECT split, side, conv_id, turn, pieces FROM pieces"),
 )
 def a11(spark, sf_dir):
-    """All splits and languages encoded by one job, one partition folder each."""
+    """All splits and sides encoded by one job, one partition folder each."""
     path = scratch(spark, "encoded")
-    encoded = W.encode(document_lines(spark, sf_dir), trained(spark, sf_dir), "src")
-    out = encoded.select("split", "lang", *KEYS, F.array_join("pieces", " ").alias("pieces"))
-    sinks.write_pairs(out, path, ("split", "lang"))
+    encoded = encoded_sides(spark, sf_dir).filter(F.size("pieces") > 0)
+    out = encoded.select("split", "side", "conv_id", "turn", F.array_join("pieces", " ").alias("pieces"))
+    sinks.write_pairs(out, path, ("split", "side"))
     return sinks.read_pairs(spark, path).select(*out.columns)
 
 

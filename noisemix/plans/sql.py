@@ -103,9 +103,13 @@ def close_clause(c: str, u: str) -> str:
     )
 
 
+def split(key: str) -> str:
+    return f"CASE WHEN {key} % 10 < 8 THEN 'train' WHEN {key} % 10 = 8 THEN 'dev' ELSE 'test' END"
+
+
 LINES = f"""lines AS (
   SELECT doc_id, pos, lang, source, line AS src, concat(doc_id, ':', pos) AS row_key,
-    CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'dev' ELSE 'test' END AS split
+    {split("doc_id")} AS split
   FROM (SELECT doc_id, lang, source, unnest(l) AS line, unnest(range(len(l))) AS pos
         FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents))
   WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]'))"""

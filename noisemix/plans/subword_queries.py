@@ -19,13 +19,17 @@ from noisemix.sources.corpora import (
     conversation_pairs,
     document_lines,
     hypothesis_pairs,
+    split_of,
     table,
 )
 from noisemix.sources.sinks import reuse
 
-MERGES = 24
+_POOL = f"""sides AS (
+  SELECT conv_id, turn, {S.split("conv_id")} AS split, unnest(['src', 'tgt']) AS side, unnest([src, tgt]) AS line
+  FROM (SELECT u.conv_id, u.turn, u.text AS src, a.text AS tgt FROM conversations u JOIN conversations a
+    ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'))"""
 _WORDS = (
-    f"words AS (SELECT word, count(*) AS cnt FROM (SELECT unnest({S.tokens('src')}) AS word FROM lines) "
+    f"words AS (SELECT word, count(*) AS cnt FROM (SELECT unnest({S.tokens('line')}) AS word FROM sides) "
     "GROUP BY word)"
 )
 _CHARS = """chars AS (
@@ -34,61 +38,72 @@ _CHARS = """chars AS (
   FROM (SELECT char, sum(cnt)::bigint AS cnt
         FROM (SELECT cnt, unnest(regexp_extract_all(word, '.')) AS char FROM words) GROUP BY char))"""
 
-# words as wrapped symbols; \\x02 and \\x03 wrap a symbol, \\x01 marks a character outside the alphabet
-_SEGMENTS = f"""letters AS (
+
+def _wrapped(source: str) -> str:
+    r"""Words as wrapped symbols: \x02 and \\x03 wrap a symbol, four \x01 make one too long for any pair."""
+    return f"""letters AS (
   SELECT word, cnt, unnest(regexp_extract_all('{S.MARK}' || word, '.')) AS c,
-    generate_subscripts(regexp_extract_all('{S.MARK}' || word, '.'), 1) AS i FROM words),
+    generate_subscripts(regexp_extract_all('{S.MARK}' || word, '.'), 1) AS i FROM {source}),
 wrapped AS (
   SELECT word, letters.cnt, string_agg(CASE WHEN c = '{S.MARK}' OR covered THEN chr(2) || c || chr(3)
-    ELSE chr(1) || c END, '' ORDER BY i) AS seg
+    ELSE chr(2) || repeat(chr(1), 4) || c || chr(3) END, '' ORDER BY i) AS seg
   FROM letters LEFT JOIN chars ON c = char GROUP BY word, letters.cnt)"""
 
 
-def _training(source: str, merges: int) -> str:
-    """Words after every merge, best pair first; the state carries the merge just made."""
-    pair = chr(3) + chr(2)
-    fragments = (
-        f"SELECT cnt, unnest(string_split_regex(seg, '{chr(1)}[^{chr(2)}]?')) AS seg FROM cur"
-    )
-    return f"""bpe AS (
-  SELECT 0 AS it, word, cnt, seg, NULL::varchar AS l, NULL::varchar AS r, 0::bigint AS best FROM {source}
-  UNION ALL
-  SELECT it + 1, word, cur.cnt,
-    replace(seg, chr(2) || p.l || chr(3) || chr(2) || p.r || chr(3), chr(2) || p.l || p.r || chr(3)),
-    p.l, p.r, p.s
-  FROM bpe cur, (
-    SELECT l, r, sum(cnt)::bigint AS s FROM (
-      SELECT cnt, unnest(a[1:len(a) - 1]) AS l, unnest(a[2:]) AS r FROM (
-        SELECT cnt, string_split(substr(seg, 2, length(seg) - 2), '{pair}') AS a
-        FROM ({fragments}) WHERE seg <> ''))
-    WHERE length(l) + length(r) <= 4 GROUP BY l, r ORDER BY s DESC, l, r LIMIT 1) p
-  WHERE it < {merges})""".replace("FROM cur)", "FROM bpe)").replace("FROM cur", "FROM bpe")
-
-
-def _recursive(*ctes: str, select: str) -> str:
+_PAIRS = """(SELECT cnt, unnest(a[1:len(a) - 1]) AS l, unnest(a[2:]) AS r FROM (
+    SELECT cnt, string_split(substr(seg, 2, length(seg) - 2), chr(3) || chr(2)) AS a FROM {}))
+  WHERE length(l) + length(r) <= 4 GROUP BY l, r"""
+
+#: Rows of kind 0 are words with their symbols, rows of kind 1 the merges in order; words without count only follow.
+_TRAINED = f"""bpe(kind, id, seg, cnt, l, r) USING KEY (kind, id) AS (
+  SELECT 0, word, seg, cnt::bigint, NULL::varchar, NULL::varchar FROM wrapped
+  UNION
+  (WITH best AS MATERIALIZED (
+    SELECT l, r, sum(cnt)::bigint AS s, (SELECT count(*) FROM recurring.bpe WHERE kind = 1) AS n,
+      chr(2) || l || chr(3) || chr(2) || r || chr(3) AS apart, chr(2) || l || r || chr(3) AS made
+    FROM {_PAIRS.format("recurring.bpe WHERE kind = 0 AND cnt > 0")} ORDER BY s DESC, l, r LIMIT 1)
+  SELECT 0, id, replace(seg, apart, made), cnt, NULL, NULL FROM recurring.bpe, best WHERE kind = 0 AND contains(seg, apart)
+  UNION ALL SELECT 1, n::varchar, NULL, s, l, r FROM best))"""
+
+TRAINED = [_POOL, _WORDS, _CHARS, _wrapped("words"), _TRAINED]
+
+
+def recursive(*ctes: str, select: str) -> str:
     return S.with_(*ctes, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-TRAINED = [S.LINES, _WORDS, _CHARS, _SEGMENTS, _training("wrapped", MERGES)]
+def sides(spark, sf_dir):
+    """User turns and the replies to them as the two sides of a corpus: ``conv_id, turn, split, side, line``."""
+    pairs = conversation_pairs(spark, sf_dir).withColumn("split", split_of(F.col("conv_id")))
+    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("line")) for side in ("src", "tgt")])
+    return pairs.select("conv_id", "turn", "split", F.inline(both))
+
+
+SIDE_KEYS = ["conv_id", "turn", "side"]
 
 
 def corpus_words(spark, sf_dir):
-    return W.word_counts(document_lines(spark, sf_dir), "src")
+    return W.word_counts(W.pool_text(conversation_pairs(spark, sf_dir)))
 
 
 def train(spark, sf_dir):
+    """The whole vocabulary: 50,000 symbols, or as many as the text has."""
     words = cut(corpus_words(spark, sf_dir))
     chars = W.character_coverage(words).filter("covered").select("char").collect()
-    return W.train_merges(words, [r[0] for r in chars], MERGES)
+    return W.train_merges(words, [r[0] for r in chars])
 
 
 def trained(spark, sf_dir):
     """Training is skipped when this application has trained on the same table before."""
-    name = hashlib.md5(f"{sf_dir}|{MERGES}|{W.COVERAGE}|{W.MAX_PIECE}".encode()).hexdigest()
+    name = hashlib.md5(f"{sf_dir}|{W.VOCABULARY}|{W.COVERAGE}|{W.MAX_PIECE}".encode()).hexdigest()
     path = f"{shared_folder(spark)}/merges-{name}"
     return reuse(spark, path, lambda: train(spark, sf_dir))
 
 
+def encoded_sides(spark, sf_dir):
+    return W.encode(sides(spark, sf_dir), trained(spark, sf_dir), "line")
+
+
 @query(
     "a9_pooled_text",
     f"""SELECT side, line, count(*) AS n FROM (
@@ -105,7 +120,7 @@ def a9(spark, sf_dir):
 
 @query(
     "e12_character_coverage",
-    S.with_(S.LINES, _WORDS, _CHARS, select="SELECT * FROM chars"),
+    S.with_(_POOL, _WORDS, _CHARS, select="SELECT * FROM chars"),
 )
 def e12(spark, sf_dir):
     return W.character_coverage(corpus_words(spark, sf_dir))
@@ -113,14 +128,7 @@ def e12(spark, sf_dir):
 
 @query(
     "h1_pair_counts",
-    S.with_(
-        *TRAINED[:4],
-        select=f"""SELECT l, r, sum(cnt)::bigint AS cnt FROM (
-  SELECT cnt, unnest(a[1:len(a) - 1]) AS l, unnest(a[2:]) AS r FROM (
-    SELECT cnt, string_split(substr(seg, 2, length(seg) - 2), chr(3) || chr(2)) AS a FROM (
-      SELECT cnt, unnest(string_split_regex(seg, '{chr(1)}[^{chr(2)}]?')) AS seg FROM wrapped)
-    WHERE seg <> '')) GROUP BY l, r""",
-    ),
+    S.with_(*TRAINED[:4], select=f"SELECT l, r, sum(cnt)::bigint AS cnt FROM {_PAIRS.format('wrapped')}"),
 )
 def h1_pairs(spark, sf_dir):
     words = cut(corpus_words(spark, sf_dir))
@@ -130,42 +138,38 @@ def h1_pairs(spark, sf_dir):
 
 @query(
     "h1_train_merges",
-    _recursive(
-        *TRAINED,
-        select="SELECT DISTINCT (it - 1)::int AS rank, l, r, best AS cnt FROM bpe WHERE it > 0",
-    ),
+    recursive(*TRAINED, select="SELECT id::int AS rank, l, r, cnt FROM bpe WHERE kind = 1"),
 )
 def h1(spark, sf_dir):
+    """Trained to the end on both sides of the corpus."""
     return train(spark, sf_dir)
 
 
-_PIECES = f"""encoded AS (
-  SELECT word, trim(replace(replace(replace(replace(seg, chr(1), ' '), chr(3) || chr(2), ' '),
-    chr(2), ' '), chr(3), ' ')) AS p FROM bpe WHERE it = {MERGES}),
-piece_words AS (
-  SELECT doc_id, pos, split, lang, unnest(tk) AS word, unnest(range(len(tk))) AS i
-  FROM (SELECT doc_id, pos, split, lang, {S.tokens("src")} AS tk FROM lines)),
+ENCODED = f"""encoded AS (
+  SELECT id AS word, replace(replace(replace(replace(seg, chr(1), ''), chr(3) || chr(2), ' '), chr(2), ''), chr(3), '') AS p
+  FROM bpe WHERE kind = 0)"""
+
+PIECES = f"""side_words AS (
+  SELECT conv_id, turn, split, side, unnest(tk) AS word, unnest(range(len(tk))) AS i
+  FROM (SELECT *, {S.tokens("line")} AS tk FROM sides)),
 pieces AS (
-  SELECT doc_id, pos, split, lang, string_agg(regexp_replace(p, ' +', ' ', 'g'), ' ' ORDER BY i) AS pieces
-  FROM piece_words JOIN encoded USING (word) GROUP BY ALL)"""
+  SELECT conv_id, turn, split, side, string_agg(p, ' ' ORDER BY i) AS pieces FROM side_words JOIN encoded USING (word) GROUP BY ALL)"""
 
 
 @query(
     "h2_encode",
-    _recursive(*TRAINED, _PIECES, select="SELECT doc_id, pos, pieces FROM pieces"),
+    recursive(*TRAINED, ENCODED, PIECES, select="SELECT conv_id, turn, side, pieces FROM pieces"),
 )
 def h2(spark, sf_dir):
-    encoded = W.encode(document_lines(spark, sf_dir), trained(spark, sf_dir), "src")
-    return encoded.select(*KEYS, F.array_join("pieces", " ").alias("pieces"))
+    return encoded_sides(spark, sf_dir).filter(F.size("pieces") > 0).select(*SIDE_KEYS, F.array_join("pieces", " ").alias("pieces"))
 
 
 @query(
     "h3_decode",
-    S.with_(S.LINES, select=f"SELECT doc_id, pos, {S.norm('src')} AS plain FROM lines"),
+    S.with_(_POOL, select=f"SELECT conv_id, turn, side, {S.norm('line')} AS plain FROM sides"),
 )
 def h3(spark, sf_dir):
-    encoded = W.encode(document_lines(spark, sf_dir), trained(spark, sf_dir), "src")
-    return encoded.select(*KEYS, W.pieces_to_text(F.col("pieces")).alias("plain"))
+    return encoded_sides(spark, sf_dir).select(*SIDE_KEYS, W.pieces_to_text(F.col("pieces")).alias("plain"))
 
 
 _PIECE_DICT = """dict AS (
@@ -176,37 +180,38 @@ _PIECE_DICT = """dict AS (
 
 @query(
     "h4_binarise",
-    _recursive(
+    recursive(
         *TRAINED,
-        _PIECES,
+        ENCODED,
+        PIECES,
         _PIECE_DICT,
-        select="""SELECT doc_id, pos, string_agg(id::varchar, ' ' ORDER BY i) AS ids FROM (
-  SELECT doc_id, pos, unnest(pl) AS token, unnest(range(len(pl))) AS i
-  FROM (SELECT doc_id, pos, string_split(pieces, ' ') AS pl FROM pieces)) JOIN dict USING (token)
-GROUP BY doc_id, pos""",
+        select="""SELECT conv_id, turn, side, string_agg(dict.id::varchar, ' ' ORDER BY i) AS ids FROM (
+  SELECT conv_id, turn, side, unnest(pl) AS token, unnest(range(len(pl))) AS i
+  FROM (SELECT conv_id, turn, side, string_split(pieces, ' ') AS pl FROM pieces)) JOIN dict USING (token)
+GROUP BY conv_id, turn, side""",
     ),
 )
 def h4(spark, sf_dir):
-    encoded = W.encode(document_lines(spark, sf_dir), trained(spark, sf_dir), "src")
+    encoded = encoded_sides(spark, sf_dir).filter(F.size("pieces") > 0)
     pieces = D.joint_dictionary(encoded.select(F.explode("pieces").alias("token")))
-    return D.to_ids(encoded, pieces, KEYS, "pieces").select(
-        *KEYS, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids")
+    return D.to_ids(encoded, pieces, SIDE_KEYS, "pieces").select(
+        *SIDE_KEYS, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids")
     )
 
 
-_POOLED = f"""words AS (SELECT word, count(*) AS cnt FROM (
-  SELECT unnest({S.tokens("line")}) AS word FROM (
-    SELECT hyp AS line FROM pairs UNION ALL SELECT ref FROM pairs)) GROUP BY word)"""
+_REPLIES = f"""lines AS (
+  SELECT conv_id AS doc_id, turn AS pos, line AS src FROM sides WHERE side = 'tgt')"""
+
+_MORE_WORDS = f"""more_words AS (SELECT word, max(cnt) AS cnt FROM (
+  SELECT word, cnt FROM words UNION ALL SELECT word, 0 FROM (
+    SELECT unnest({S.tokens("hyp")}) AS word FROM pairs UNION ALL SELECT unnest({S.tokens("ref")}) FROM pairs)) GROUP BY word)"""
 
-_PIECE_UNITS = f"""encoded AS (
-  SELECT word, regexp_replace(trim(replace(replace(replace(replace(seg, chr(1), ' '),
-    chr(3) || chr(2), ' '), chr(2), ' '), chr(3), ' ')), ' +', ' ', 'g') AS p FROM bpe WHERE it = {MERGES}),
-sides AS (
+_PIECE_UNITS = f"""scored AS (
   SELECT system, eval_set, concat(doc_id, ':', pos) AS rid, unnest(['h', 'r']) AS side,
     unnest([{S.tokens("hyp")}, {S.tokens("ref")}]) AS tk FROM pairs),
 side_pieces AS (
   SELECT system, eval_set, rid, side, string_split(string_agg(p, ' ' ORDER BY i), ' ') AS u FROM (
-    SELECT system, eval_set, rid, side, unnest(tk) AS word, unnest(range(len(tk))) AS i FROM sides)
+    SELECT system, eval_set, rid, side, unnest(tk) AS word, unnest(range(len(tk))) AS i FROM scored)
   JOIN encoded USING (word) GROUP BY ALL),
 units AS (
   SELECT system, eval_set, rid, r.u AS r, coalesce(h.u, []::varchar[]) AS h
@@ -216,24 +221,28 @@ units AS (
 
 @query(
     "e6_subword_bleu",
-    _recursive(
-        S.LINES,
+    recursive(
+        _POOL,
+        _REPLIES,
         S.pairs(),
-        _POOLED,
+        _WORDS,
         _CHARS,
-        _SEGMENTS,
-        _training("wrapped", MERGES),
+        _MORE_WORDS,
+        _wrapped("more_words"),
+        _TRAINED,
+        ENCODED,
         _PIECE_UNITS,
         bleu_sql("units", "b", False),
         select="SELECT * FROM b",
     ),
 )
 def e6(spark, sf_dir):
-    """Vocabulary trained on both sides, score on pieces."""
-    pairs = hypothesis_pairs(document_lines(spark, sf_dir))
-    words = cut(W.word_counts(W.pool_text(pairs, "hyp", "ref")))
-    chars = W.character_coverage(words).filter("covered").select("char").collect()
-    merges = W.train_merges(words, [r[0] for r in chars], MERGES)
+    """Replies scored on the pieces of the trained vocabulary."""
+    replies = conversation_pairs(spark, sf_dir).select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("tgt").alias("src")
+    )
+    pairs = hypothesis_pairs(replies)
+    merges = trained(spark, sf_dir)
     coded = W.encode(W.encode(pairs, merges, "hyp", "h"), merges, "ref", "r")
     return corpus_bleu(coded, ["system", "eval_set"], F.col("h"), F.col("r"))
 
@@ -316,29 +325,30 @@ def d8_unknown(spark, sf_dir):
     return D.unknown_rate(coded_lines(spark, sf_dir), ["split"])
 
 
-_LIMIT = 200
+_LIMIT = 256
 
 
 @query(
     "b17_length_limits",
-    S.with_(
-        S.LINES,
-        select=f"""SELECT split, count(*) AS n_pairs, count(*) FILTER (length({S.norm("src")}) <= {_LIMIT}) AS n_kept,
-  count(*) FILTER (length({S.norm("src")}) > {_LIMIT}) AS n_rejected FROM lines GROUP BY split""",
+    recursive(
+        *TRAINED,
+        ENCODED,
+        PIECES,
+        f"""sized AS (
+  SELECT sides.split, conv_id, turn, coalesce(max(len(string_split(pieces, ' '))), 0) AS most
+  FROM sides LEFT JOIN pieces USING (conv_id, turn, side) GROUP BY ALL)""",
+        select=f"""SELECT split, count(*) AS n_pairs, count(*) FILTER (most <= {_LIMIT}) AS n_kept,
+  count(*) FILTER (most > {_LIMIT}) AS n_rejected FROM sized GROUP BY split""",
     ),
 )
 def b17(spark, sf_dir):
-    """Characters as pieces, so that the limit bites."""
-    pieces = text.characters(text.normalise_space(F.col("src")))
-    kept = W.within_limits(pieces, pieces, _LIMIT)
-    return (
-        document_lines(spark, sf_dir)
-        .groupBy("split")
-        .agg(
-            F.count(F.lit(1)).alias("n_pairs"),
-            F.count_if(kept).alias("n_kept"),
-            F.count_if(~kept).alias("n_rejected"),
-        )
+    """Both sides in pieces of the joint vocabulary; a limit that bites on turns of a conversation."""
+    merges = trained(spark, sf_dir)
+    pairs = conversation_pairs(spark, sf_dir).withColumn("split", split_of(F.col("conv_id")))
+    coded = W.encode(W.encode(pairs, merges, "src", "src_pieces"), merges, "tgt", "tgt_pieces")
+    kept = W.within_limits(F.col("src_pieces"), F.col("tgt_pieces"), _LIMIT)
+    return coded.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_rejected")
     )
 
 

@@ -47,26 +47,55 @@ def train_one_by_one(words, covered, merges, max_piece=4):
     return learned
 
 
-@pytest.mark.parametrize("seed, look", [(1, 256), (2, 8), (3, 1)])
-def test_batched_merges_equal_one_by_one(spark, seed, look):
+@pytest.mark.parametrize(
+    "seed, look, held, merges",
+    [(1, 20_000, 200_000, 10_000), (3, 40, 30, 30), (6, 2, 1, 8)],
+)
+def test_training_equals_merging_one_by_one(spark, seed, look, held, merges):
+    """All pairs at once, lists and runs that are cut short, ties beyond the list."""
     words, df = words_frame(spark, seed)
     covered = set("".join(words)) - {"é"}
-    merges = W.train_merges(df, sorted(covered), 25, look=look, rewrite_every=7)
-    got = [(r.l, r.r, r.cnt) for r in merges.orderBy("rank").collect()]
-    assert got == train_one_by_one(words, covered, 25)
+    expected = train_one_by_one(words, covered, merges)
+    most = len(covered | {W.MARK, W.UNKNOWN_PIECE} | {a + b for a, b, _ in expected[:merges]})
+    trained = W.train_merges(df, sorted(covered), most, look=look, held=held)
+    got = [(r.l, r.r, r.cnt) for r in trained.orderBy("rank").collect()]
+    assert got == expected[: len(got)] and len(got) >= min(len(expected), merges)
 
 
-def test_approximate_training_is_valid(spark):
+def test_training_ends_with_the_vocabulary_or_the_pairs(spark):
     words, df = words_frame(spark, 4)
-    merges = W.train_merges(df, sorted(set("".join(words))), 20, exact=False)
-    rows = merges.orderBy("rank").collect()
-    assert len({r.l + r.r for r in rows}) == len(rows)
-    assert all(len(r.l + r.r) <= W.MAX_PIECE for r in rows)
+    covered = sorted(set("".join(words)))
+    rows = W.train_merges(df, covered, len(covered) + 2 + 20).collect()
+    assert len({r.l + r.r for r in rows}) == 20
+    everything = W.train_merges(df, covered).orderBy("rank").collect()
+    assert rows == everything[: len(rows)]
+    assert all(len(r.l + r.r) <= W.MAX_PIECE for r in everything)
+    assert W.train_merges(df.where("false"), covered).collect() == []
+
+
+def test_merges_in_turn():
+    turns = {("a", "b"): [0, 3], ("ab", "c"): [1], ("b", "c"): [2]}
+    assert W.merge_in_turn(list("abcbc"), turns) == ["abc", "bc"]
+    assert W.merge_in_turn(list("a"), turns) == ["a"]
+    assert W.merge_pair(list("aaaa"), ("a", "a")) == ["aa", "aa"]
+    assert W.merge_pair(list("aaa"), ("a", "a")) == ["aa", "a"]
+
+
+def test_encoding_ends_like_training(spark):
+    """The pieces of a trained word are the symbols that training left it with."""
+    words, df = words_frame(spark, 7)
+    covered = sorted(set("".join(words)))
+    merges = W.train_merges(df, covered)
+    turns = {}
+    for r in merges.orderBy("rank").collect():
+        turns.setdefault((r.l, r.r), []).append(r["rank"])
+    for row in W.encode(df, merges, "word").collect():
+        assert row.pieces == W.merge_in_turn(list(W.MARK + row.word), turns)
 
 
 def test_round_trip_and_piece_length(spark):
     words, df = words_frame(spark, 5)
-    merges = W.train_merges(df, sorted(set("".join(words))), 30)
+    merges = W.train_merges(df, sorted(set("".join(words))), 50)
     lines = spark.createDataFrame([("banana  toti caxé",), ("",), ("  an 😀 q",)], "line string")
     out = W.encode(lines, merges, "line").select(
         "pieces", W.pieces_to_text(F.col("pieces")).alias("back"), text.normalise_space(F.col("line")).alias("norm")
