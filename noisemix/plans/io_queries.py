@@ -13,11 +13,11 @@ from noisemix.operators.paraphrase import candidates_from
 from noisemix.plans import sql as S
 from noisemix.plans.catalog import SEED, query
 from noisemix.plans.mixing_queries import SAMPLE, TARGET_LANGS, ZIPPED, mixed
-from noisemix.plans.noise_queries import KEYS, marked_lines
-from noisemix.plans.recipes import RECIPES
+from noisemix.plans.noise_queries import _READ, _RECIPE_SELECT, KEYS, _recipe_output, _recipe_sql, marked_lines
+from noisemix.plans.recipes import RECIPES, recipe
 from noisemix.plans.subword_queries import ENCODED, PIECES, TRAINED, encoded_sides, recursive
-from noisemix.plans.text_queries import CANDIDATES
-from noisemix.sources import bitext, sinks
+from noisemix.plans.text_queries import CANDIDATES, lexicon
+from noisemix.sources import bitext, sinks, versions
 from noisemix.sources.checkpoints import scratch
 from noisemix.sources.corpora import (
     HYPOTHESIS_SQL,
@@ -246,44 +246,70 @@ def j1(spark, sf_dir):
     return candidates_from(document_lines(spark, sf_dir), _rotations, KEYS)
 
 
-_NO_NAMES = f"""base AS (
-  SELECT *, {S.detached("src")} AS tokens, {S.norm("src")} AS tgt, []::bigint[] AS proper_at FROM lines)"""
+def _published_lexicon(spark, sf_dir) -> str:
+    """The mined lexicon as version 0 of a table."""
+    root = scratch(spark, "lexicon")
+    versions.publish(lexicon(spark, sf_dir), root, 0)
+    return root
+
+
+IN_LINE = recipe("in-line", ["typo", "runon_line"], [0.15, 0.9])
+
+
+def _streamed(spark, sf_dir, job, used, out):
+    """Runs a job twice on one checkpoint: the second run finds nothing new."""
+    checkpoint, noiser = scratch(spark, "stream-state"), incremental.Noiser(used, SEED, _published_lexicon(spark, sf_dir), 0)
+    for _ in range(2):
+        job(incremental.stream_documents(spark, sf_dir), noiser, out, checkpoint).awaitTermination()
 
 
 @query(
     "i1_incremental_noise",
     S.with_(
         S.LINES,
-        _NO_NAMES,
-        S.noise("base", "own", RECIPES["both"]),
+        S.BASE,
+        S.noise("base", "own", IN_LINE),
         select=f"""SELECT doc_id, pos, split, {S.joined("own.tokens")} AS noisy, coalesce(sub, 0)::int AS n_sub,
   coalesce(swap, 0)::int AS n_swap, coalesce(runon, 0)::int AS n_runon FROM own JOIN lines USING (row_key)""",
     ),
 )
 def i1(spark, sf_dir):
-    """Noising as a stream, run twice on one checkpoint: the second run finds nothing new."""
-    out, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-state")
-    for _ in range(2):
-        docs = incremental.stream_documents(spark, sf_dir)
-        noised = incremental.noised_lines(docs, RECIPES["both"], SEED)
-        incremental.write_incrementally(noised, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    """The lines of ``c9_compound_noise``, made as a stream."""
+    out = scratch(spark, "stream")
+    _streamed(spark, sf_dir, incremental.publish_noised, IN_LINE, out)
+    return versions.read_all(spark, out).select(*KEYS, "split", F.col("noisy_src").alias("noisy"), "n_sub", "n_swap", "n_runon")
+
+
+@query("i1_incremental_runons", S.with_(*_recipe_sql(RECIPES["both"]), select=_RECIPE_SELECT))
+def i1_runons(spark, sf_dir):
+    """Multi-line run-ons in the stream: the lines of ``c10_compound_runon``."""
+    out = scratch(spark, "stream")
+    _streamed(spark, sf_dir, incremental.publish_noised, RECIPES["both"], out)
+    return _recipe_output(versions.read_all(spark, out))
 
 
 @query(
     "i2_live_progress",
     S.with_(
         S.LINES,
-        _NO_NAMES,
-        S.noise("base", "own", RECIPES["both"]),
-        select="""SELECT split, count(*) AS lines, sum(coalesce(sub, 0))::bigint AS sub_typos,
-  sum(coalesce(swap, 0))::bigint AS swap_typos, sum(coalesce(runon, 0))::bigint AS inline_runons
-FROM own JOIN lines USING (row_key) GROUP BY split""",
+        S.BASE,
+        S.noise("base", "own", IN_LINE),
+        _READ,
+        f"""counted AS (SELECT b.split, b.tokens AS clean, {S.joined("o.tokens")} AS noisy, coalesce(sub, 0) AS sub,
+  coalesce(swap, 0) AS swap, coalesce(runon, 0) AS runon FROM own o JOIN base b USING (row_key))""",
+        select=f"""SELECT split, lines_before, count(*) AS lines_after,
+  sum(len(list_filter(clean, lambda x: {S.strip("x")} <> '')))::bigint AS tokens_before,
+  sum(len({S.tokens("noisy")}))::bigint AS tokens_after,
+  sum(len(list_filter(clean, lambda y: NOT {S.letters_only(S.strip("y"))})))::bigint AS non_alpha,
+  sum(sub)::bigint AS sub_typos, sum(swap)::bigint AS swap_typos, 0::bigint AS paraphrased,
+  sum(runon)::bigint AS inline_runons, 0::bigint AS multiline_runons, sum(sub + swap + runon)::bigint AS inline_edits,
+  count(*) FILTER (sub + swap + runon > 0) AS lines_changed, 0::bigint AS lines_joined
+FROM counted JOIN (SELECT split, count(*) AS lines_before FROM raw_numbered GROUP BY split) USING (split)
+GROUP BY split, lines_before""",
     ),
 )
 def i2(spark, sf_dir):
-    out, checkpoint = scratch(spark, "progress"), scratch(spark, "progress-state")
-    docs = incremental.stream_documents(spark, sf_dir)
-    noised = incremental.noised_lines(docs, RECIPES["both"], SEED)
-    incremental.live_progress(noised, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    """All counters of the noise report, kept up by a stream."""
+    out = scratch(spark, "progress")
+    _streamed(spark, sf_dir, incremental.publish_report, IN_LINE, out)
+    return versions.read_version(spark, out)
