@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from noisemix.llm.common import claim, keeps
+
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: A worker that keeps more words than this starts anew.
 KEPT_WORDS = 200_000
@@ -308,9 +310,13 @@ def encoder(file: str) -> Encoder:
     return Encoder(file)
 
 
+keeps("bpe", encoder.cache_clear)
+
+
 def _digests(file: str) -> Column:
     @F.pandas_udf(RESULT)
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("bpe")
         bpe = encoder(file)
         for batch in texts:
             rows = [
@@ -335,6 +341,7 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("bpe")
         bpe = encoder(file)
         for batch in batches:
             for at in range(0, len(batch), TEXTS_OUT):
@@ -354,6 +361,7 @@ def decode_ids(encoded: DataFrame, file: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("bpe")
         bpe = encoder(file)
         for batch in batches:
             yield pd.Series([None if x is None else bpe.decode(x) for x in batch], dtype=object)

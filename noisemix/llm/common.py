@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: How to free what a module keeps in a Python worker beyond a task.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keeps(owner: str, free: Callable[[], object]) -> None:
+    _KEPT[owner] = free
+
+
+def claim(owner: str) -> None:
+    """Frees what other modules have kept in this worker: Spark reuses workers from stage to stage."""
+    for name, free in _KEPT.items():
+        if name != owner:
+            free()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if the frame has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noisemix.llm.common import folded_words, free_name
+from noisemix.llm.common import claim, folded_words, free_name
 from noisemix.llm.components import components
 from noisemix.sources.checkpoints import cut, scratch
 
@@ -39,6 +39,8 @@ PERCENT = 90
 #: Cuts of the domain at most; the last one signs its empty ranges too.
 CUTS = 4
 _SEEN = 500_000
+#: Signed rows that leave a task together.
+ROWS_OUT = 1000
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 SLIM = "doc_id string, text_key long, n_shingles long, node long, signatures array<long>"
@@ -141,8 +143,9 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("jaccard")
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (x.iloc[at : at + ROWS_OUT] for x in batches for at in range(0, len(x), ROWS_OUT)):
             sizes, nodes, signed = [], [], []
             for text in batch["text"]:
                 s = shingle_set(text)
@@ -178,7 +181,9 @@ def _sets(docs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
             good = [i for i, s in enumerate(sets) if _node(s) == batch["node"].iloc[i]]
             yield pd.DataFrame({"node": batch["node"].iloc[good].to_numpy(), "elements": [sets[i].tobytes() for i in good]})
 
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key")
+    # One copy of each text; a checksum and the size tell texts of one key apart.
+    own = docs.select(F.xxhash64("text").alias("text_key"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.length("text").alias("size"), "text")
+    texts = own.join(wanted, "text_key").groupBy("text_key", "node", "crc", "size").agg(F.first("text").alias("text"))
     return texts.select("node", "text").mapInPandas(rows, "node long, elements binary").dropDuplicates(["node"])
 
 
@@ -268,6 +273,10 @@ def _open_pairs(
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), central
 
 
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, text_key, n_shingles, node, root`` of every row; rows with one root are linked.
 
@@ -285,21 +294,29 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     chained.write.parquet(f"{path}/chained")
     chained = spark.read.parquet(f"{path}/chained")
 
-    pairs = chained.select(F.col("before").alias("a"), F.col("node").alias("b")).union(
-        chained.select(F.col("first").alias("a"), F.col("node").alias("b"))
-    )
+    to_first = chained.select(F.col("first").alias("a"), F.col("node").alias("b"))
+    to_before = chained.where("before != first").select(F.col("before").alias("a"), F.col("node").alias("b"))
+    pairs = to_before.union(to_first)
     nodes = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
     sizes = slim.select("node", F.col("n_shingles").alias("n")).join(nodes, "node").distinct()
     _sets(docs, slim, nodes).write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
-    checked = cut(_near(pairs, sizes, percent))
+    checked = cut(_near(to_first, sizes, percent))
     links = cut(_linked(checked, sets, percent))
     roots = components(links)
+    # what is in one component already needs no further test
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    apart = to_before.distinct().join(ends[0], "a", "left").join(ends[1], "b", "left")
+    apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    others = cut(_near(apart, sizes, percent))
+    more = cut(_linked(others, sets, percent))
+    checked = checked.union(others)
+    roots = cut(components(_edges(roots).union(more)))
 
     rest, central = _open_pairs(pairs, roots, sizes, sets, percent, path)
     more = cut(_linked(rest.join(checked, ["a", "b"], "left_anti"), sets, percent).union(central))
     if not more.isEmpty():
-        roots = components(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        roots = components(_edges(roots).union(more))
     return slim.drop("signatures").join(cut(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

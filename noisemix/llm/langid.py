@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noisemix.llm.common import free_name, remainder
+from noisemix.llm.common import claim, free_name, keeps, remainder
 
 RESULT = "lang_pred string, score double"
 UNDETERMINED = "und"
@@ -245,6 +245,7 @@ class Labeller:
 
 
 _LABELLERS: dict[str, Labeller] = {}
+keeps("langid", _LABELLERS.clear)
 
 
 def _labeller(model: Model) -> Labeller:
@@ -263,6 +264,7 @@ def predict(model: Model | None) -> Column:
 
     @F.pandas_udf(RESULT)
     def label(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("langid")
         for batch in texts:
             found = [(UNDETERMINED, 0.0)] * len(batch) if model is None else list(_labeller(model).label(batch))
             yield pd.DataFrame(found, columns=["lang_pred", "score"])

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noisemix.llm.bpe import Ragged
+from noisemix.llm.common import claim, keeps
 
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 BLANK = "▁"
@@ -487,9 +488,13 @@ def encoder(file: str) -> Encoder:
     return Encoder(file)
 
 
+keeps("prefixtable", encoder.cache_clear)
+
+
 def _digests(file: str) -> Column:
     @F.pandas_udf(RESULT)
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("prefixtable")
         model = encoder(file)
         for batch in texts:
             rows = [
@@ -516,6 +521,7 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("prefixtable")
         model = encoder(file)
         for batch in batches:
             for at in range(0, len(batch), TEXTS_OUT):
@@ -535,6 +541,7 @@ def decode_ids(encoded: DataFrame, file: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("prefixtable")
         model = encoder(file)
         for batch in batches:
             yield pd.Series([None if x is None else model.decode(x).decode() for x in batch], dtype=object)
