@@ -11,8 +11,8 @@ from noisemix.operators import mixing, noise, reports
 from noisemix.operators.ordering import dense_row_number
 from noisemix.plans import sql as S
 from noisemix.plans.catalog import SEED, query
-from noisemix.plans.noise_queries import PLAIN_RUNON, _recipe_sql, in_batches
-from noisemix.plans.text_queries import KEYS, marked_lines
+from noisemix.plans.noise_queries import BATCH, BATCH_KEYS, LINE_ORDER, PLAIN_RUNON, _recipe_sql, batched_lines
+from noisemix.plans.text_queries import KEYS
 from noisemix.sources.corpora import VARIANT_SQL, denoising_pairs, document_lines, line_variants
 
 KINDS = list(VARIANT_SQL)
@@ -251,18 +251,16 @@ def f5(spark, sf_dir):
     "f6_partner_order",
     S.with_(
         *_recipe_sql(PLAIN_RUNON),
-        select="""SELECT l.doc_id, l.pos, string_agg(b.pos::varchar, ' ' ORDER BY p.j) AS partners
+        select="""SELECT l.doc_id, l.pos, string_agg(b.row_key, ' ' ORDER BY p.j) AS partners
 FROM out_pair p JOIN lines l USING (row_key)
 JOIN out_n n ON n.batch_id = p.batch_id AND n.me = p.who JOIN lines b ON b.row_key = n.row_key
 GROUP BY 1, 2""",
     ),
 )
 def f6(spark, sf_dir):
-    """The lines appended to each line, in order; targets are replaced by positions to read them off."""
-    df = in_batches(marked_lines(spark, sf_dir)).withColumn("tgt", F.col("pos").cast("string"))
-    out = df.transform(
-        noise.apply_recipe(PLAIN_RUNON, ["doc_id", "batch_no"], ["pos"], 8, SEED)
-    )
+    """The lines appended to each line, in order; targets are replaced by keys to read them off."""
+    df = batched_lines(spark, sf_dir).withColumn("tgt", F.col("row_key"))
+    out = df.transform(noise.apply_recipe(PLAIN_RUNON, BATCH_KEYS, LINE_ORDER, BATCH, SEED))
     partners = F.array_join(F.slice(F.split("noisy_tgt", " "), F.lit(2), F.size(F.split("noisy_tgt", " "))), " ")
     return out.filter("n_append > 0").select(*KEYS, partners.alias("partners"))
 

@@ -18,14 +18,24 @@ BATCH = 8
 PLAIN_RUNON = recipe("runon", ["runon_line", "runon_comb"], [0.9, 0.5], compound=False)
 
 
-def in_batches(df):
-    """Each document is an input shard of its own: batches never cross documents."""
-    return df.withColumn("batch_no", F.floor(F.col("pos") / BATCH).cast("long"))
+BATCH_KEYS, LINE_ORDER = ["split", "batch_no"], ["split_line"]
 
 
-BATCHED = S.BASE.replace(
+def batched_lines(spark, sf_dir):
+    """Marked lines in batches of consecutive lines of a split, whatever document they belong to."""
+    return marked_lines(spark, sf_dir, numbered=True).transform(noise.assign_batches(BATCH, "split_line", "batch_no"))
+
+
+BATCHED = """split_lines AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY split ORDER BY doc_id, pos) - 1 AS split_line
+  FROM (SELECT doc_id, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'dev' ELSE 'test' END AS split,
+          unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
+""" + S.BASE.replace(
     "SELECT detached.*,",
-    f"SELECT detached.*, concat(doc_id, '/', pos // {BATCH}) AS batch_id, pos AS ord,",
+    f"SELECT detached.*, concat(split, '/', split_line // {BATCH}) AS batch_id, split_line AS ord,",
+).replace(
+    "FROM detached LEFT JOIN proper USING (row_key))",
+    "FROM detached LEFT JOIN proper USING (row_key) JOIN split_lines USING (doc_id, pos))",
 )
 
 
@@ -203,8 +213,8 @@ def _recipe_sql(r, size=BATCH) -> list[str]:
 
 
 def recipe_lines(spark, sf_dir, r):
-    return in_batches(marked_lines(spark, sf_dir)).transform(
-        noise.apply_recipe(r, ["doc_id", "batch_no"], ["pos"], BATCH, SEED)
+    return batched_lines(spark, sf_dir).transform(
+        noise.apply_recipe(r, BATCH_KEYS, LINE_ORDER, BATCH, SEED)
     )
 
 
@@ -381,19 +391,17 @@ def c12(spark, sf_dir):
     "d4_batch_partners",
     S.with_(
         *_recipe_sql(PLAIN_RUNON),
-        select="""SELECT l.doc_id, l.pos, b.pos AS first_partner
+        select="""SELECT l.doc_id, l.pos, b.row_key AS first_partner
 FROM out_pair p JOIN lines l USING (row_key)
 JOIN out_n n ON n.batch_id = p.batch_id AND n.me = p.who JOIN lines b ON b.row_key = n.row_key
 WHERE p.j = 1""",
     ),
 )
 def d4(spark, sf_dir):
-    """The first line appended to each line: targets are replaced by positions to read it off."""
-    df = in_batches(marked_lines(spark, sf_dir)).withColumn("tgt", F.col("pos").cast("string"))
-    out = df.transform(
-        noise.apply_recipe(PLAIN_RUNON, ["doc_id", "batch_no"], ["pos"], BATCH, SEED)
-    )
-    partner = F.try_element_at(F.split("noisy_tgt", " "), F.lit(2)).cast("long")
+    """The first line appended to each line: targets are replaced by keys to read it off."""
+    df = batched_lines(spark, sf_dir).withColumn("tgt", F.col("row_key"))
+    out = df.transform(noise.apply_recipe(PLAIN_RUNON, BATCH_KEYS, LINE_ORDER, BATCH, SEED))
+    partner = F.try_element_at(F.split("noisy_tgt", " "), F.lit(2))
     return out.select(*KEYS, partner.alias("first_partner")).filter("first_partner IS NOT NULL")
 
 

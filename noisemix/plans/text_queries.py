@@ -18,6 +18,7 @@ from noisemix.sources.corpora import (
     conversation_pairs,
     denoising_pairs,
     document_lines,
+    numbered_lines,
     rotated_candidates,
 )
 from noisemix.sources.sinks import reuse
@@ -254,10 +255,10 @@ def lexicon(spark, sf_dir):
     )
 
 
-def marked_lines(spark, sf_dir):
-    """Prepared document lines with proper nouns marked."""
-    lines = denoising_pairs(spark, sf_dir).transform(prepare(KEYS))
-    return mark_proper_nouns(lines, lexicon(spark, sf_dir), KEYS)
+def marked_lines(spark, sf_dir, numbered=False):
+    """Prepared document lines with proper nouns marked, numbered inside their split if need be."""
+    pairs = numbered_lines(spark, sf_dir).withColumn("tgt", F.col("src")) if numbered else denoising_pairs(spark, sf_dir)
+    return mark_proper_nouns(pairs.transform(prepare(KEYS)), lexicon(spark, sf_dir), KEYS)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisemix.functions import text
+from noisemix.operators.ordering import group_row_number, running_totals
 
 from .partitions import spread
 
@@ -27,19 +28,44 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(docs)
 
 
+def number_documents(docs: DataFrame) -> DataFrame:
+    """Adds ``first_line``: where a document starts when its split is read line by line.
+
+    Documents of a split follow each other by ``doc_id``, a key.  A row for each document is sorted and
+    summed up, never one for each line; a null text has no lines.
+    """
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    counts = docs.select("doc_id", split_of(F.col("doc_id")).alias("_split"), lines.alias("_lines"), lines.alias("_own"))
+    numbered = group_row_number(counts, ["_split"], ["doc_id"], "_doc_no")
+    ends = running_totals(numbered, ["_split"], "_doc_no", ["_lines"])
+    starts = ends.select("doc_id", (F.col("_lines") - F.col("_own")).alias("first_line"))
+    return docs.join(starts, "doc_id")
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-blank lines with ``split_line``, their number among all lines of their split, blank ones too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return lines_of(number_documents(spread(docs, "doc_id")))
+
+
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents, blank ones too."""
     return all_lines_of(table(spark, sf_dir, "documents"))
 
 
 def all_lines_of(docs: DataFrame) -> DataFrame:
-    return (
+    """Lines of documents, with ``split_line`` where the documents are numbered."""
+    first = [c for c in ("first_line",) if c in docs.columns]
+    lines = (
         docs.select(
-            "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "src")
+            "doc_id", "lang", "source", *first, F.posexplode(F.split("text", "\n")).alias("pos", "src")
         )
         .withColumn("pos", F.col("pos").cast("long"))
         .withColumn("split", split_of(F.col("doc_id")))
     )
+    if not first:
+        return lines
+    return lines.withColumn("split_line", F.col("first_line") + F.col("pos")).drop("first_line")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
