@@ -21,9 +21,11 @@ from noisemix.sources import bitext, sinks, versions
 from noisemix.sources.checkpoints import scratch
 from noisemix.sources.corpora import (
     HYPOTHESIS_SQL,
+    all_lines_of,
     denoising_pairs,
     document_lines,
     line_variants,
+    number_documents,
     split_of,
     table,
 )
@@ -282,9 +284,13 @@ def i1(spark, sf_dir):
 
 @query("i1_incremental_runons", S.with_(*_recipe_sql(RECIPES["both"]), select=_RECIPE_SELECT))
 def i1_runons(spark, sf_dir):
-    """Multi-line run-ons in the stream: the lines of ``c10_compound_runon``."""
-    out = scratch(spark, "stream")
-    _streamed(spark, sf_dir, incremental.publish_noised, RECIPES["both"], out)
+    """Multi-line run-ons in the stream: the lines of ``c10_compound_runon``, batches held in keyed state."""
+    out, arrived, checkpoint = scratch(spark, "stream"), scratch(spark, "numbered"), scratch(spark, "stream-state")
+    docs = number_documents(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    incremental.with_ends(all_lines_of(docs)).write.parquet(arrived)
+    noiser = incremental.Noiser(RECIPES["both"], SEED, _published_lexicon(spark, sf_dir), 0)
+    for _ in range(2):
+        incremental.publish_run_ons(incremental.stream_lines(spark, arrived), noiser, out, checkpoint).awaitTermination()
     return _recipe_output(versions.read_all(spark, out))
 
 

@@ -70,7 +70,11 @@ def all_lines_of(docs: DataFrame) -> DataFrame:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """Lines of a batch or streaming frame of documents that aren't blank."""
-    return all_lines_of(docs).filter(F.col("src").rlike(r"[^ \t\n\x0B\f\r]"))
+    return all_lines_of(docs).filter(not_blank(F.col("src")))
+
+
+def not_blank(line: F.Column) -> F.Column:
+    return line.rlike(r"[^ \t\n\x0B\f\r]")
 
 
 def denoising_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
