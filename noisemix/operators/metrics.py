@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +15,7 @@ from noisemix.functions import edits, text
 from noisemix.functions.draws import let
 from noisemix.functions.ngrams import bleu_counts
 
+
 def _sides(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) -> DataFrame:
     """``_h`` and ``_r`` of every pair; a NULL side has no words, and the pair stays."""
     nothing = F.array().cast("array<string>")
@@ -32,6 +36,82 @@ def _mean_log(precisions: list[Column]) -> Column:
     return total / len(precisions)
 
 
+class Metric(NamedTuple):
+    """A corpus metric as sums over pairs."""
+
+    #: what a pair adds, a struct, from the units of both sides
+    pair: Callable[[Column, Column], Column]
+    #: how that is added up
+    sums: dict[str, Callable[[Column], Column]]
+    #: what the sums give
+    scores: Callable[[dict[str, Column]], dict[str, Column]]
+
+
+def corpus_scores(
+    pairs: DataFrame, by: list[str], hyp: Column, ref: Column, metrics: list[Metric], keep_sums: bool = False
+) -> DataFrame:
+    """Several metrics from one scan, one split into units and one aggregate; their sums too if need be.
+
+    A NULL side has no words.  Without any pair there is no row.
+    """
+    columns = [f"_{i}" for i in range(len(metrics))]
+    units = _sides(pairs, by, hyp, ref)
+    added = units.select(*by, *[m.pair(F.col("_h"), F.col("_r")).alias(c) for c, m in zip(columns, metrics, strict=True)])
+    named = [(m, c, {k: f"{c}_{k}" for k in m.sums}) for c, m in zip(columns, metrics, strict=True)]
+    summed = added.groupBy(*by).agg(*[m.sums[k](F.col(c)).alias(n) for m, c, names in named for k, n in names.items()])
+    out = []
+    for m, _, names in named:
+        of = {k: F.col(n) for k, n in names.items()}
+        kept = [of[k].alias(k) for k in of if not k.startswith("_")] if keep_sums else []
+        out += kept + [v.alias(k) for k, v in m.scores(of).items()]
+    return summed.select(*by, *out)
+
+
+def _rate(name: str, pair: Callable[[Column, Column], Column]) -> Metric:
+    """Edits for a hundred reference words."""
+    sums = {
+        "edits": lambda s: F.sum(s["edits"]).cast("long"),
+        "ref_words": lambda s: F.sum(s["words"]).cast("long"),
+    }
+    return Metric(
+        lambda h, r: F.struct(pair(h, r).alias("edits"), F.size(r).alias("words")),
+        sums,
+        lambda of: {name: F.round(F.try_divide(of["edits"] * 100.0, of["ref_words"]), 6)},
+    )
+
+
+def bleu(smooth: bool = False, max_n: int = 4) -> Metric:
+    """BLEU, one reference per sentence.
+
+    With ``smooth``, an order without any match counts as half, a quarter, ... of one match.
+    """
+    sums = {"hyp_len": lambda s: F.sum(s["hyp_len"]), "ref_len": lambda s: F.sum(s["ref_len"])}
+    for n in range(max_n):
+        sums[f"match_{n + 1}"] = lambda s, n=n: F.sum(s["match"][n])
+    for n in range(max_n):
+        sums[f"total_{n + 1}"] = lambda s, n=n: F.sum(s["total"][n])
+
+    def scores(of: dict[str, Column]) -> dict[str, Column]:
+        zeros, logs = F.lit(0), []
+        for n in range(1, max_n + 1):
+            match = of[f"match_{n}"]
+            zeros = zeros + F.when(match == 0, 1).otherwise(0)
+            share = F.when(match > 0, match.cast("double"))
+            if smooth:
+                share = F.coalesce(share, F.pow(F.lit(0.5), zeros))
+            logs.append(F.log(F.try_divide(share, of[f"total_{n}"])))
+        brevity = (
+            F.when(of["hyp_len"] == 0, 0.0)
+            .when(of["hyp_len"] < of["ref_len"], F.exp(1 - of["ref_len"] / of["hyp_len"]))
+            .otherwise(1.0)
+        )
+        # an order with no match and no smoothing, or with nothing to match, makes the score 0
+        score = F.coalesce(100.0 * brevity * F.exp(_mean_log(logs)), F.lit(0.0))
+        return {"brevity": F.round(brevity, 6), "bleu": F.round(score, 6)}
+
+    return Metric(lambda h, r: bleu_counts(h, r, max_n), sums, scores)
+
+
 def corpus_bleu(
     pairs: DataFrame,
     by: list[str],
@@ -40,38 +120,8 @@ def corpus_bleu(
     smooth: bool = False,
     max_n: int = 4,
 ) -> DataFrame:
-    """Corpus BLEU over unit arrays, one reference per sentence.
-
-    With ``smooth``, an order without any match counts as half, a quarter, ... of one match.
-    """
-    orders = range(max_n)
-    sums = (
-        _sides(pairs, by, hyp, ref)
-        .select(*by, bleu_counts(F.col("_h"), F.col("_r"), max_n).alias("s"))
-        .groupBy(*by)
-        .agg(
-            F.sum("s.hyp_len").alias("hyp_len"),
-            F.sum("s.ref_len").alias("ref_len"),
-            *[F.sum(F.col("s.match")[n]).alias(f"match_{n + 1}") for n in orders],
-            *[F.sum(F.col("s.total")[n]).alias(f"total_{n + 1}") for n in orders],
-        )
-    )
-    zeros = F.lit(0)
-    logs = []
-    for n in range(1, max_n + 1):
-        zeros = zeros + F.when(F.col(f"match_{n}") == 0, 1).otherwise(0)
-        share = F.when(F.col(f"match_{n}") > 0, F.col(f"match_{n}").cast("double"))
-        if smooth:
-            share = F.coalesce(share, F.pow(F.lit(0.5), zeros))
-        logs.append(F.log(F.try_divide(share, F.col(f"total_{n}"))))
-    brevity = (
-        F.when(F.col("hyp_len") == 0, 0.0)
-        .when(F.col("hyp_len") < F.col("ref_len"), F.exp(1 - F.col("ref_len") / F.col("hyp_len")))
-        .otherwise(1.0)
-    )
-    # an order with no match and no smoothing, or with nothing to match, makes the score 0
-    score = F.coalesce(100.0 * brevity * F.exp(_mean_log(logs)), F.lit(0.0))
-    return sums.withColumn("brevity", F.round(brevity, 6)).withColumn("bleu", F.round(score, 6))
+    """Corpus BLEU over unit arrays and the counts behind it."""
+    return corpus_scores(pairs, by, hyp, ref, [bleu(smooth, max_n)], keep_sums=True)
 
 
 def word_errors(hyp: Column, ref: Column) -> Column:
@@ -102,16 +152,11 @@ def word_errors(hyp: Column, ref: Column) -> Column:
     )
 
 
+WER = _rate("wer", word_errors)
+
+
 def corpus_wer(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) -> DataFrame:
-    return (
-        _sides(pairs, by, hyp, ref)
-        .groupBy(*by)
-        .agg(
-            F.sum(word_errors(F.col("_h"), F.col("_r"))).cast("long").alias("edits"),
-            F.sum(F.size("_r")).cast("long").alias("ref_words"),
-        )
-        .withColumn("wer", F.round(F.try_divide(F.col("edits") * 100.0, F.col("ref_words")), 6))
-    )
+    return corpus_scores(pairs, by, hyp, ref, [WER], keep_sums=True)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -121,18 +166,17 @@ def _shift_edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     )
 
 
+def _moved(hyp: Column, ref: Column) -> Column:
+    # equal pairs need no edits: they cross to Python as empty lists
+    return _shift_edits(*[F.when(hyp != ref, c).otherwise(F.array().cast("array<string>")) for c in (hyp, ref)])
+
+
+TER = _rate("ter", _moved)
+
+
 def corpus_ter(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) -> DataFrame:
     """Translation edit rate: edits and phrase moves per reference word."""
-    units = _sides(pairs, by, hyp, ref)
-    # equal pairs need no edits: they cross to Python as empty lists
-    differ = F.col("_h") != F.col("_r")
-    shown = [F.when(differ, F.col(c)).otherwise(F.array().cast("array<string>")) for c in ("_h", "_r")]
-    return (
-        units.select(*by, _shift_edits(*shown).alias("_e"), F.size("_r").alias("_n"))
-        .groupBy(*by)
-        .agg(F.sum("_e").alias("edits"), F.sum("_n").alias("ref_words"))
-        .withColumn("ter", F.round(F.try_divide(F.col("edits") * 100.0, F.col("ref_words")), 6))
-    )
+    return corpus_scores(pairs, by, hyp, ref, [TER], keep_sums=True)
 
 
 _ALIGNED = T.StructType(
@@ -146,23 +190,33 @@ def _exact_alignment(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["matches", "chunks"], dtype="int32")
 
 
-def corpus_meteor(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) -> DataFrame:
-    """Mean METEOR of the exact-match stage (alpha 0.9, beta 3, gamma 0.5), lower-cased."""
+def _meteor_pair(hyp: Column, ref: Column) -> Column:
+    lower = [F.transform(units, F.lower) for units in (hyp, ref)]
+    return F.struct(_exact_alignment(*lower).alias("a"), F.size(hyp).alias("h"), F.size(ref).alias("r"))
 
-    def lower(units: Column) -> Column:
-        return F.transform(units, F.lower)
 
-    aligned = _sides(pairs, by, lower(hyp), lower(ref)).withColumn("a", _exact_alignment("_h", "_r"))
-    m = F.col("a.matches").cast("double")
-    precision, recall = F.try_divide(m, F.size("_h")), F.try_divide(m, F.size("_r"))
+def _meteor_score(s: Column) -> Column:
+    m = s["a"]["matches"].cast("double")
+    precision, recall = F.try_divide(m, s["h"]), F.try_divide(m, s["r"])
     fmean = F.try_divide(precision * recall, 0.9 * precision + 0.1 * recall)
-    penalty = 0.5 * F.pow(F.try_divide(F.col("a.chunks"), m), F.lit(3.0))
-    score = F.when(m > 0, fmean * (1 - penalty)).otherwise(0.0)
-    return aligned.groupBy(*by).agg(
-        F.sum("a.matches").alias("matches"),
-        F.sum("a.chunks").alias("chunks"),
-        F.round(F.avg(score) * 100.0, 6).alias("meteor"),
-    )
+    penalty = 0.5 * F.pow(F.try_divide(s["a"]["chunks"], m), F.lit(3.0))
+    return F.when(m > 0, fmean * (1 - penalty)).otherwise(0.0)
+
+
+#: Mean of pairs, of the exact-match stage (alpha 0.9, beta 3, gamma 0.5), lower-cased.
+METEOR = Metric(
+    _meteor_pair,
+    {
+        "matches": lambda s: F.sum(s["a"]["matches"]),
+        "chunks": lambda s: F.sum(s["a"]["chunks"]),
+        "_mean": lambda s: F.avg(_meteor_score(s)),
+    },
+    lambda of: {"meteor": F.round(of["_mean"] * 100.0, 6)},
+)
+
+
+def corpus_meteor(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) -> DataFrame:
+    return corpus_scores(pairs, by, hyp, ref, [METEOR], keep_sums=True)
 
 
 _BLOCK = 64

@@ -13,11 +13,11 @@ from noisemix.operators.paraphrase import candidates_from
 from noisemix.plans import sql as S
 from noisemix.plans.catalog import SEED, query
 from noisemix.plans.mixing_queries import SAMPLE, TARGET_LANGS, ZIPPED, mixed
-from noisemix.plans.noise_queries import _READ, _RECIPE_SELECT, KEYS, _recipe_output, _recipe_sql, marked_lines
+from noisemix.plans.noise_queries import _READ, _RECIPE_SELECT, BATCH, KEYS, _recipe_output, _recipe_sql, marked_lines
 from noisemix.plans.recipes import RECIPES, recipe
 from noisemix.plans.subword_queries import ENCODED, PIECES, TRAINED, encoded_sides, recursive
 from noisemix.plans.text_queries import CANDIDATES, lexicon
-from noisemix.sources import bitext, sinks, versions
+from noisemix.sources import bitext, blocks, sinks, versions
 from noisemix.sources.checkpoints import scratch
 from noisemix.sources.corpora import (
     HYPOTHESIS_SQL,
@@ -26,11 +26,15 @@ from noisemix.sources.corpora import (
     document_lines,
     line_variants,
     number_documents,
+    numbered_lines,
     split_of,
     table,
 )
 from noisemix.streaming import incremental
 
+# lines in a block: a multiple of the lines in a batch
+BLOCK = 64 * BATCH
+
 
 @query(
     "a1_read_bitext",
@@ -218,6 +222,48 @@ def a10(spark, sf_dir):
     )
 
 
+_TIDY = S.joined(S.detached("src"))
+
+
+@query(
+    "a8_resume_by_offset",
+    S.with_(S.LINES, select=f"SELECT doc_id, pos, {_TIDY} AS tidy FROM lines"),
+)
+def a8_by_offset(spark, sf_dir):
+    """Tokens of all lines, made in four runs that each go on where the one before ended."""
+    root, out = scratch(spark, "blocks"), scratch(spark, "made")
+    blocks.write_blocks(numbered_lines(spark, sf_dir), root, BLOCK)
+    # a fourth of the largest split a run
+    share = -(-spark.read.parquet(f"{root}/sizes").agg(F.max("n_blocks")).first()[0] // 4)
+
+    def tidy(lines):
+        return lines.select(*KEYS, text.untokens(text.detach_periods(F.col("src"))).alias("tidy"))
+
+    while blocks.advance(spark, root, out, tidy, share):
+        pass
+    return blocks.made(spark, out)
+
+
+@query(
+    "a10_sharded_output",
+    S.with_(
+        S.LINES,
+        select=f"""SELECT (doc_id % 16)::int AS shard, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id, pos) - 1
+  AS line_no, src AS before, {_TIDY} AS after FROM lines""",
+    ),
+)
+def a10_output(spark, sf_dir):
+    """Shards read, worked on and written again: line k of shard n stays line k of shard n."""
+    first, second = scratch(spark, "shards"), scratch(spark, "shards")
+    lines = document_lines(spark, sf_dir).withColumn("shard", (F.col("doc_id") % 16).cast("int"))
+    sinks.write_shards(lines, first, "shard", KEYS, "src")
+    read = bitext.read_shard_lines(spark, first)
+    tidy = read.withColumn("tidy", text.untokens(text.detach_periods(F.col("line"))))
+    sinks.write_shards(tidy, second, "shard", ["line_no"], "tidy")
+    after = bitext.read_shard_lines(spark, second).withColumnRenamed("line", "after")
+    return read.withColumnRenamed("line", "before").join(after, ["shard", "line_no"])
+
+
 @query(
     "a11_encode_many",
     recursive(*TRAINED, ENCODED, PIECES, select="SELECT split, side, conv_id, turn, pieces FROM pieces"),

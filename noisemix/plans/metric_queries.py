@@ -215,7 +215,5 @@ def e9(spark, sf_dir):
 def e10(spark, sf_dir):
     pairs = hypothesis_pairs(document_lines(spark, sf_dir))
     hyp, ref = text.tokens(F.col("hyp")), text.tokens(F.col("ref"))
-    scores = metrics.corpus_bleu(pairs, BY, hyp, ref).join(
-        metrics.corpus_meteor(pairs, BY, hyp, ref), BY
-    )
+    scores = metrics.corpus_scores(pairs, BY, hyp, ref, [metrics.bleu(), metrics.METEOR])
     return metrics.score_matrix(scores, ["bleu", "meteor"])

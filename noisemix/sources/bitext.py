@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noisemix.functions import text
@@ -11,6 +11,8 @@ from .checkpoints import cut
 
 # Start positions of this many file splits are broadcast, more are joined.
 BROADCAST_SPLITS = 100_000
+# The number that ends the name of a file, or of the folder it is in.
+SHARD = r"[.=](\d+)(?:/[^/]*)?$"
 
 
 def read_lines(spark: SparkSession, path: str, column: str = "line") -> DataFrame:
@@ -21,8 +23,24 @@ def read_lines(spark: SparkSession, path: str, column: str = "line") -> DataFram
     not agree.  A line's number is the start of its split plus its place; the text is not
     shuffled.
     """
+    numbered = _numbered(spark.read.text(path), column, F.lit(0))
+    return numbered.select(F.col("line_no").alias("sent_id"), column)
+
+
+def read_shard_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``shard, line_no, line``: the shards under a folder, the lines of each numbered from 0.
+
+    The files of a shard count in path order, as :func:`noisemix.sources.sinks.write_shards` leaves them.
+    """
+    shard = F.regexp_extract("_file", SHARD, 1).cast("int")
+    lines = _numbered(spark.read.option("lineSep", "\n").text(f"{path}/shard=*"), "line", shard)
+    return lines.select(F.col("_group").alias("shard"), "line_no", "line")
+
+
+def _numbered(lines: DataFrame, column: str, group: Column) -> DataFrame:
+    """``_group, line_no, column``: lines of text files numbered inside each group of files."""
     raw = cut(
-        spark.read.text(path).select(
+        lines.select(
             F.col("value").alias(column),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
@@ -34,14 +52,14 @@ def read_lines(spark: SparkSession, path: str, column: str = "line") -> DataFram
             F.count(F.lit(1)).alias("_rows"), F.min("_mid").alias("_first")
         )
     )
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
+    before = Window.partitionBy("_group").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_group", group).select(
+        "_group", "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
     if counts.count() <= BROADCAST_SPLITS:
         starts = F.broadcast(starts)
     return raw.join(starts, ["_file", "_block"]).select(
-        (F.col("_start") + F.col("_mid") - F.col("_first")).alias("sent_id"), column
+        "_group", (F.col("_start") + F.col("_mid") - F.col("_first")).alias("line_no"), column
     )
 
 
@@ -55,7 +73,7 @@ def read_shards(spark: SparkSession, pattern: str) -> DataFrame:
 
     The shard number ends the file or directory name: ``train.clean.7`` or ``shard=7``.
     """
-    number = F.regexp_extract(F.col("_metadata.file_path"), r"[.=](\d+)(?:/[^/]*)?$", 1)
+    number = F.regexp_extract(F.col("_metadata.file_path"), SHARD, 1)
     return spark.read.text(pattern).select(
         number.cast("int").alias("shard"), F.col("value").alias("line")
     )

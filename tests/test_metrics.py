@@ -201,3 +201,21 @@ def test_score_matrix(spark):
     df = spark.createDataFrame([("s", "ref", 40.0), ("s", "l2", 35.5)], "system string, eval_set string, bleu double")
     row = metrics.score_matrix(df, ["bleu"]).first()
     assert (row.ref_bleu, row.l2_bleu, row.gap_bleu) == (40.0, 35.5, 4.5)
+
+
+def test_metrics_of_one_pass_equal_those_of_their_own(spark):
+    rows = [("a", "the cat sat on the mat", "the cat sat on a mat"), ("a", None, "one two"), ("b", "", ""), ("b", "x y z w", "x y z w")]
+    pairs = spark.createDataFrame(rows, "system string, hyp string, ref string")
+    hyp, ref = text.tokens(F.col("hyp")), text.tokens(F.col("ref"))
+    fused = metrics.corpus_scores(pairs, ["system"], hyp, ref, [metrics.bleu(True), metrics.METEOR, metrics.WER, metrics.TER])
+    assert fused.columns == ["system", "brevity", "bleu", "meteor", "wer", "ter"]
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange") == 1
+    alone = [
+        metrics.corpus_bleu(pairs, ["system"], hyp, ref, True),
+        metrics.corpus_meteor(pairs, ["system"], hyp, ref),
+        metrics.corpus_wer(pairs, ["system"], hyp, ref),
+        metrics.corpus_ter(pairs, ["system"], hyp, ref),
+    ]
+    for df, name in zip(alone, ["bleu", "meteor", "wer", "ter"], strict=True):
+        assert sorted(map(tuple, df.select("system", name).collect())) == sorted(map(tuple, fused.select("system", name).collect()))

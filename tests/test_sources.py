@@ -5,7 +5,7 @@ from noisemix.operators import noise
 from noisemix.operators.lexicon import no_proper_nouns
 from noisemix.operators.paraphrase import candidates_from
 from noisemix.plans.recipes import RECIPES
-from noisemix.sources import bitext, checkpoints, corpora, sinks
+from noisemix.sources import bitext, blocks, checkpoints, corpora, sinks
 from noisemix.streaming import incremental
 
 
@@ -126,3 +126,82 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path, files):
     )
     got = spark.read.parquet(out).select(*batch.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+
+
+def _numbered(spark, sizes):
+    rows = [(split, i, f"{split} {i}") for split, n in sizes.items() for i in range(n)]
+    return spark.createDataFrame(rows, "split string, split_line long, src string")
+
+
+def test_work_resumes_at_the_first_block_that_is_not_done(spark, tmp_path):
+    root, out = str(tmp_path / "blocks"), str(tmp_path / "out")
+    lines = _numbered(spark, {"train": 95, "dev": 12, "test": 10})
+    blocks.write_blocks(lines, root, 10)
+    assert blocks.offsets(spark, out) == {}
+    seen = []
+
+    def work(rows):
+        seen.append({(r.split, r.block) for r in rows.select("split", "block").collect()})
+        return rows.select("split", "split_line", F.upper("src").alias("src"))
+
+    assert blocks.advance(spark, root, out, work, 4)
+    assert blocks.offsets(spark, out) == {"train": 4, "dev": 2, "test": 1}
+    # a run that claimed its blocks and was killed: it is repeated under its claim, whatever is asked for now
+    assert blocks.advance(spark, root, out, work, 3)
+    (tmp_path / "out" / "made" / "version-000000000001" / "_SUCCESS").unlink()
+    assert blocks.offsets(spark, out)["train"] == 4
+    assert blocks.advance(spark, root, out, work, 1)
+    assert seen[1] == seen[2] == {("train", b) for b in (4, 5, 6)}
+    assert blocks.advance(spark, root, out, work)
+    assert seen[3] == {("train", b) for b in (7, 8, 9)}
+    assert not blocks.advance(spark, root, out, work)
+    got = [tuple(r) for r in blocks.made(spark, out).collect()]
+    assert sorted(got) == sorted((r.split, r.split_line, r.src.upper()) for r in lines.collect())
+
+
+def test_blocks_that_are_done_are_not_read(spark, tmp_path):
+    root = str(tmp_path / "blocks")
+    blocks.write_blocks(_numbered(spark, {"train": 95, "dev": 12}), root, 10)
+    rest = blocks.claimed_lines(spark, root, [("train", 7, 10), ("dev", 1, 2)])
+    assert rest.count() == 25 + 2
+    assert len(rest.inputFiles()) == 10 + 2  # the folder; the scan takes what its partition filters leave
+    plan = rest._jdf.queryExecution().executedPlan()
+    assert "PartitionFilters: [(((split" in plan.toString() and "Exchange" not in plan.toString()
+    scanned = rest.select(F.input_file_name()).distinct().count()
+    assert scanned == 3 + 1
+
+
+def test_an_empty_table_has_no_blocks(spark, tmp_path):
+    root = str(tmp_path / "blocks")
+    blocks.write_blocks(_numbered(spark, {"train": 1}).limit(0), root, 10)
+    assert not blocks.advance(spark, root, str(tmp_path / "out"), lambda rows: rows)
+
+
+def test_shards_keep_the_order_of_their_lines(spark, tmp_path):
+    """Shard 0 holds most lines and is written by several tasks; blank lines and repeated lines stay."""
+    rows = [(0 if i % 10 else i % 3, i, "" if i % 7 == 0 else f"line {i % 50}\r of it") for i in range(4000)]
+    lines = spark.createDataFrame(rows, "n int, at long, src string").repartition(7)
+    path = str(tmp_path / "out")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sinks.write_shards(lines, path, "n", ["at"], "src")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out" / "shard=0").glob("part-*"))) > 1
+    got = {}
+    for r in bitext.read_shard_lines(spark, path).orderBy("shard", "line_no").collect():
+        got.setdefault(r.shard, []).append(r.line)
+    expected = {}
+    for n, _, src in rows:
+        expected.setdefault(n, []).append(src)
+    assert got == expected
+
+
+def test_the_writer_of_shards_does_not_sort_again(spark, tmp_path):
+    """A second sort, on the shard alone, could change the order of its lines."""
+    lines = spark.range(100).select((F.col("id") % 3).alias("n"), "id", F.col("id").cast("string").alias("src"))
+    sinks.write_shards(lines, str(tmp_path / "out"), "n", ["id"], "src")
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(store.executionsList().size())]
+    written = [p for p in plans if str(tmp_path / "out") in p][-1]
+    tree = written[: written.index("\n\n\n")] if "\n\n\n" in written else written
+    final = tree[: tree.index("Initial Plan")] if "Initial Plan" in tree else tree
+    assert final.count("Sort (") == 1
