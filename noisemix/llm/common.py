@@ -7,11 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noisemix.sources.checkpoints import scratch
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: lineage ends there, and the tasks that read it follow its bytes."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files behind a frame of ``written`` that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: How to free what a module keeps in a Python worker beyond a task.
 _KEPT: dict[str, Callable[[], object]] = {}
 

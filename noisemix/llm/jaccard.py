@@ -10,12 +10,14 @@ that one isn't signed; a set that has one signs all ranges of another cut of the
 Two sets that agree on an empty range both do so, and no link is lost.
 
 Equal sets are one class and sign once for each task.  The classes that share a signature aren't
-expanded into pairs: in the order of the classes, each is checked against the one before and the
-first.  Only classes that remain in different components can need more.  For those, each set is
-compared with the centre of its family (the classes that signatures connect).  An element in which
-a set differs from the centre, and no other set of the family does, is a difference to every other
-set as well.  A set with many of them links with nothing; for two others, such counts bound their
-differences from below, and only the pairs that the bound leaves open are checked.
+expanded into pairs: in the order of the classes, each meets the one before and the first.  The
+classes that signatures connect are a family.  Each set is compared with the family's centre once,
+and from there on only the elements in which it differs from the centre travel: two sets differ in
+just those in which these differences differ.  Classes that neither the centre nor the pairs above
+bring into one component can need more.  An element in which a set differs from the centre, and no
+other set of the family does, is a difference to every other set as well.  A set with many of them
+links with nothing; for two others, such counts bound their differences from below, and only the
+pairs that the bound leaves open are checked.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noisemix.llm.common import claim, folded_words, free_name
+from noisemix.llm.common import claim, folded_words, free_name, written
 from noisemix.llm.components import components
 from noisemix.sources.checkpoints import cut, scratch
 
@@ -171,9 +173,8 @@ def _node(s: np.ndarray) -> int:
     return int(_mixed(total, 29).view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, elements`` of the given classes, made again from one text of each."""
-    wanted = slim.join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, elements`` of the given classes (``node, text_key``), made again from one text of each."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,81 +188,69 @@ def _sets(docs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInPandas(rows, "node long, elements binary").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose sets reach the threshold."""
+def _differences(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``family, node, n, centre, near, differ``: in what a class's set differs from its family's centre.
+
+    The centre is the class that most signatures of the family name; ``near`` ones link with it.
+    """
+    centre = classes.groupBy("family").agg(F.max_by("node", F.struct("degree", "node")).alias("centre"))
+    middle = sets.select(F.col("node").alias("centre"), F.col("elements").alias("middle"))
+    both = classes.select("family", "node", "n").join(centre, "family").join(sets, "node").join(middle, "centre")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch["left"], batch["right"], strict=True):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.loc[keep, ["a", "b"]]
-
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInPandas(rows, "a long, b long")
-
-
-def _near(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose sizes allow a link."""
-    a = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    b = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
+            found = [
+                np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)
+                for x, y in zip(batch["elements"], batch["middle"], strict=True)
+            ]
+            yield batch[["family", "node", "n", "centre"]].assign(n_centre=[len(y) // 8 for y in batch["middle"]], differ=found)
+
+    made = both.mapInPandas(rows, "family long, node long, n long, centre long, n_centre long, differ array<long>")
+    near = F.size("differ") * (100 + percent) <= (F.col("n") + F.col("n_centre")) * (100 - percent)
+    return made.select("family", "node", "n", "centre", near.alias("near"), "differ")
+
+
+def _linked(pairs: DataFrame, differ: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b``, each of one family, whose sets reach the threshold.
+
+    Two sets differ in just the elements in which their differences from the centre differ.
+    """
+    a = differ.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("differ").alias("left"))
+    b = differ.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("differ").alias("right"))
+    apart = F.size("left") + F.size("right") - 2 * F.size(F.array_intersect("left", "right"))
+    links = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return pairs.join(b, "b").join(a, "a").where(links).select("a", "b")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame, differ: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs in different components whose sizes allow a link."""
+    ends = differ.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    a, b = (ends.select(*(F.col(x).alias(y) for x, y in zip(("node", "n", "root"), (c, f"n_{c}", f"root_{c}"), strict=True))) for c in "ab")
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return pairs.distinct().join(a, "a").join(b, "b").where(close).select("a", "b")
+    return pairs.distinct().join(a, "a").join(b, "b").where(close & (F.col("root_a") != F.col("root_b"))).select("a", "b")
 
 
-def _open_pairs(
-    pairs: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, path: str
-) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a, b`` of one family in different components that may yet link; and links with centres.
+def _open_pairs(roots: DataFrame, differ: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of one family in different components that may yet link.
 
     With ``c`` the number of elements in which a set differs from its family's centre, and ``r`` those
     of them in which some other set of the family does too, two sets differ in at least
-    ``c + c' - 2 min(r, r')`` elements, and one differs from any in ``c - r`` at least.
+    ``c + c' - 2 min(r, r')`` elements, and one differs from any in ``c - r`` at least.  What may link
+    with a set in the centre's component is looked for from outside that component.
     """
-    spark = pairs.sparkSession
-    families = components(pairs).withColumnRenamed("root", "family")
-    placed = sizes.join(families, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
-    centre = split.groupBy("family").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("centre"))
-    placed = cut(placed.join(centre.where("parts > 1").select("family", "centre"), "family"))
-
-    def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [
-                np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)
-                for x, y in zip(batch["elements"], batch["middle"], strict=True)
-            ]
-            yield pd.DataFrame({"family": batch["family"], "node": batch["node"], "differ": found})
-
-    middle = sets.select(F.col("node").alias("centre"), F.col("elements").alias("middle"))
-    both = placed.select("family", "node", "centre").join(sets, "node").join(middle, "centre")
-    both.select("family", "node", "elements", "middle").mapInPandas(
-        differences, "family long, node long, differ array<long>"
-    ).write.parquet(f"{path}/differences")
-    differ = spark.read.parquet(f"{path}/differences")
-    each = differ.select("family", "node", F.explode("differ").alias("element"))
-    own = each.groupBy("family", "element").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    rooted = differ.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    middle = F.max(F.when(F.col("node") == F.col("centre"), F.col("root")))
+    split = rooted.groupBy("family").agg(F.min("root").alias("least"), F.max("root").alias("most"), middle.alias("middle"))
+    placed = written(rooted.join(split.where("least != most").select("family", "middle"), "family"), "placed")
+    each = placed.select("family", "node", F.explode("differ").alias("element"))
+    own = each.groupBy("family", "element").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
     own = own.groupBy("node").agg(F.count("*").alias("own"))
-    bounds = (
-        differ.select("node", F.size("differ").alias("c"))
-        .join(own, "node", "left")
-        .select("node", "c", (F.col("c") - F.coalesce("own", F.lit(0))).alias("r"))
-    )
-    n_centre = sizes.select(F.col("node").alias("centre"), F.col("n").alias("n_centre"))
-    facts = placed.join(bounds, "node").join(n_centre, "centre")
-    near = F.col("c") * (100 + percent) <= (F.col("n") + F.col("n_centre")) * (100 - percent)
-    # what links with the centre is in its component, whose root it is
-    facts = cut(facts.withColumn("near", near).withColumn("root", F.when(near, F.col("centre")).otherwise(F.col("root"))))
-    central = facts.where("near and node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    kept = facts.where((F.col("c") - F.col("r")) * percent <= F.col("n") * (100 - percent))
-    inner = F.col("root") == F.col("centre")
-    left = kept.where(~inner).select("family", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "c", "r")))
-    right = kept.select(
-        F.col("family").alias("family_b"), inner.alias("inner"), *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "c", "r"))
-    )
+    facts = placed.select("family", "node", "n", "root", (F.col("root") == F.col("middle")).alias("inner"), F.size("differ").alias("c"))
+    facts = facts.join(own, "node", "left").withColumn("r", F.col("c") - F.coalesce("own", F.lit(0)))
+    kept = written(facts.where((F.col("c") - F.col("r")) * percent <= F.col("n") * (100 - percent)), "kept")
+    names = ("node", "root", "n", "c", "r")
+    left = kept.where("not inner").select("family", *(F.col(c).alias(f"{c}_a") for c in names))
+    right = kept.select(F.col("family").alias("family_b"), "inner", *(F.col(c).alias(f"{c}_b") for c in names))
     least = F.col("c_a") + F.col("c_b") - 2 * F.least("r_a", "r_b")
     may = (
         (F.col("inner") | (F.col("node_a") < F.col("node_b")))
@@ -270,7 +259,7 @@ def _open_pairs(
         & (least * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
     )
     found = left.join(right, (F.col("family") == F.col("family_b")) & may)
-    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), central
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def _edges(roots: DataFrame) -> DataFrame:
@@ -294,31 +283,25 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     chained.write.parquet(f"{path}/chained")
     chained = spark.read.parquet(f"{path}/chained")
 
-    to_first = chained.select(F.col("first").alias("a"), F.col("node").alias("b"))
-    to_before = chained.where("before != first").select(F.col("before").alias("a"), F.col("node").alias("b"))
-    pairs = to_before.union(to_first)
-    nodes = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
-    sizes = slim.select("node", F.col("n_shingles").alias("n")).join(nodes, "node").distinct()
-    _sets(docs, slim, nodes).write.parquet(f"{path}/sets")
-    sets = spark.read.parquet(f"{path}/sets")
-    checked = cut(_near(to_first, sizes, percent))
-    links = cut(_linked(checked, sets, percent))
-    roots = components(links)
+    partner = F.explode(F.array_distinct(F.array("first", "before"))).alias("a")
+    pairs = chained.select(partner, F.col("node").alias("b"))
+    ends = chained.select(F.explode(F.array("first", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    classes = slim.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"))
+    families = components(pairs).withColumnRenamed("root", "family")
+    classes = written(classes.join(ends, "node").join(families, "node"), "classes")
+    sets = written(_sets(docs, classes.select("node", "text_key")), "sets")
+    differ = written(_differences(classes, sets, percent), "differ")
+    roots = differ.where("near").select("node", F.col("centre").alias("root"))
     # what is in one component already needs no further test
-    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-    apart = to_before.distinct().join(ends[0], "a", "left").join(ends[1], "b", "left")
-    apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    others = cut(_near(apart, sizes, percent))
-    more = cut(_linked(others, sets, percent))
-    checked = checked.union(others)
+    checked = written(_apart(pairs, roots, differ, percent), "checked")
+    more = written(_linked(checked, differ, percent), "links")
     if not more.isEmpty():
         roots = components(_edges(roots).union(more))
-
-    rest, central = _open_pairs(pairs, roots, sizes, sets, percent, path)
-    more = cut(_linked(rest.join(checked, ["a", "b"], "left_anti"), sets, percent).union(central))
+    rest = written(_open_pairs(roots, differ, percent).join(checked, ["a", "b"], "left_anti"), "open")
+    more = written(_linked(rest, differ, percent), "links")
     if not more.isEmpty():
         roots = components(_edges(roots).union(more))
-    return slim.drop("signatures").join(cut(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return slim.drop("signatures").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def join_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
