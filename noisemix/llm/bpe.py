@@ -52,6 +52,47 @@ def byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+#: How the vocabulary file says that texts are normalised, cut, merged and decoded.
+BUILT_IN = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+MODEL = {
+    "type": "BPE",
+    "dropout": None,
+    "unk_token": None,
+    "continuing_subword_prefix": None,
+    "end_of_word_suffix": "</w>",
+    "fuse_unk": False,
+    "byte_fallback": False,
+    "ignore_merges": False,
+}
+
+
+def refuse_foreign(made: dict, file: str) -> None:
+    """Raises ``ValueError`` for a vocabulary file whose rules aren't those that are built in here."""
+    model = made.get("model") or {}
+    odd = [k for k, v in BUILT_IN.items() if made.get(k) != v] + [f"model.{k}" for k, v in MODEL.items() if model.get(k, v) != v]
+    if odd:
+        raise ValueError(f"{file}: other rules than the built-in ones: {', '.join(odd)}")
+
+
 def _sorted_unique(x: np.ndarray) -> np.ndarray:
     x.sort()
     return x if len(x) < 2 else x[np.concatenate(([True], x[1:] != x[:-1]))]
@@ -161,6 +202,7 @@ class Encoder:
     def __init__(self, file: str):
         with open(file, encoding="utf-8") as f:
             made = json.load(f)
+        refuse_foreign(made, file)
         model = made["model"]
         end = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]

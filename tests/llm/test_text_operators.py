@@ -1,6 +1,7 @@
 """Operators on each text, against plain Python, on nulls, empty and long texts and repeated rows."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -307,3 +308,14 @@ def test_documents_across_blocks(spark, tmp_path, block):
 def test_header_holds_the_id(doc_id):
     tokens = tokenfiles.header(doc_id)
     assert tokenfiles.header_id(tokens) == doc_id and max(tokens) < tokenfiles.END
+
+
+def test_a_vocabulary_of_other_rules_is_refused(tmp_path):
+    with open(bpe.default_file(), encoding="utf-8") as f:
+        made = json.load(f)
+    bpe.refuse_foreign(made, "own")
+    for change in ({"decoder": {"type": "ByteLevel"}}, {"normalizer": None}, {"model": made["model"] | {"end_of_word_suffix": "@"}}):
+        file = tmp_path / "other.json"
+        file.write_text(json.dumps(made | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="other rules"):
+            bpe.Encoder(str(file))
