@@ -46,8 +46,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontamination": decontaminated,
     "op4_bpe": _documents(lambda docs: bpe.encode_digests(docs, bpe.default_file())),
     "op5_lm_score": _documents(contextmixing.score_documents),
-    "op6_chat_formatting": lambda spark, sf_dir: toolcalls.format_conversations(table(spark, sf_dir, "conversations")),
-    "op6_chat_every_row": lambda spark, sf_dir: toolcalls.format_every_row(table(spark, sf_dir, "conversations")),
+    "op6_chat_formatting": lambda spark, sf_dir: toolcalls.format_every_row(table(spark, sf_dir, "conversations")),
     "op7_language_id": _documents(langid.identify),
     "op8_secret_scan": _documents(secrets.scan_documents),
     "op9_ngram_jaccard": _documents(jaccard.join_documents),

@@ -75,22 +75,32 @@ SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')):
 """
 
 TOOL_CALLS = r"""
-WITH asked AS (
-  SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations
-  WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+WITH numbered AS (
+  SELECT *, coalesce(role IN ('user', 'assistant'), false) AND conv_id IS NOT NULL AND turn IS NOT NULL AS linkable,
+    row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY coalesce(text, ''), text NULLS FIRST) AS k
+  FROM conversations
+), named AS (
+  SELECT *, conv_id || ':' || CASE role WHEN 'user' THEN turn ELSE turn - 1 END || CASE WHEN k > 1 THEN '#' || k ELSE '' END AS call_id
+  FROM numbered WHERE linkable
 ), calls AS (
-  SELECT *, conv_id || ':' || turn AS call_id, row_number() OVER w - 1 AS level, lag(conv_id || ':' || turn) OVER w AS after
-  FROM asked WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+  SELECT conv_id, turn, call_id, coalesce(text, '') AS asked, row_number() OVER w - 1 AS level, lag(call_id) OVER w AS after
+  FROM named WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn, k)
 ), results AS (
-  SELECT conv_id, turn - 1 AS turn, min(coalesce(text, '')) AS content FROM conversations
-  WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+  SELECT *, coalesce(text, '') AS content FROM named WHERE role = 'assistant'
+), alone AS (
+  SELECT conv_id, turn, role, text, 'no call' AS status FROM results WHERE call_id NOT IN (SELECT call_id FROM calls)
+  UNION ALL SELECT conv_id, turn, role, text, 'plain' FROM numbered WHERE NOT linkable
 )
-SELECT conv_id, turn, call_id, level::INTEGER AS level,
-  CASE WHEN length(text) < 1 THEN '$.n_chars: below minimum' WHEN length(text) > 400 THEN '$.text: too long'
+SELECT calls.conv_id, calls.turn, call_id, level::INTEGER AS level,
+  CASE WHEN length(asked) < 1 THEN '$.n_chars: below minimum' WHEN length(asked) > 400 THEN '$.text: too long'
     WHEN content IS NULL THEN 'no result' ELSE 'ok' END AS status,
-  '{"after":' || coalesce(to_json(after)::VARCHAR, 'null') || ',"arguments":{"n_chars":' || length(text) || ',"text":' || to_json(text)
+  '{"after":' || coalesce(to_json(after)::VARCHAR, 'null') || ',"arguments":{"n_chars":' || length(asked) || ',"text":' || to_json(asked)
     || '},"id":"' || call_id || '","name":"answer","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS line
-FROM calls LEFT JOIN results USING (conv_id, turn)
+FROM calls LEFT JOIN results USING (call_id)
+UNION ALL
+SELECT conv_id, turn, NULL, NULL, status,
+  '{"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '}'
+FROM alone
 """
 
 

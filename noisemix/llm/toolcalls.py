@@ -7,8 +7,9 @@ one line of canonical JSON (sorted keys, no spaces, characters as they are).
 A call follows at most one other call, as in a tree of messages, so levels come from pointer
 doubling: as many rounds as the logarithm of the longest chain, and no conversation is collected.
 
+``format_every_row`` has a line for every row of the conversations, a result sharing its call's line.
 ``format_conversations`` gives the calls alone: rows of other roles, results without a call and all
-but one of the rows that repeat a turn have no line there.  ``format_every_row`` leaves no row out.
+but one of the rows that repeat a turn have no line there.
 """
 
 from __future__ import annotations
@@ -214,5 +215,11 @@ def format_every_row(conversations: DataFrame) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
+    """The lines of the calls of ``calls_of_conversations`` alone, one for each conversation and user's turn.
+
+    Null conversations, turns and roles give no line, a null text counts as empty, texts of any length
+    stay whole, of repeated rows the smallest text counts, and an empty table has no lines.  Other
+    columns of the table, whatever their names, aren't read.
+    """
     calls, results = calls_of_conversations(conversations)
     return link(calls, results, {"answer": ANSWER})

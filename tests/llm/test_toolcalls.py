@@ -3,9 +3,10 @@
 import json
 from collections import defaultdict
 
+import duckdb
 import pytest
 
-from noisemix.llm import toolcalls
+from noisemix.llm import sql, toolcalls
 
 SCHEMA = {
     "type": "object",
@@ -168,4 +169,7 @@ def test_no_row_of_a_conversation_is_lost(spark):
         key=str,
     )
     assert len(out) + sum(x["result"] is not None for *_, x in calls.values()) == len(rows)
+    conversations = table.toArrow()  # noqa: F841
+    twin = duckdb.sql(f"with conversations as (from conversations) {sql.TOOL_CALLS.strip().replace('WITH ', ', ', 1)}").fetchall()
+    assert sorted(twin, key=str) == sorted(map(tuple, out), key=str)
     assert toolcalls.format_every_row(table.where("false")).count() == 0
