@@ -8,7 +8,7 @@ the blocks of a file (how many blocks before hold a separator) tells which of th
 together, and their lengths are added up.
 
 ``binaryFile`` is Spark's only reader of raw bytes in any store; it reads files of up to 2 GB.  The
-writer keeps files far smaller.
+writer closes a file by its bytes, so only a single document of half a billion tokens would pass that.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ HEADER = 3
 _PART = (1 << 22) - 1
 _NULL = 1 << 23
 BLOCK_BYTES = 4 << 20
-DOCS_PER_FILE = 10_000
+#: A file ends before the document that would make it larger; one longer than that has a file of its own.
+FILE_BYTES = 32 << 20
 
 
 def token_ids(text: str | None) -> np.ndarray:
@@ -55,25 +56,31 @@ def header_id(tokens: list[int]) -> int | None:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def write_token_files(docs: DataFrame, path: str) -> None:
-    """Writes each document as header, token ids and ``END``.
+def write_token_files(docs: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Writes each document as header, token ids and ``END``, in files of ``file_bytes`` or one document.
 
-    Spark's text writer puts the line separator, the last byte of ``END``, behind each row.
+    Null and empty texts are documents without tokens, repeated rows repeat, and an empty table gives
+    files without documents.  Spark's text writer puts one row into a file, a run of documents, and
+    the line separator, the last byte of ``END``, behind it.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, size = [], 0
         for batch in batches:
             ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-            whole = [
-                np.concatenate([np.array(header(i), "<u4"), token_ids(t).astype("<u4"), np.array([END], "<u4")]).tobytes()[:-1]
-                for i, t in zip(ids, batch["text"], strict=True)
-            ]
-            yield pd.DataFrame({"raw": whole})
+            for i, text in zip(ids, batch["text"], strict=True):
+                parts = (np.array(header(i), "<u4"), token_ids(text).astype("<u4"), np.array([END], "<u4"))
+                document = np.concatenate(parts).tobytes()
+                if run and size + len(document) > file_bytes:
+                    yield pd.DataFrame({"raw": [b"".join(run)[:-1]]})
+                    run, size = [], 0
+                run.append(document)
+                size += len(document)
+        if run:
+            yield pd.DataFrame({"raw": [b"".join(run)[:-1]]})
 
     raw = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(rows, "raw binary")
-    raw.select(F.col("raw").cast("string").alias("value")).write.option("lineSep", "\x01").option(
-        "maxRecordsPerFile", DOCS_PER_FILE
-    ).text(path)
+    raw.select(F.col("raw").cast("string").alias("value")).write.option("lineSep", "\x01").option("maxRecordsPerFile", 1).text(path)
 
 
 def _scan(block: np.ndarray, end: int, lead: int) -> tuple[list[tuple], np.ndarray]:
@@ -149,7 +156,8 @@ def count_tokens(spark: SparkSession, path: str, end: int = END, lead: int = 0,
 def count_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens``: tokens of every row of ``docs``, through token files written to ``path``.
 
-    Null and empty texts have no tokens; repeated rows repeat.
+    Null and empty texts have no tokens; repeated rows repeat; texts of any length are counted whole,
+    across blocks; an empty table gives no rows.  Other columns, whatever their names, aren't read.
     """
     spark = docs.sparkSession
     path = path or scratch(spark, "token-files")

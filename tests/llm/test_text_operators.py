@@ -319,3 +319,18 @@ def test_a_vocabulary_of_other_rules_is_refused(tmp_path):
         file.write_text(json.dumps(made | change), encoding="utf-8")
         with pytest.raises(ValueError, match="other rules"):
             bpe.Encoder(str(file))
+
+
+@pytest.mark.parametrize("limit", [1, 200, 4000])
+def test_token_files_end_by_bytes(spark, tmp_path, limit):
+    texts = ["a " * n for n in (0, 1, 30, 2000, 2, 3, 900, 0)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokenfiles.write_token_files(docs, str(tmp_path / "files"), limit)
+    sizes = [f.stat().st_size for f in (tmp_path / "files").glob("part-*")]
+    expected = [0]
+    for n in (4 * (len((t or "").split()) + tokenfiles.HEADER + 1) for t in texts):
+        expected = [*expected, n] if expected[-1] and expected[-1] + n > limit else [*expected[:-1], expected[-1] + n]
+    assert sorted(sizes) == sorted(expected)
+    got = tokenfiles.count_tokens(spark, f"{tmp_path}/files/part-*", lead=tokenfiles.HEADER).collect()
+    found = {tokenfiles.header_id(r["lead"]): r["n_tokens"] - tokenfiles.HEADER for r in got if r["closed"]}
+    assert found == {i: len((t or "").split()) for i, t in enumerate(texts)} and len(got) == len(texts)
