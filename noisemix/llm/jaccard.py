@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noisemix.llm.common import claim, folded_words, free_name, written
+from noisemix.llm.common import claim, drop_written, folded_words, free_name, written
 from noisemix.llm.components import components
 from noisemix.sources.checkpoints import cut, scratch
 
@@ -291,6 +291,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = written(classes.join(ends, "node").join(families, "node"), "classes")
     sets = written(_sets(docs, classes.select("node", "text_key")), "sets")
     differ = written(_differences(classes, sets, percent), "differ")
+    drop_written(sets)
     roots = differ.where("near").select("node", F.col("centre").alias("root"))
     # what is in one component already needs no further test
     checked = written(_apart(pairs, roots, differ, percent), "checked")
