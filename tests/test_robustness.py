@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from noisemix.functions import typos
 from noisemix.functions.draws import block_weights, lane, draw_hash, running_weights, weighted_index, weighted_index_in_blocks
+from noisemix.functions.draws import index_by_weight, let
 from noisemix.operators import dictionary, metrics, mixing, noise, reports
 from noisemix.plans.recipes import RECIPES
 from noisemix.sources import bitext, sinks
@@ -128,3 +129,13 @@ def test_long_lines_cost_what_their_words_cost(spark):
     row = df.select(typos.typo_sentence(F.col("t"), F.col("k"), 0.15, 1).alias("e")).first().e
     assert row.sub + row.swap == 3000 and len(row.tokens) == 20_000
     assert 2000 < sum(a != b for a, b in zip(words, row.tokens, strict=True)) <= 3000
+
+
+def test_index_by_weight(spark):
+    """A lookup instead of a search finds the same index."""
+    weights = [(n, [(7 * i + n) % 5 for i in range(n)], u) for n in (2, 64, 1000) for u in (0.0, 0.25, 0.731, 1 - 2**-32)]
+    row = spark.createDataFrame(weights, "n int, w array<int>, u double").select(
+        weighted_index(running_weights(F.col("w")), F.col("u")).alias("searched"),
+        let(index_by_weight(F.col("w")), lambda x: F.get(x, F.floor(F.col("u") * F.size(x)).cast("int"))).alias("looked_up"),
+    )
+    assert all(r.searched == r.looked_up for r in row.collect())
