@@ -1,73 +1,103 @@
-"""Clipped n-gram matches of a sentence pair, computed inside the row.
+"""Clipped n-gram matches of sentence pairs, computed inside the row.
 
-Everything is array work on one pair, so corpus BLEU needs no n-gram shuffle: only the
-summed counts of each partition travel.
+Corpus BLEU needs no n-gram shuffle: only the summed counts of each partition travel.  The matches
+of an Arrow batch are counted together, by sorting integers.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .draws import let
+#: Units that are worked off at once; a longer pair goes alone.
+CHUNK = 1 << 20
 
-_JOIN = "\x1f"
 
+def _matched(units: np.ndarray, row: np.ndarray, left: np.ndarray, ref: np.ndarray, rows: int, max_n: int) -> np.ndarray:
+    """Matches by row and order.
 
-def longer_grams(grams: Column, units: Column, n: int) -> Column:
-    """n-grams from the (n-1)-grams of the same units."""
-    return F.transform(
-        F.slice(grams, 1, F.greatest(F.size(units) - (n - 1), F.lit(0))),
-        lambda g, i: F.concat(g, F.lit(_JOIN), F.get(units, i + (n - 1))),
-    )
-
-
-def _has_repeats(g: Column) -> Column:
-    return F.size(F.array_distinct(g)) < F.size(g)
-
-
-def _further_copies(g: Column) -> Column:
-    """Second, third, ... copies of the values of an array, each with its number.
-
-    Works on the runs of the sorted array, so the cost is that of the sort.
+    Every unit has a number, its row, how many units of its side are left from it on, and its side.
     """
-
-    def copies(s: Column, starts: Column) -> Column:
-        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(s)))
-        runs = F.filter(
-            F.arrays_zip(starts.alias("start"), ends.alias("end")),
-            lambda run: run["end"] - run["start"] > 1,
-        )
-        return F.flatten(
-            F.transform(
-                runs,
-                lambda run: F.transform(
-                    F.sequence(F.lit(2), run["end"] - run["start"]),
-                    lambda k: F.concat(
-                        F.get(s, run["start"]), F.lit(_JOIN), k.cast("string")
-                    ),
-                ),
-            )
-        )
-
-    def runs_of(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
-        )
-        return let(starts, lambda at: copies(s, at))
-
-    return let(F.sort_array(g), runs_of)
-
-
-def clipped_matches(hyp: Column, ref: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    # every shared value once, plus the further copies both sides have
-    extra = F.when(
-        _has_repeats(hyp) & _has_repeats(ref),
-        F.size(F.array_intersect(_further_copies(hyp), _further_copies(ref))),
-    ).otherwise(F.lit(0))
-    return F.size(F.array_intersect(hyp, ref)) + extra
+    out = np.zeros((rows, max_n), dtype=np.int64)
+    if not len(units):
+        return out
+    kinds = int(units.max()) + 1
+    # the row belongs to the gram: equal grams of different rows don't meet
+    gram, grams = row.astype(np.int64), rows
+    for n in range(1, max_n + 1):
+        if grams * kinds >= 1 << 61:
+            gram = np.unique(gram, return_inverse=True)[1].astype(np.int64)
+            grams = int(gram.max()) + 1
+        gram, grams = gram * kinds + units[n - 1 :][: len(gram)], grams * kinds
+        enough = left[: len(gram)] >= n
+        if not enough.any():
+            break
+        # by gram, the copies of the hypothesis first; the row is read off the first copy
+        key = np.sort(gram[enough] * 2 + ref[: len(gram)][enough])
+        start = np.flatnonzero(np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1]))
+        copies = np.diff(np.append(start, len(key)))
+        in_ref = np.add.reduceat(key & 1, start)
+        shared = np.minimum(in_ref, copies - in_ref)
+        found = np.flatnonzero(shared)
+        if not len(found):
+            break  # no longer gram matches either
+        distinct = key[start[found]] >> 1
+        # grams are numbered in the order of their rows: a row's grams follow each other
+        firsts = _first_grams(gram, row[: len(gram)], enough)
+        out[:, n - 1] += np.bincount(
+            firsts[1][np.searchsorted(firsts[0], distinct, side="right") - 1], shared[found], rows
+        ).astype(np.int64)
+        gram = gram[: len(gram) - 1] if len(gram) > 1 else gram[:0]
+        if not len(gram):
+            break
+    return out
+
+
+def _first_grams(gram: np.ndarray, row: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least gram of each row that has one, ascending, and these rows."""
+    gram, row = gram[enough], row[enough]
+    start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    return np.minimum.reduceat(gram, start), row[start]
+
+
+def clipped_matches(hyp: pa.ListArray, ref: pa.ListArray, max_n: int) -> np.ndarray:
+    """Sizes of the multiset intersections of the n-grams of two arrays: a row for each pair, a column for each n."""
+    sides = [hyp, ref]
+    sizes = [np.diff(s.offsets.to_numpy()) for s in sides]
+    values = [s.flatten() for s in sides]
+    both = sizes[0] + sizes[1]
+    ends, out, done = np.cumsum(both), np.zeros((len(hyp), max_n), dtype=np.int64), 0
+    starts = [np.concatenate([[0], np.cumsum(s)]) for s in sizes]
+    while done < len(hyp):
+        before = ends[done - 1] if done else 0
+        until = max(done + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+        parts = [v.slice(s[done], s[until] - s[done]) for v, s in zip(values, starts, strict=True)]
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        units = coded.indices.fill_null(len(coded.dictionary)).to_numpy().astype(np.int64)
+        # hypothesis and reference of a pair side by side
+        size = np.stack([s[done:until] for s in sizes], axis=1).ravel()
+        first = np.stack([starts[0][done:until] - starts[0][done], starts[1][done:until] - starts[1][done] + len(parts[0])], axis=1)
+        begin = np.cumsum(size) - size
+        within = np.arange(size.sum()) - np.repeat(begin, size)
+        units = units[np.repeat(first.ravel(), size) + within]
+        rows = until - done
+        row = np.repeat(np.repeat(np.arange(rows), 2), size)
+        left = np.repeat(size, size) - within
+        side = np.repeat(np.tile([0, 1], rows), size)
+        out[done:until] = _matched(units, row, left, side, rows, max_n)
+        done = until
+    return out
+
+
+def _matches(max_n: int):
+    @F.arrow_udf("array<int>")
+    def matches(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+        found = clipped_matches(hyp, ref, max_n).astype(np.int32)
+        return pa.ListArray.from_arrays(np.arange(0, found.size + 1, max_n, dtype=np.int32), found.ravel())
+
+    return matches
 
 
 def bleu_counts(hyp: Column, ref: Column, max_n: int = 4) -> Column:
@@ -76,21 +106,11 @@ def bleu_counts(hyp: Column, ref: Column, max_n: int = 4) -> Column:
     def total(n: int) -> Column:
         return F.greatest(F.size(hyp) - (n - 1), F.lit(0))
 
-    def matches(h: Column, r: Column, n: int, found: list[Column]) -> Column:
-        """Matches of all orders, each order's grams built from the one before."""
-        found = [*found, clipped_matches(h, r)]
-        if n == max_n:
-            return F.array(*found)
-        return let(
-            longer_grams(h, hyp, n + 1),
-            lambda h2: let(
-                longer_grams(r, ref, n + 1), lambda r2: matches(h2, r2, n + 1, found)
-            ),
-        )
-
     totals = F.array(*[total(n) for n in range(1, max_n + 1)])
+    # equal pairs match whole: they cross to Python as empty lists
+    crossing = [F.when(hyp != ref, c).otherwise(F.array().cast("array<string>")) for c in (hyp, ref)]
     return F.struct(
-        F.when(hyp == ref, totals).otherwise(matches(hyp, ref, 1, [])).alias("match"),
+        F.when(hyp == ref, totals).otherwise(_matches(max_n)(*crossing)).alias("match"),
         totals.alias("total"),
         F.size(hyp).alias("hyp_len"),
         F.size(ref).alias("ref_len"),

@@ -3,10 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from noisemix.functions import edits, text
+from noisemix.functions import edits, ngrams, text
 from noisemix.operators import metrics
 
 WORDS = "a b c d e f".split()
@@ -219,3 +220,23 @@ def test_metrics_of_one_pass_equal_those_of_their_own(spark):
     ]
     for df, name in zip(alone, ["bleu", "meteor", "wer", "ter"], strict=True):
         assert sorted(map(tuple, df.select("system", name).collect())) == sorted(map(tuple, fused.select("system", name).collect()))
+
+
+@pytest.mark.parametrize("chunk", [1, 100, 1 << 20])
+def test_matches_of_a_batch_equal_counting(monkeypatch, chunk):
+    """Pairs of a batch are counted together, in chunks of any size, and none sees another's grams."""
+    monkeypatch.setattr(ngrams, "CHUNK", chunk)
+    rnd = random.Random(chunk)
+    pairs = []
+    for n in range(200):
+        ref = [rnd.choice(["a", "b", "é", "", str(rnd.random())]) for _ in range(rnd.randrange(25))]
+        pairs.append(([w for w in ref[n % 3 :] if rnd.random() < 0.8] + ["b"] * (n % 4), ref))
+    hyp, ref = [pa.array([p[side] for p in pairs], pa.list_(pa.string())) for side in (0, 1)]
+
+    def counted(h, r, n):
+        grams = [Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in (h, r)]
+        return sum((grams[0] & grams[1]).values())
+
+    expected = [[counted(h, r, n) for n in (1, 2, 3, 4)] for h, r in pairs]
+    assert ngrams.clipped_matches(hyp, ref, 4).tolist() == expected
+    assert ngrams.clipped_matches(hyp.slice(7, 50), ref.slice(7, 50), 4).tolist() == expected[7:57]
