@@ -1,8 +1,10 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from noisemix.operators import noise
 from noisemix.operators.lexicon import no_proper_nouns
+from noisemix.operators import paraphrase
 from noisemix.operators.paraphrase import candidates_from
 from noisemix.plans.recipes import RECIPES
 from noisemix.sources import bitext, blocks, checkpoints, corpora, sinks
@@ -205,3 +207,17 @@ def test_the_writer_of_shards_does_not_sort_again(spark, tmp_path):
     tree = written[: written.index("\n\n\n")] if "\n\n\n" in written else written
     final = tree[: tree.index("Initial Plan")] if "Initial Plan" in tree else tree
     assert final.count("Sort (") == 1
+
+
+def test_rewrites_of_long_lines_leave_in_pieces(monkeypatch):
+    """No frame holds all rewrites of a batch, and none is lost."""
+    monkeypatch.setattr(paraphrase, "CALL_CHARACTERS", 40)
+    monkeypatch.setattr(paraphrase, "OUT_CHARACTERS", 100)
+    batch = pd.DataFrame({"k": range(30), "src": ["x" * (n % 13) for n in range(29)] + ["y" * 90]})
+    parts = list(paraphrase._parts(batch, "src"))
+    assert pd.concat(parts).equals(batch)
+    assert all(len(p) == 1 or p.src.str.len().sum() <= 40 for p in parts)
+    out = [rows for p in parts for rows in paraphrase._rows(p[["k"]], [[s] * (len(s) % 5) for s in p.src])]
+    assert max(rows.phrase.str.len().sum() for rows in out) < 200
+    got = [(r.k, r["rank"], r.phrase) for rows in out for _, r in rows.iterrows()]
+    assert got == [(k, i, s) for k, s in zip(batch.k, batch.src) for i in range(len(s) % 5)]
