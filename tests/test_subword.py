@@ -144,3 +144,16 @@ def test_a_line_longer_than_the_budget_is_kept(spark):
 def test_length_limits(spark):
     df = spark.createDataFrame([(["a"] * 512, ["a"]), (["a"] * 513, ["a"]), (["a"], ["a"] * 513)], "s array<string>, t array<string>")
     assert [r[0] for r in df.select(W.within_limits(F.col("s"), F.col("t"))).collect()] == [True, False, False]
+
+
+def test_lines_are_encoded_in_order_whatever_is_made_at_once(spark):
+    """More rows than a worker makes at once, NULL and empty lines among them."""
+    merges = spark.createDataFrame([(0, "a", "b", 2)], "rank int, l string, r string, cnt long")
+    n = 2 * W.ROWS_AT_ONCE + 7
+    line = F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 5 == 1, "").otherwise(F.concat(F.lit("ab c"), "id"))
+    df = spark.range(0, n, 1, 1).select("id", line.alias("line"))
+    got = {r.id: r.pieces for r in W.encode(df, merges, "line").collect()}
+    mark = W.MARK
+    for i in range(n):
+        expected = None if i % 5 == 0 else [] if i % 5 == 1 else [mark, "ab", mark, "c", *str(i)]
+        assert got[i] == expected
