@@ -22,13 +22,14 @@ pairs that the bound leaves open are checked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisemix.llm.common import claim, drop_written, folded_words, free_name, written
@@ -43,6 +44,8 @@ CUTS = 4
 _SEEN = 500_000
 #: Signed rows that leave a task together.
 ROWS_OUT = 1000
+#: 64-bit words of the bit array that tells which texts are looked for, at most.
+BIT_WORDS = 1 << 18
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 SLIM = "doc_id string, text_key long, n_shingles long, node long, signatures array<long>"
@@ -173,19 +176,46 @@ def _node(s: np.ndarray) -> int:
     return int(_mixed(total, 29).view(np.int64)[0])
 
 
+def _may_be_among(keys: DataFrame) -> Callable[[Column], Column]:
+    """Whether a 64-bit key may be one of ``keys.text_key``: a bit array, of bounded size, without misses.
+
+    Texts that can't be wanted stay out of a shuffle; the join after it is exact.
+    """
+    count, n_words = keys.count(), 64
+    while n_words < min(BIT_WORDS, count):
+        n_words *= 2
+    place = F.shiftrightunsigned("text_key", 6).bitwiseAND(n_words - 1)
+    bit = F.expr("shiftleft(1L, cast(text_key & 63 as int))")
+    found = keys.groupBy(place.cast("int").alias("place")).agg(F.bit_or(bit).alias("bits")).toPandas()  # n_words at most
+    bits = np.zeros(n_words, np.int64)
+    bits[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def maybe(key: pa.Array) -> pa.Array:
+        k = key.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[(k >> 6) & (n_words - 1)] >> (k & 63)) & 1 == 1)
+
+    return maybe
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, elements`` of the given classes (``node, text_key``), made again from one text of each."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t) for t in batch["text"]]
-            good = [i for i, s in enumerate(sets) if _node(s) == batch["node"].iloc[i]]
-            yield pd.DataFrame({"node": batch["node"].iloc[good].to_numpy(), "elements": [sets[i].tobytes() for i in good]})
+            nodes, found = [], []
+            for node, texts in zip(batch["node"], batch["texts"], strict=True):
+                own = next((s for s in map(shingle_set, texts) if _node(s) == node), None)
+                if own is not None:
+                    nodes.append(node)
+                    found.append(own.tobytes())
+            yield pd.DataFrame({"node": nodes, "elements": found})
 
-    # One copy of each text; a checksum and the size tell texts of one key apart.
-    own = docs.select(F.xxhash64("text").alias("text_key"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.length("text").alias("size"), "text")
-    texts = own.join(wanted, "text_key").groupBy("text_key", "node", "crc", "size").agg(F.first("text").alias("text"))
-    return texts.select("node", "text").mapInPandas(rows, "node long, elements binary").dropDuplicates(["node"])
+    # one copy of each text, and each text of one key; a class is wanted by one key
+    own = docs.select(F.xxhash64("text").alias("text_key"), "text").where(_may_be_among(wanted)("text_key"))
+    texts = own.groupBy("text_key").agg(F.collect_set("text").alias("texts")).join(wanted, "text_key")
+    return texts.select("node", "texts").mapInPandas(rows, "node long, elements binary")
 
 
 def _differences(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -336,6 +366,8 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     marks = cut(marks.where(F.col(marked).isNotNull()))
     keyed = docs.withColumn(key, F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(its_key))
-    clear = keyed.join(marks, same, "left_anti").drop(key)
-    once = keyed.join(marks.where(F.col(marked) == "once"), same, "left_semi").dropDuplicates(["doc_id", key])
+    may_be_marked = _may_be_among(marks.select(F.col(its_key).alias("text_key")))(key)
+    marked_ones = keyed.where(may_be_marked)
+    clear = keyed.where(~may_be_marked).unionByName(marked_ones.join(marks, same, "left_anti")).drop(key)
+    once = marked_ones.join(marks.where(F.col(marked) == "once"), same, "left_semi").dropDuplicates(["doc_id", key])
     return clear.unionByName(once.drop(key))

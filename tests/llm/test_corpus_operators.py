@@ -452,3 +452,16 @@ def test_counts_in_a_byte():
     n = np.arange(0, 12, dtype=np.float32)
     packed = contextmixing.Tables([n]).packed()
     assert np.array_equal(contextmixing.Tables.unpacked(packed).counts[0][:9], n[:9])
+
+
+def test_only_texts_that_may_be_wanted_are_shuffled(spark):
+    keys = spark.range(2000).select((F.xxhash64("id")).alias("text_key"))
+    others = spark.range(2000, 22000).select(F.xxhash64("id").alias("k"))
+    maybe = jaccard._may_be_among(keys)
+    assert keys.where(~maybe(F.col("text_key"))).isEmpty()
+    assert others.where(maybe(F.col("k"))).count() < 1000
+    assert others.where(jaccard._may_be_among(keys.limit(0))(F.col("k"))).isEmpty()
+    # only the copies' texts meet the wanted ones
+    docs = spark.createDataFrame([(i, f"one two three four five number {i}") for i in range(300)] + [(300, "a b c d"), (301, "a b c d")], "doc_id long, text string")
+    wanted = docs.where("doc_id = 300").select(F.lit(jaccard._node(jaccard.shingle_set("a b c d"))).alias("node"), F.xxhash64("text").alias("text_key"))
+    assert [r["node"] for r in jaccard._sets(docs, wanted).collect()] == [r["node"] for r in wanted.collect()]
