@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,32 +125,19 @@ def corpus_bleu(
     return corpus_scores(pairs, by, hyp, ref, [bleu(smooth, max_n)], keep_sums=True)
 
 
-def word_errors(hyp: Column, ref: Column) -> Column:
-    """Word-level edit distance without moves, all inside the JVM.
+def _crossing(hyp: Column, ref: Column) -> list[Column]:
+    # equal pairs need no edits: they cross to Python as empty lists
+    return [F.when(hyp != ref, c).otherwise(F.array().cast("array<string>")) for c in (hyp, ref)]
 
-    The words of a pair are numbered and written as one character each, for which the
-    built-in string distance does the work.
-    """
 
-    def as_text(words: Column, vocabulary: Column) -> Column:
-        # code points from 0x4E00 on, past the surrogates in one jump
-        def letter(word: Column) -> Column:
-            return let(
-                F.array_position(vocabulary, word) + 0x4DFF,
-                lambda c: F.decode(
-                    F.unhex(F.lpad(F.hex(F.when(c >= 0xD800, c + 0x2800).otherwise(c)), 8, "0")),
-                    "UTF-32",
-                ),
-            )
+@F.arrow_udf("int")
+def _word_errors(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    return edits.batch_distances(hyp, ref)
 
-        return F.array_join(F.transform(words, letter), "")
 
-    return F.when(hyp == ref, F.lit(0)).otherwise(
-        let(
-            F.array_distinct(F.concat(hyp, ref)),
-            lambda v: F.levenshtein(as_text(hyp, v), as_text(ref, v)),
-        )
-    )
+def word_errors(hyp: Column, ref: Column) -> Column:
+    """Word-level edit distance without moves, of an Arrow batch of pairs side by side."""
+    return _word_errors(*_crossing(hyp, ref))
 
 
 WER = _rate("wer", word_errors)
@@ -159,16 +147,13 @@ def corpus_wer(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) -> Dat
     return corpus_scores(pairs, by, hyp, ref, [WER], keep_sums=True)
 
 
-@F.pandas_udf(T.IntegerType())
-def _shift_edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series(
-        [edits.shift_edits(list(h), list(r)) for h, r in zip(hyp, ref, strict=True)], dtype="int32"
-    )
+@F.arrow_udf("int")
+def _shift_edits(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    return edits.batch_shift_edits(hyp, ref)
 
 
 def _moved(hyp: Column, ref: Column) -> Column:
-    # equal pairs need no edits: they cross to Python as empty lists
-    return _shift_edits(*[F.when(hyp != ref, c).otherwise(F.array().cast("array<string>")) for c in (hyp, ref)])
+    return _shift_edits(*_crossing(hyp, ref))
 
 
 TER = _rate("ter", _moved)

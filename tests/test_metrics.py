@@ -240,3 +240,20 @@ def test_matches_of_a_batch_equal_counting(monkeypatch, chunk):
     expected = [[counted(h, r, n) for n in (1, 2, 3, 4)] for h, r in pairs]
     assert ngrams.clipped_matches(hyp, ref, 4).tolist() == expected
     assert ngrams.clipped_matches(hyp.slice(7, 50), ref.slice(7, 50), 4).tolist() == expected[7:57]
+
+
+def test_distances_of_a_batch_equal_those_of_single_pairs():
+    draw = random.Random(3)
+    pairs = []
+    for _ in range(300):
+        ref = [str(draw.randrange(draw.choice([3, 8, 60]))) for _ in range(draw.choice([0, 1, 4, 15, 40]))]
+        hyp = [w if draw.random() < 0.8 else str(draw.randrange(8)) for w in ref if draw.random() < 0.9]
+        cut_ = draw.randrange(len(hyp) + 1)
+        pairs.append((hyp[cut_:] + hyp[:cut_] if draw.random() < 0.3 else hyp, ref))
+    sides = [pa.array(list(x), pa.list_(pa.string())) for x in zip(*pairs, strict=True)]
+    assert edits.batch_distances(*sides).to_pylist() == [plain_distance(h, r) for h, r in pairs]
+    assert edits.batch_shift_edits(*sides).to_pylist() == [edits.shift_edits(h, r) for h, r in pairs]
+    # as slices of a longer batch, with a null side
+    assert edits.batch_distances(*[s.slice(7, 20) for s in sides]).to_pylist() == [plain_distance(h, r) for h, r in pairs[7:27]]
+    none = pa.array([None, ["a"]], pa.list_(pa.string()))
+    assert edits.batch_distances(none, pa.array([["b"], ["a"]], pa.list_(pa.string()))).to_pylist() == [1, 0]
