@@ -157,3 +157,24 @@ def test_lines_are_encoded_in_order_whatever_is_made_at_once(spark):
     for i in range(n):
         expected = None if i % 5 == 0 else [] if i % 5 == 1 else [mark, "ab", mark, "c", *str(i)]
         assert got[i] == expected
+
+
+def test_large_dictionary_completes_only_lines_with_rare_tokens(spark):
+    """Keys that repeat or are null don't mix lines up, as they did when every token was joined."""
+    rows = [(i // 2 if i % 9 else None, ["the"] * (i % 7) + [f"w{i % 50}", "unseen"][: 1 + i % 2]) for i in range(600)] + [(600, [])]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>")
+    known = D.joint_dictionary(df.select(F.explode("tokens").alias("token")).filter("token <> 'unseen'"))
+    ids = {r.token: r.id for r in known.collect()}
+    expected = Counter((k, tuple(ids.get(t, D.UNKNOWN) for t in toks)) for k, toks in rows)
+    for entries in (D.BROADCAST_ENTRIES, 3):
+        made = D.to_ids(df, known, ["k"], broadcast_entries=entries).collect()
+        assert Counter((r.k, tuple(r.ids)) for r in made) == expected
+
+
+def test_unknown_rate_without_ids(spark):
+    df = spark.createDataFrame(
+        [("a", ["x", "y", "x", "z"]), ("a", ["z"]), ("b", []), (None, ["y", "y"])], "g string, tokens array<string>"
+    )
+    known = spark.createDataFrame([("x",), ("x",), ("y",)], "token string")
+    rows = D.unknown_token_rate(df, known, ["g"]).collect()
+    assert {r.g: (r.n_tokens, r.n_unknown, r.pct_unknown) for r in rows} == {"a": (5, 2, 40.0), "b": (0, 0, None), None: (2, 0, 0.0)}
