@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,18 +83,32 @@ def sample_variants(
     Adds ``sample_rank``.
     """
     weights = weights or KIND_WEIGHTS
+    # a rank is at most the number of variants, so the number drawn needn't be cut to it
+    drawn = jittered_count(ratio, F.lit(2**31 - 1), row_key(keys), seed)
+    return (
+        _drawn_first(variants, keys, ratio, seed, weights, "sample_rank")
+        .filter(F.col("sample_rank") <= drawn)
+        .drop("_order")
+    )
+
+
+def _drawn_first(
+    variants: DataFrame, keys: list[str], ratio: float, seed: int, weights: dict[str, int], rank: str
+) -> DataFrame:
+    """As many variants of each sentence as may be drawn at most, with ``_order`` and their ``rank``.
+
+    The limit is a constant, so Spark leaves out later ones before the shuffle too.
+    """
     weight = F.coalesce(
         *[F.when(F.col("kind") == k, F.lit(float(w))) for k, w in weights.items()]
     )
-    here = Window.partitionBy(*keys)
     u = uniform(seed, "variant", row_key(keys), F.col("kind")) + F.lit(0.5 / RESOLUTION)
+    order = Window.partitionBy(*keys).orderBy("_order", "kind")
     return (
         variants.filter(F.col("kind").isin(*[k for k, w in weights.items() if w > 0]))
         .withColumn("_order", -F.log(u) / weight)
-        .withColumn("_n", F.count(F.lit(1)).over(here))
-        .withColumn("sample_rank", F.row_number().over(here.orderBy("_order", "kind")))
-        .filter(F.col("sample_rank") <= jittered_count(ratio, F.col("_n"), row_key(keys), seed))
-        .drop("_order", "_n")
+        .withColumn(rank, F.row_number().over(order))
+        .filter(F.col(rank) <= max(math.ceil(ratio), 0))
     )
 
 
@@ -117,11 +133,13 @@ def mix(
 ) -> DataFrame:
     """Sampled variants of every sentence in sample order, its clean pair last.
 
-    ``keys, split, kind, src, tgt, out_rank``; one shuffle, on the sentence.
+    ``keys, split, kind, src, tgt, out_rank``; one shuffle, on the sentence, of the variants that
+    may be drawn and of the clean pairs.
     """
     weights = weights or KIND_WEIGHTS
+    few = _drawn_first(skip_blank(variants), keys, ratio, seed, weights, "_first").drop("_order", "_first")
     noisy = (
-        with_target(skip_blank(variants), clean, keys)
+        with_target(few, clean, keys)
         .transform(lambda df: sample_variants(df, keys, ratio, seed, weights))
         .transform(lambda df: drop_repeated_unchanged(df, keys))
         .select(*keys, "split", "kind", "src", "tgt", F.col("sample_rank").alias("out_rank"))

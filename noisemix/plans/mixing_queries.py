@@ -265,8 +265,11 @@ def f6(spark, sf_dir):
     return out.filter("n_append > 0").select(*KEYS, partners.alias("partners"))
 
 
-def mixed(spark, sf_dir):
+def mixed(spark, sf_dir, split=None):
+    """The mix, of one split if need be."""
     clean, variants = clean_and_variants(spark, sf_dir)
+    if split is not None:
+        clean, variants = (df.filter(F.col("split") == split) for df in (clean, variants))
     return mixing.mix(clean, variants, KEYS, RATIO, SEED, WEIGHTS)
 
 

@@ -136,3 +136,14 @@ def test_running_totals_across_blocks(spark):
     for row in out.orderBy("id").collect():
         sums[row.g] += row.id * 2
         assert row.v == sums[row.g]
+
+
+def test_variants_that_cannot_be_drawn_stay_out_of_the_shuffle(spark, capsys):
+    rows = [(i, "train", k, f"line {i} {k}", None) for i in range(50) for k in mixing.KIND_WEIGHTS]
+    variants = spark.createDataFrame(rows, "k long, split string, kind string, src string, tgt string")
+    clean = spark.createDataFrame([(i, "train", f"line {i}", f"line {i}") for i in range(50)], "k long, split string, src string, tgt string")
+    made = mixing.mix(clean, variants, ["k"], 3, 42)
+    made.explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+    counts = Counter(r.k for r in made.filter("kind <> 'clean'").collect())
+    assert len(counts) == 50 and set(counts.values()) == {2, 3}
