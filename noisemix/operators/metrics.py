@@ -130,7 +130,7 @@ def _crossing(hyp: Column, ref: Column) -> list[Column]:
     return [F.when(hyp != ref, c).otherwise(F.array().cast("array<string>")) for c in (hyp, ref)]
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def _word_errors(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     return edits.batch_distances(hyp, ref)
 
@@ -147,7 +147,7 @@ def corpus_wer(pairs: DataFrame, by: list[str], hyp: Column, ref: Column) -> Dat
     return corpus_scores(pairs, by, hyp, ref, [WER], keep_sums=True)
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def _shift_edits(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     return edits.batch_shift_edits(hyp, ref)
 
