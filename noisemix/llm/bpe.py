@@ -17,10 +17,11 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,10 +204,12 @@ class Encoder:
         with open(file, encoding="utf-8") as f:
             made = json.load(f)
         refuse_foreign(made, file)
+        self.file = file
         model = made["model"]
         end = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
-        self.tokenizer = Tokenizer.from_file(file)
+        # the library's normaliser and cutter alone: its vocabulary isn't needed a second time
+        self.rules = Tokenizer.from_str(json.dumps(made | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self.special = {x["content"]: x["id"] for x in made["added_tokens"]}
         self.special_at = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         self.token = {i: t for t, i in [*vocab.items(), *self.special.items()]}
@@ -223,6 +226,11 @@ class Encoder:
         self.spelled = Ragged(np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled]))
         self.forget()
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's own, to compare with; encoding doesn't load it."""
+        return Tokenizer.from_file(self.file)
+
     def forget(self) -> None:
         """Starts the table of kept words anew, with the special tokens."""
         self.kept = {name: i for i, name in enumerate(self.special)}
@@ -234,8 +242,8 @@ class Encoder:
         pieces = iter(PIECE.findall("\n".join(plain).lower()))
         for word in words:
             if _RARE.search(word):
-                shown = self.tokenizer.normalizer.normalize_str(word)
-                parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(shown)
+                shown = self.rules.normalizer.normalize_str(word)
+                parts = self.rules.pre_tokenizer.pre_tokenize_str(shown)
                 yield [bytes(map(self.byte.__getitem__, p)) for p, _ in parts]
                 continue
             own = []
@@ -382,20 +390,19 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
     """``doc_id, ids, decoded`` of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bpe")
         bpe = encoder(file)
         for batch in batches:
-            for at in range(0, len(batch), TEXTS_OUT):
-                some = batch.iloc[at : at + TEXTS_OUT]
-                found = [(np.frombuffer(raw, "<u4").astype(np.int32), text.decode()) for raw, text in bpe.encode(some["text"])]
-                made = pd.DataFrame(found, columns=["ids", "decoded"])
-                made.insert(0, "doc_id", some["doc_id"].to_numpy())
-                yield made
-
-    named = docs.select(F.col("doc_id").cast("string"), "text")  # pandas has no exact integers beside nulls
-    found = named.mapInPandas(rows, "doc_id string, ids array<int>, decoded string")
-    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
+            for at in range(0, batch.num_rows, TEXTS_OUT):  # no more texts than these are held as Python strings
+                some = batch.slice(at, TEXTS_OUT)
+                raw, decoded = zip(*bpe.encode(some.column("text").to_pylist()), strict=True)
+                ends = np.cumsum([0, *[len(x) // 4 for x in raw]]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
+                texts = pa.array([x.decode() for x in decoded], pa.string())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), ids, texts], ["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def decode_ids(encoded: DataFrame, file: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noisemix.llm.automaton import Automaton, compile_rules, parse, reverse
+from noisemix.llm.common import claim
 
 Span = tuple[int, int, int]
 
@@ -149,6 +150,7 @@ def _column(name: str, make: Callable[[str | None], object], kind: str) -> Colum
 
         @F.pandas_udf(kind)
         def one(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            claim("secrets")
             for batch in texts:
                 yield pd.Series([make(t) for t in batch], dtype=object)
 
@@ -157,6 +159,7 @@ def _column(name: str, make: Callable[[str | None], object], kind: str) -> Colum
 
         @F.pandas_udf(kind)
         def one(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            claim("secrets")
             for batch in texts:
                 yield pd.DataFrame([make(t) for t in batch], columns=names)
 

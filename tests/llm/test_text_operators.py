@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from noisemix.llm import bpe, langid, secrets, sharding, tokenfiles
+from noisemix.llm import bpe, common, langid, secrets, sharding, tokenfiles
 from noisemix.llm.automaton import compile_rules, parse
 from noisemix.sources.checkpoints import scratch
 
@@ -161,6 +161,34 @@ def test_full_table_starts_anew(monkeypatch):
     assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_encoding_does_not_load_the_library_vocabulary():
+    encoder = bpe.Encoder(bpe.default_file())
+    assert "tokenizer" not in vars(encoder)
+    list(encoder.encode(["plain words", "Éa 中文 İ \u0301", "<|endoftext|>", None]))
+    assert "tokenizer" not in vars(encoder)
+    assert encoder.rules.get_vocab_size() == 0
+
+
+def test_a_worker_that_changes_hands_gives_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "_owner", "")
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(common._owner))
+    for owner in ("langid", "langid", "secrets", "bpe", "bpe"):
+        common.claim(owner)
+    assert calls == ["langid", "secrets", "bpe"]
+    monkeypatch.undo()
+    common.give_back()
+
+
+def test_documents_encoded_keep_ids_of_any_type(spark):
+    rows = [("a", "one two"), (None, None), ("b", "")] * 200
+    out = bpe.encode_documents(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1), bpe.default_file())
+    assert out.dtypes == [("doc_id", "string"), ("ids", "array<int>"), ("decoded", "string")]
+    ids = bpe.Encoder(bpe.default_file()).tokenizer.encode("one two", add_special_tokens=False).ids
+    want = Counter({("a", tuple(ids)): 200, (None, ()): 200, ("b", ()): 200})
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in out.collect()) == want
+
+
 # --- language ID
 
 
