@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import pytest
@@ -8,6 +9,7 @@ from noisemix.functions import letters, text, typos
 from noisemix.functions.draws import draw_hash, lane, weighted_index
 from noisemix.operators import lexicon, noise, reports
 from noisemix.plans.recipes import RECIPES, recipe
+from noisemix.sources.corpora import rotated_candidates, rotations
 
 KEYS = ["doc", "pos"]
 WORDS = "the quick brown foxes jumping over lazydogs and running homewards yesterday".split()
@@ -282,3 +284,78 @@ def test_snapshots_are_cumulative(spark):
     assert [r.lines_after for r in steps] == [80, 160, 240]
     for counter in reports.COUNTERS:
         assert steps[-1][counter] == final[counter]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_cut_into_tokens_once(spark):
+    df = spark.createDataFrame([(1, "a b. c", "x"), (2, " \t", "x"), (3, "a", "\n "), (4, None, "x"), (5, "a", None)], "k int, src string, tgt string")
+    out = df.transform(noise.prepare(["k"]))
+    assert [(r["k"], r["tokens"]) for r in out.collect()] == [(1, ["a", "b", ".", "c"])]
+    assert plan(out.select("tokens")).count("$1 .") == 1
+
+
+def test_proper_nouns_against_plain_walk(spark):
+    lines = ["Ann met Bob. Bob saw bob! Cy", " x\t\tThe. A. B c", "a b.\u2028 Bob Bob? d", "...", "a ... Dot 'Dot'", "", None, "É Éa (Éa) éa Éa", "end.\x85 Zed Zed", "end.\u2028 Yo yo Wu\u2029 Wu", "\x0bQ q\x0cQ"]
+    seen = Counter()
+    for line in lines:
+        toks = re.findall(r"[^ \t\n\x0b\f\r]+", line or "")
+        for before, t in zip(toks, toks[1:]):
+            word = re.sub(r"[!-/:-@\[-`{-~]", "", t)
+            if word and not re.search(r"[.?!][\x85\u2028\u2029]?\Z", before):
+                seen[word.lower(), 0] += 1
+                seen[word.lower(), 1] += word[0] != word[0].lower()
+    want = {(w, n, seen[w, 1]) for (w, k), n in seen.items() if k == 0 and 2 * seen[w, 1] > n}
+    mined = lexicon.mine_proper_nouns(spark.createDataFrame([(x,) for x in lines], "src string"))
+    assert {tuple(r) for r in mined.collect()} == want
+    assert "lambda" not in plan(mined)
+
+
+@pytest.mark.parametrize("inline", [0, 100])
+def test_clause_openings_against_plain_walk(spark, inline):
+    lines = [["A", ".", "B", "."], [".", "A"], [".", ".", "B"], ["x", ".", ".", ".", "A"], ["a.", "B", "."], ["."], []]
+    df = spark.createDataFrame(list(enumerate(lines)), "k int, tokens array<string>")
+    names = spark.createDataFrame([("a",), ("b",), ("",)], "word string")
+    got = lexicon.mark_proper_nouns(df, names, ["k"], inline)
+    want = []
+    for toks in lines:
+        opens = toks[:1] + [toks[i + 1] for i, t in enumerate(toks[:-1]) if t == "."]
+        want.append([j for j, t in enumerate(opens) if t.lower().strip(".") in ("a", "b", "")])
+    assert [r["proper_at"] for r in got.orderBy("k").collect()] == want
+    assert inline == 0 or "namedlambdavariable() = ." not in plan(got)
+
+
+def test_rewrites_of_a_line_do_not_travel(spark):
+    rows = [(1, 0, "a. b. c"), (1, 0, "a. b. c"), (2, 0, "d. e"), (2, 0, "f. g. h"), (3, 0, "one"), (4, 0, ""), (None, 0, "a. b"), (None, 0, "a. b")]
+    df = spark.createDataFrame(rows, "doc_id int, pos int, src string")
+    old = df.transform(noise.attach_candidates(rotated_candidates(df), ["doc_id", "pos"]))
+    new = df.transform(noise.attach_rewrites(rotations, ["doc_id", "pos"]))
+    assert new.columns == old.columns[:2] + ["src", "candidates"]
+
+    def found(out):
+        return Counter((r["doc_id"], r["src"], tuple(r["candidates"] or ())) for r in out.collect())
+
+    assert found(new) == found(old)
+    assert "Join" not in plan(new) and "Generate" not in plan(new)
+
+
+def test_only_what_is_asked_for_goes_through_the_batches(spark):
+    df = batched(prepared(spark))
+    whole = df.transform(noise.apply_recipe(RECIPES["both"], ["doc", "batch"], ["pos"], 8, 4))
+    few = df.transform(noise.apply_recipe(RECIPES["both"], ["doc", "batch"], ["pos"], 8, 4, ["row_key"]))
+    columns = ["row_key", "n_append", "n_runon", "n_sub", "n_swap", "noisy_src", "noisy_tgt"]
+    assert Counter(map(tuple, few.select(*columns).collect())) == Counter(map(tuple, whole.select(*columns).collect()))
+    assert not {"src", "tokens_before", "non_alpha"} & set(few.columns)
+
+
+def test_plain_appended_lines_stay_in_their_row(spark):
+    df = batched(prepared(spark))
+    out = df.transform(noise.apply_recipe(recipe("r", ["runon_line", "runon_comb"], [0.9, 0.5], compound=False), ["doc", "batch"], ["pos"], 8, 2))
+    assert plan(out).count("Aggregate") == 1 and "posexplode" not in plan(out)
+    clean = {r["row_key"]: (r["tgt"], r["doc"], r["batch"]) for r in df.collect()}
+    for r in out.collect():
+        tgts = r["noisy_tgt"].split(" ")
+        others = {t for t, *where in clean.values() if where == [r["doc"], r["batch"]]} - {clean[r["row_key"]][0]}
+        assert tgts[0] == clean[r["row_key"]][0] and len(set(tgts)) == len(tgts) == 1 + r["n_append"] and set(tgts[1:]) <= others
