@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from noisemix.llm.common import claim, keeps
+from noisemix.llm.common import claim, give_back, keeps, trim
 
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: A worker that keeps more words than this starts anew.
@@ -35,7 +35,9 @@ KEPT_WORDS = 200_000
 #: Words after which a run of texts ends.
 RUN_WORDS = 300_000
 #: Encoded texts that leave a task together.
-TEXTS_OUT = 256
+TEXTS_OUT = 128
+#: Words kept from frame to frame where ids and texts leave a task: those of the frame come on top.
+KEPT_BETWEEN = 100_000
 #: Fixed value: the vocabulary's own pattern, with line ends as pieces between words.
 PIECE = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: White space as the vocabulary's normaliser sees it; ``str.split`` also cuts at \x1c-\x1f.
@@ -395,12 +397,18 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
         bpe = encoder(file)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_OUT):  # no more texts than these are held as Python strings
+                if len(bpe.kept) > KEPT_BETWEEN:
+                    bpe.forget()
                 some = batch.slice(at, TEXTS_OUT)
                 raw, decoded = zip(*bpe.encode(some.column("text").to_pylist()), strict=True)
                 ends = np.cumsum([0, *[len(x) // 4 for x in raw]]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
                 texts = pa.array([x.decode() for x in decoded], pa.string())
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), ids, texts], ["doc_id", "ids", "decoded"])
+                del raw, decoded, ids, texts
+                trim()
+        bpe.forget()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, ids array<int>, decoded string")
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noisemix.llm.common import claim, drop_written, folded_words, free_name, written
+from noisemix.llm.common import claim, drop_written, folded_words, free_name, give_back, written
 from noisemix.llm.components import components
 from noisemix.sources.checkpoints import cut, scratch
 
@@ -164,6 +164,7 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "n_shingles": sizes, "node": nodes, "signatures": signed}
             )
+        give_back()
 
     # pandas has no exact integers beside nulls
     slim = docs.select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("text_key"), "text")
@@ -211,6 +212,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     nodes.append(node)
                     found.append(own.tobytes())
             yield pd.DataFrame({"node": nodes, "elements": found})
+        give_back()
 
     # one copy of each text, and each text of one key; a class is wanted by one key
     own = docs.select(F.xxhash64("text").alias("text_key"), "text").where(_may_be_among(wanted)("text_key"))
@@ -234,6 +236,7 @@ def _differences(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 for x, y in zip(batch["elements"], batch["middle"], strict=True)
             ]
             yield batch[["family", "node", "n", "centre"]].assign(n_centre=[len(y) // 8 for y in batch["middle"]], differ=found)
+        give_back()
 
     made = both.mapInPandas(rows, "family long, node long, n long, centre long, n_centre long, differ array<long>")
     near = F.size("differ") * (100 + percent) <= (F.col("n") + F.col("n_centre")) * (100 - percent)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noisemix.llm.common import claim, free_name, keeps, remainder
+from noisemix.llm.common import claim, free_name, give_back, keeps, remainder, trim
 
 RESULT = "lang_pred string, score double"
 UNDETERMINED = "und"
@@ -268,6 +268,10 @@ def predict(model: Model | None) -> Column:
         for batch in texts:
             found = [(UNDETERMINED, 0.0)] * len(batch) if model is None else list(_labeller(model).label(batch))
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
+            trim()
+        if model is not None:
+            _labeller(model).forget()
+        give_back()
 
     return label.asNondeterministic()("text")
 

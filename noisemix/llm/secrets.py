@@ -19,11 +19,15 @@ from functools import cache
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noisemix.llm.automaton import Automaton, compile_rules, parse, reverse
-from noisemix.llm.common import claim
+from noisemix.llm.common import claim, give_back, trim
+
+#: Texts of a batch that are held as Python strings.
+TEXTS_HELD = 256
 
 Span = tuple[int, int, int]
 
@@ -148,11 +152,16 @@ def _digest(text: str | None) -> tuple:
 def _column(name: str, make: Callable[[str | None], object], kind: str) -> Column:
     if kind == "string":
 
-        @F.pandas_udf(kind)
-        def one(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(kind)
+        def one(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             claim("secrets")
             for batch in texts:
-                yield pd.Series([make(t) for t in batch], dtype=object)
+                cuts = range(0, len(batch), TEXTS_HELD)  # no more texts than these are held as Python strings
+                parts = [pa.array([make(t) for t in batch.slice(at, TEXTS_HELD).to_pylist()], pa.string()) for at in cuts]
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+                del batch, parts
+                trim()
+            give_back()
 
     else:
         names = [x.split()[0] for x in kind.split(", ")]

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -362,3 +363,24 @@ def test_token_files_end_by_bytes(spark, tmp_path, limit):
     got = tokenfiles.count_tokens(spark, f"{tmp_path}/files/part-*", lead=tokenfiles.HEADER).collect()
     found = {tokenfiles.header_id(r["lead"]): r["n_tokens"] - tokenfiles.HEADER for r in got if r["closed"]}
     assert found == {i: len((t or "").split()) for i, t in enumerate(texts)} and len(got) == len(texts)
+
+
+def test_a_task_leaves_no_words_in_its_worker(spark, monkeypatch):
+    """The pipeline's encoder gives frames of bounded size, and at its end it has forgotten all words."""
+    made = []
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: made.append(f))
+    monkeypatch.setattr(bpe, "KEPT_BETWEEN", 50)
+    file = bpe.default_file()
+    bpe.encode_documents(docs, file)
+    texts = [None, "", *(f"word{i} other{i % 7}" for i in range(400))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    most, rows = 0, []
+    for frame in made[0](iter([batch])):
+        most = max(most, len(bpe.encoder(file).kept))
+        assert frame.num_rows <= bpe.TEXTS_OUT
+        rows += frame.column("ids").to_pylist()
+    assert rows == [bpe.encoder(file).tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    special = len(bpe.encoder(file).special)
+    assert most <= special + 2 * bpe.TEXTS_OUT + 50
+    assert len(bpe.encoder(file).kept) == special
