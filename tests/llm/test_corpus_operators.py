@@ -5,13 +5,17 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from noisemix.llm import contextmixing, decontamination, jaccard, topk
 from noisemix.llm.components import components
+from noisemix.sources.checkpoints import shared_folder
 
 
 def rows_of(df):
@@ -454,6 +458,80 @@ def test_counts_in_a_byte():
     assert np.array_equal(contextmixing.Tables.unpacked(packed).counts[0][:9], n[:9])
 
 
+def test_scoring_writes_less_than_the_texts(spark):
+    """What scoring leaves in the shared folder, on texts of which hardly a pair of words comes twice."""
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choices("etaoinsr", k=rng.randint(2, 9))) for _ in range(400)), "x") for i in range(150)]
+    folder = Path(urlparse(shared_folder(spark)).path)
+
+    def used():
+        return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    before = used()
+    out = contextmixing.score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert out.agg(F.sum("n_tokens")).first()[0] == 150 * 401
+    assert used() - before < sum(len(t) for _, t, _ in rows)
+
+
+def test_words_are_mixed_by_their_hash(spark):
+    words = [b"", b"a", b"ab cd", b" abc", "Straße \u00e9".encode(), b"x" * 64, b"y" * 131, *(b"w%d" % i for i in range(50))]
+    frame = spark.createDataFrame([(bytearray(w),) for w in words], "w binary")
+    assert [r[0] for r in frame.select(F.hash("w")).collect()] == contextmixing._places(words).tolist()
+
+
+def test_words_in_the_same_contexts_are_spelled_once_with_the_same_result():
+    """Counts and scores of pairs against their bits one by one."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 8))).encode() for _ in range(40)]
+    pairs = sorted({rng.choice([*words, b""]) + b" " + rng.choice([*words, b"", b"z" * 150]) for _ in range(300)})
+    classes = np.array([rng.randrange(3) for _ in pairs])
+    weight = np.array([rng.randrange(1, 9) for _ in pairs], float)
+    tables = contextmixing.Tables.filled(pairs, classes, weight)
+    plain = [np.zeros(2 << bits, np.float32) for bits in contextmixing.TABLE_BITS]
+    for lanes, _, bit, places, _ in contextmixing.spelled(pairs, classes):
+        for table, place in zip(plain, places, strict=True):
+            np.add.at(table, 2 * place + bit, weight[lanes])
+    assert all(np.array_equal(x, y) for x, y in zip(tables.counts, plain, strict=True))
+    tables.prepare()
+    mixer = contextmixing.Mixer()
+    mixer.learn(tables, pairs, classes, weight)
+    found = mixer.class_scores(tables, pairs, [0, 2])
+    for column, kind in zip(found.T, (0, 2), strict=True):
+        expected = np.zeros(len(pairs))
+        for lanes, _, bit, places, before in contextmixing.spelled(pairs, np.full(len(pairs), kind)):
+            p, _, _ = mixer.predict(*tables.inputs(places), before)
+            np.add.at(expected, lanes, np.log10(np.where(bit == 1, p, 1 - p)))
+        assert np.allclose(column, expected)
+
+
+def test_blocks_are_answered_with_the_counts_of_all(odd_rows):
+    """Two blocks ask; the answers, taken in the order of each block's names, are the counts of both."""
+    texts = [(t, i % 3 == 0, i % 2) for i, (_, t, *_) in enumerate(odd_rows)]
+    blocks = [pd.DataFrame(texts[k::2], columns=["text", "held_out", "class"]).assign(block=k) for k in (0, 1)]
+    asked = pd.concat([contextmixing._asked(b, 5) for b in blocks])
+    totals = pd.concat([contextmixing._totals(own) for _, own in asked.groupby("bucket")])
+    expected, by_class = Counter(), Counter()
+    for text, held, kind in texts:
+        words = contextmixing.folded_words(text)
+        for w in () if held else [*words, contextmixing.END, *contextmixing._paired(words)]:
+            expected[w] += 1
+            by_class[w, kind] += 1
+    for k, b in enumerate(blocks):
+        own = contextmixing.Numbered(b["text"], 5)
+        got = {}
+        for r in totals[totals["answer"] & (totals["block"] == k)].itertuples():
+            names = [own.names[i] for i in own.buckets[r.bucket]]
+            got |= dict(zip(names, contextmixing._counts(r.counts, r.counts_size).tolist(), strict=True))
+        assert got == {w: expected[w] for w in own.names}
+    trained = Counter()
+    for _, row in totals[~totals["answer"]].iterrows():
+        names, counts = contextmixing._trained(row)
+        trained.update({(w, k): int(counts[k, i]) for i, w in enumerate(names) for k in range(2) if counts[k, i]})
+    assert trained == {x: n for x, n in by_class.items() if b" " in x[0]}
+    assert totals["n"].sum() == sum(n for w, n in expected.items() if b" " not in w)
+    assert totals["v"].sum() == sum(b" " not in w for w in expected)
+
+
 def test_only_texts_that_may_be_wanted_are_shuffled(spark):
     keys = spark.range(2000).select((F.xxhash64("id")).alias("text_key"))
     others = spark.range(2000, 22000).select(F.xxhash64("id").alias("k"))
