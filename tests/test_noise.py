@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from noisemix.functions import letters, text, typos
-from noisemix.functions.draws import draw_hash, lane, weighted_index
+from noisemix.functions.draws import draw_hash, lane, running_weights, weighted_index
 from noisemix.operators import lexicon, noise, reports
+from noisemix.plans import registered
 from noisemix.plans.recipes import RECIPES, recipe
-from noisemix.sources.corpora import rotated_candidates, rotations
+from noisemix.sources.corpora import number_documents, rotated_candidates, rotations
 
 KEYS = ["doc", "pos"]
 WORDS = "the quick brown foxes jumping over lazydogs and running homewards yesterday".split()
@@ -359,3 +360,77 @@ def test_plain_appended_lines_stay_in_their_row(spark):
         tgts = r["noisy_tgt"].split(" ")
         others = {t for t, *where in clean.values() if where == [r["doc"], r["batch"]]} - {clean[r["row_key"]][0]}
         assert tgts[0] == clean[r["row_key"]][0] and len(set(tgts)) == len(tgts) == 1 + r["n_append"] and set(tgts[1:]) <= others
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_typo_is_that_of_edit_word(spark):
+    """One draw a line: Arrow batches make of the drawn word what the column expression makes of it."""
+    odd = ["Été-élève naïveté bus do", "one two\u0085 threes\u0085 four", "it's don't-stop's 123456 abcdefg!", "ßßßßßß ﬁﬁﬁﬁﬁﬁ a b", "a b c d"]
+    df = spark.createDataFrame([(f"{n}:{line[:2]}", line.split(" ")) for n in range(40) for line in odd], "k string, t array<string>")
+    h = draw_hash(5, "typo", F.col("k"), 1)
+    at = weighted_index(running_weights(typos.word_weights(F.col("t"))), lane(h, 0))
+    e = typos.edit_word(F.get("t", F.col("at")), h)
+    hit = F.exists(typos.word_weights(F.col("t")), lambda w: w > 0)
+    made = df.withColumn("at", at).withColumn("hit", hit).select(
+        typos.typo_sentence(F.col("t"), F.col("k"), 0.15, 5).alias("got"),
+        F.struct(
+            F.when(F.col("hit"), F.transform("t", lambda w, i: F.when(i == F.col("at"), e["word"]).otherwise(w))).otherwise(F.col("t")).alias("tokens"),
+            F.when(F.col("hit"), e["sub"]).otherwise(0).alias("sub"),
+            F.when(F.col("hit"), e["swap"]).otherwise(0).alias("swap"),
+        ).alias("expected"),
+    )
+    rows = made.collect()
+    assert all(r.got == r.expected for r in rows)
+    assert sum(r.got.sub + r.got.swap for r in rows) > 100  # a word without ASCII letters can only be swapped
+    assert "ArrowEvalPython" in executed(made)
+
+
+def test_lines_travel_as_strings_and_once(spark):
+    """Appended lines get no row of their own, and no array of tokens is shuffled."""
+    out = batched(prepared(spark)).transform(noise.apply_recipe(RECIPES["both"], ["doc", "batch"], ["pos"], 8, 1))
+    plan = executed(out)
+    assert "posexplode_outer" not in plan and plan.count("ObjectHashAggregate") == 2
+    assert "tokens:string" in out._jdf.queryExecution().analyzed().toString()
+    rows = out.select("tokens", "noised", "noisy_src", "n_append").collect()
+    assert any(r.n_append for r in rows)
+    assert all(" " not in t and t for r in rows for t in (*r.tokens, *r.noised))
+    assert all(r.noisy_src == " ".join(r.noised) for r in rows if not r.n_append)
+
+
+@pytest.fixture
+def documents(spark, tmp_path):
+    texts = ["First one ends. Second one follows.\nAnother longer sentence. It goes on.", None, "\n \nAlone stands this.", "x. y. z."]
+    rows = [(n, texts[n % 4], "en", "web", 60) for n in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_all_recipes_share_the_lines_they_change(spark, documents):
+    got = registered.QUERIES["c11_named_recipes"](spark, documents)
+    assert executed(got).count("FileScan parquet") == 1
+    counts = {(r.recipe, r.split): (r.n_lines, r.n_changed) for r in got.collect()}
+    assert len(counts) == 12 and all(counts[r, "train"][1] > 0 for r in RECIPES)
+    assert {sum(n for (r, _), (n, _) in counts.items() if r == name) for name in RECIPES} == {200}
+
+
+def test_snapshots_noise_the_lines_once(spark, documents):
+    got = registered.QUERIES["e2_progress_snapshots"](spark, documents)
+    assert "FileScan parquet" not in executed(got)
+    assert [(r.snapshot, r.lines_before, r.lines_after) for r in got.collect()] == [(0, 300, 200)]
+
+
+def test_documents_are_numbered_overall_too(spark):
+    rows = [(8, "a\nb"), (18, None), (28, ""), (38, "\n\n"), (9, "x"), (7, None), (1, "c\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.first_line, r.first_of_all) for r in number_documents(docs, overall=True).collect()}
+    assert got == {1: (0, 0), 7: (2, 2), 8: (0, 2), 9: (0, 4), 18: (2, 5), 28: (2, 5), 38: (3, 6)}
+
+
+def test_partners_carry_no_text_that_is_not_asked_for(spark, documents):
+    plan = executed(registered.QUERIES["d4_batch_partners"](spark, documents))
+    batch = next(line for line in plan.splitlines() if "collect_list(struct" in line)
+    assert "noised, noised#" in batch and "src, src#" not in batch and "non_alpha" not in batch
