@@ -221,3 +221,17 @@ def test_rewrites_of_long_lines_leave_in_pieces(monkeypatch):
     assert max(rows.phrase.str.len().sum() for rows in out) < 200
     got = [(r.k, r["rank"], r.phrase) for rows in out for _, r in rows.iterrows()]
     assert got == [(k, i, s) for k, s in zip(batch.k, batch.src) for i in range(len(s) % 5)]
+
+
+def test_pairs_are_written_compactly(spark, tmp_path):
+    """Rewriting a partition leaves the other as it was; alike lines take a fraction of their text."""
+    line = "a sentence that comes again and again with one other word in it, namely {} "
+    rows = [(n, "dev" if n % 10 == 0 else "train", line.format(n % 977) * 4) for n in range(4000)]
+    df = spark.createDataFrame(rows, "id long, split string, src string").coalesce(1)
+    sinks.write_pairs(df, str(tmp_path / "pairs"))
+    sinks.write_pairs(df.filter("split = 'dev'"), str(tmp_path / "pairs"))
+    got = sinks.read_pairs(spark, str(tmp_path / "pairs"))
+    assert sorted((r.id, r.split, r.src) for r in got.collect()) == rows
+    df.write.partitionBy("split").option("compression", "snappy").parquet(str(tmp_path / "plain"))
+    compact, plain = (sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet")) for name in ("pairs", "plain"))
+    assert compact * 2 < plain
